@@ -3,12 +3,13 @@
 File format (one Parquet row is one block; ascending in ``part``, ``block``, document):
 
 * ``part``, ``block``: place of the block, ``n_tokens``: ids in it, ``width``: bytes an id takes (2 or 4),
+* ``before``: ids in the part's earlier blocks,
 * ``doc_ids``: the ids of its documents in order,
 * ``bounds``: the documents' end offsets within the block, Elias-Fano coded,
 * ``ids``: all token ids, little-endian.
 
-Global offsets are never stored: a block's start is a prefix sum over block sizes, a document's the
-block's start plus one ``select`` in ``bounds``.
+Global offsets are never stored: a part's start is a prefix sum over the parts' sizes, a block's that
+plus ``before``, a document's that plus one ``select`` in ``bounds``.
 """
 
 from __future__ import annotations
@@ -25,13 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_and_bytes, new_path
+from .common import arrow_schema, id_and_bytes, materialize, new_path
 
 #: Entries that a worker's memory of encoded words holds before it starts anew.
-MEMO = 600_000
+MEMO = 1_000_000
+#: Words that go to the tokenizer in one line.
+WORDS = 64
 #: ASCII punctuation but the apostrophe.
 _PUNCTUATION = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-BLOCKS = "part int, block int, n_tokens long, width int, doc_ids array<long>, bounds binary, ids binary"
+#: Parts whose starts are broadcast (16 bytes each).
+FEW_PARTS = 200_000
+BLOCKS = "part int, block int, n_tokens long, before long, width int, doc_ids array<long>, bounds binary, ids binary"
 
 
 class EliasFano:
@@ -119,8 +124,10 @@ def _word_encoder(path: str):
     tokenizer.no_truncation()
     tokenizer.no_padding()
     added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
-    pieces: dict[bytes, bytes] = {}
-    parts: dict[bytes, bytes] = {}
+    memo: dict[bytes, bytes] = {}
+    vocab = tokenizer.get_vocab()
+    word_end = np.zeros(max(vocab.values(), default=0) + 1, bool)
+    word_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def take_apart(piece: bytes) -> list[bytes]:
         low = piece.lower()
@@ -138,20 +145,36 @@ def _word_encoder(path: str):
             return [low]
         return [x for x in (head, body, tail) if x]
 
-    def encode(texts: list[bytes]) -> list[bytes]:
-        for memo in (pieces, parts):
-            if len(memo) > MEMO:
-                memo.clear()
-        split = [t.split() for t in texts]
-        new = {w: take_apart(w) for w in set().union(*split).difference(pieces)}
-        fresh = list({x for own in new.values() for x in own if x not in parts})
+    def learn(fresh: list[bytes]) -> None:
         for at in range(0, len(fresh), 4096):
             some = fresh[at : at + 4096]
             for x, e in zip(some, tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-                parts[x] = array("I", e.ids).tobytes()
+                memo[x] = array("I", e.ids).tobytes()
+
+    def learn_words(fresh: list[bytes]) -> None:
+        """Words of letters go to the tokenizer as lines of words; each ends with its one word-end token. Where the counts differ, one by one."""
+        for at in range(0, len(fresh), WORDS):
+            some = fresh[at : at + WORDS]
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(word_end[ids]) + 1
+            if len(ends) != len(some):
+                learn(some)
+                continue
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            memo.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends], ends))
+
+    def encode(texts: list[bytes]) -> list[bytes]:
+        if len(memo) > MEMO:
+            memo.clear()
+        split = [t.split() for t in texts]
+        new = {w: take_apart(w) for w in set().union(*split).difference(memo)}
+        fresh = list({x for own in new.values() for x in own if x not in memo})
+        letters = [x.isalpha() or not x.isascii() and x.decode().isalpha() for x in fresh]
+        learn_words([x for x, plain in zip(fresh, letters, strict=True) if plain])
+        learn([x for x, plain in zip(fresh, letters, strict=True) if not plain])
         for w, own in new.items():
-            pieces[w] = parts[own[0]] if len(own) == 1 else b"".join(map(parts.__getitem__, own))
-        return [b"".join(map(pieces.__getitem__, words)) for words in split]
+            memo[w] = memo[own[0]] if len(own) == 1 else b"".join(map(memo.__getitem__, own))
+        return [b"".join(map(memo.__getitem__, words)) for words in split]
 
     return encode
 
@@ -169,13 +192,13 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
         work, part, block = _word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         ids: list[int] = []
         held: list[bytes] = []
-        size = 0
+        size = before = 0
 
         def full() -> pa.RecordBatch:
             data = np.frombuffer(b"".join(held), "<u4")
             width = 2 if not len(data) or data.max() < 1 << 16 else 4
             bounds = EliasFano.build(np.cumsum([len(x) // 4 for x in held])).to_bytes()
-            return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "n_tokens": [len(data)], "width": [width], "doc_ids": [ids], "bounds": [bounds], "ids": [data.astype(f"<u{width}").tobytes()]}, schema=schema)
+            return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "n_tokens": [len(data)], "before": [before], "width": [width], "doc_ids": [ids], "bounds": [bounds], "ids": [data.astype(f"<u{width}").tobytes()]}, schema=schema)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -186,7 +209,7 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
                     size += len(x) // 4 + 1
                     if size >= block_tokens:
                         yield full()
-                        ids, held, size, block = [], [], 0, block + 1
+                        ids, held, size, before, block = [], [], 0, before + size, block + 1
         if held:
             yield full()
 
@@ -197,14 +220,14 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
 def read_token_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Per document of the files: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32`` and, on request, ``ids``.
 
-    Block starts are prefix sums in two steps: over the parts' totals (one row a part), then within
-    each part.
+    The parts' starts are one row for each partition that wrote. Up to ``FEW_PARTS`` (checked) they
+    are broadcast, so that no block moves; beyond, they are joined.
     """
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    sizes = blocks.select("part", "block", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("size"))
-    parts = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
-    starts = sizes.join(parts, "part").select("part", "block", (F.col("before") + F.sum("n_tokens").over(Window.partitionBy("part").orderBy("block")) - F.col("n_tokens")).alias("base"))
+    parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("size"))
+    parts = materialize(parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("start")), "parts")
+    if parts.count() <= FEW_PARTS:
+        parts = F.broadcast(parts)
     columns = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     schema = arrow_schema(spark, columns)
 
@@ -219,8 +242,7 @@ def read_token_ids(spark: SparkSession, path: str, with_ids: bool = False) -> Da
                     out["ids"] = [ids[a:b].astype(np.int64) for a, b in zip(begins, ends, strict=True)]
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    # each block stays where its file is read; only (part, block, base) is joined to it
-    return blocks.join(starts, ["part", "block"]).select("doc_ids", "bounds", "ids", "width", "base").mapInArrow(decode, columns)
+    return blocks.join(parts, "part").select("doc_ids", "bounds", "ids", "width", (F.col("start") + F.col("before")).alias("base")).mapInArrow(decode, columns)
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
