@@ -1,6 +1,6 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Anchors are the words of the perfect Hamming code on bits 1..63, with bit 0 free: every
+Anchors are the words of the perfect Hamming code on bits 1..63; bit 0 plays no part in them. Every
 fingerprint lies within radius 1 of exactly one anchor. Fingerprints at distance ``t <= 2`` have a
 point between them at distance at most 1 from both, and the anchor that covers that point is
 within 1 + 1 = 2 of both. So a fingerprint goes to every anchor within the covering radius plus half
@@ -52,7 +52,8 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
 
 
 def anchors(fp: Column) -> Column:
-    """The anchors within distance 2: flip the bits ``i`` and ``i xor s`` of every pair, s the xor of the places of the set bits (flipping place 0 means none)."""
+    """The anchors within distance 2: flip the bits ``i`` and ``i xor s`` of every pair, s the xor of the places of the set bits (flipping place 0 means none). Bit 0 plays no part in an anchor."""
+    fp = fp.bitwiseAND(F.lit(-2).cast("long"))
     s = F.lit(0)
     for k in range(6):
         mask = sum(1 << i for i in range(1, 64) if i >> k & 1)
@@ -71,6 +72,7 @@ def linked(fps: np.ndarray, threshold: int) -> np.ndarray:
     """For an anchor's fingerprints (at most 4,034), the smallest one that each reaches over links."""
     n = len(fps)
     fps = np.sort(fps)
+    bits = fps.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
     root = np.arange(n)
 
     def top(i: int) -> int:
@@ -80,7 +82,7 @@ def linked(fps: np.ndarray, threshold: int) -> np.ndarray:
         return i
 
     for i in range(n - 1):
-        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= threshold):
+        for j in np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= threshold):
             a, b = top(i), top(i + 1 + int(j))
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -91,7 +93,9 @@ def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
     """A spanning forest ``(a, b)`` of the links between different fingerprints of column ``fp``: its components are those of all links."""
     if not 0 <= threshold <= 2:
         raise ValueError("the Hamming code with radius 1 covers thresholds up to 2")
-    groups = distinct.select("fp", F.explode(anchors(F.col("fp"))).alias("anchor")).groupBy("anchor").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    # 32 rows come of each: dealt out first, or a few small files would be as many tasks
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = distinct.repartition(parts, "fp").select("fp", F.explode(anchors(F.col("fp"))).alias("anchor")).groupBy("anchor").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     schema = arrow_schema(distinct.sparkSession, "a long, b long")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
