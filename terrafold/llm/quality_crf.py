@@ -18,6 +18,7 @@ from .toxicity import labelled_sample
 _SYMBOLS, _DIGITS = b"#*$%&|<>{}[]=_~^@+/\\", b"0123456789"
 _UPPER, _MARKS = bytes(range(65, 91)), b"!?.,;:"
 OWN = 16
+LEAST_STEPS = 200
 
 
 def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +98,8 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 12, rate: float =
     mean, square = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
     r, t = np.random.default_rng(seed), 0
-    for _ in range(epochs):
+    # a small sample takes more passes, so that there are LEAST_STEPS steps in any case
+    for _ in range(max(epochs, -(-LEAST_STEPS // max(1, len(docs) // 64)))):
         for part in np.array_split(r.permutation(len(docs)), max(1, len(docs) // 64)):
             order, n, x, like = chains([docs[i] for i in part])
             good, equal, _, alive = marginals(w, n, x, like)

@@ -21,9 +21,10 @@ from .common import bucket, keep_rows, materialize, per_document
 
 WINDOW, STRIDE = 48, 36
 HIDDEN, WIDTH, GRAMS, LETTERS = 8, 12, 8192, 20
+LEAST_STEPS = 120
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Words whose input parts a worker remembers; letters of a word that are read (from its start).
-MEMO = 150_000
+MEMO = 100_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -182,7 +183,9 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 7, rate: float =
     flat, owner = np.concatenate(windows), np.repeat(np.arange(len(docs)), list(map(len, windows)))
     r = np.random.default_rng(seed)
     mean, square, t = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
-    for _ in range(epochs):
+    # a small sample takes more passes, so that there are LEAST_STEPS steps in any case
+    passes = max(epochs, -(-LEAST_STEPS // max(1, (len(docs) + int((y == 0).sum())) // 128)))
+    for _ in range(passes):
         scores = score_windows(m, parts_of(m, inputs(m, numbers, code, real)), flat)
         order = np.lexsort((scores, owner))
         last = np.append(owner[order][1:] != owner[order][:-1], True)
