@@ -385,12 +385,12 @@ def rect_intersection(spark, sf_dir):
 
 @query()
 def greedy_features(spark, sf_dir):
-    """Occlusion marks, then the greedy picks of each ring (here: a frame's points at one ring place)."""
+    """Occlusion marks, then the greedy picks of each ring (here: the 21 points of a vector)."""
     from ..operators.features import greedy_features as pick
     from ..operators.windows import occlusion
 
-    rings = occlusion(V.points(spark, sf_dir), ["frame", "ring"], ["pt"])
-    return pick(rings, ["frame", "ring"], "pt").select("pt", "frame", "ring", "picked", "label")
+    rings = occlusion(V.points(spark, sf_dir).withColumn("turn", F.floor(F.col("pt") / 21)), ["turn"], ["pt"])
+    return pick(rings, ["turn"], "pt").select("pt", "turn", "picked", "label")
 
 
 @query("points", "SELECT frame, ring, pt, round((first(z) OVER w), 6)+0e0 AS first_z, round((last(z) OVER w), 6)+0e0 AS last_z FROM points WINDOW w AS (PARTITION BY frame, ring ORDER BY pt ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")

@@ -120,3 +120,70 @@ def colour_conversion(spark, sf_dir):
 def arg_min_label(spark, sf_dir):
     d = V.pixels(spark, sf_dir).groupBy("u", "v").agg(F.round(F.min("z"), 2).alias("depth"))
     return aggs.arg_min(d, ["u"], "depth", "v")
+
+
+_RECT = "SELECT v AS patch, i AS u, j AS v FROM (SELECT DISTINCT v % 4 AS v FROM pixels), range(6) a(i), range(4) b(j)"
+
+
+@query("pixels", f"""WITH c AS (SELECT *, least(u, 5-u, v, 3-v) AS k FROM ({_RECT})), a AS (SELECT patch, u, v, k, CASE WHEN v = k THEN u - k WHEN u = 5-k THEN 5-2*k + v-k WHEN v = 3-k THEN 5-2*k + 3-2*k + 5-k-u ELSE 2*(5-2*k) + 3-2*k + 3-k-v END AS along FROM c)
+SELECT patch, u, v, CAST(row_number() OVER (PARTITION BY patch ORDER BY k, along) AS INT) AS "order" FROM a""")
+def boundary_order(spark, sf_dir):
+    from ..operators.inpaint import boundary_order as ordered
+
+    longs = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long")))
+    m = V.pixels(spark, sf_dir).select((F.col("v") % 4).alias("patch")).distinct().withColumn("u", longs(5)).withColumn("v", longs(3))
+    return ordered(m, ["patch"])
+
+
+@query("pixels", f"SELECT d.u, d.v, CAST((i+1)*3 + j+1 AS INT) AS label, round(c.depth, 2) AS depth FROM ({_DEPTH}) d, range(-1,2) a(i), range(-1,2) b(j), ({_DEPTH}) c WHERE c.u = d.u + 2 + j AND c.v = d.v + 1 + i")
+def candidate_window(spark, sf_dir):
+    from ..operators.inpaint import candidate_window as window
+
+    d = V.pixels(spark, sf_dir).groupBy("u", "v").agg(F.round(F.min("z"), 2).alias("depth"))
+    rows = window(d.select("u", "v", (F.col("u") + 2).alias("su"), (F.col("v") + 1).alias("sv")), 1)
+    return rows.join(d.select(F.col("u").alias("cu"), F.col("v").alias("cv"), "depth"), ["cu", "cv"]).select("u", "v", "label", "depth")
+
+
+@query()
+def triangulated_fill(spark, sf_dir):
+    """Each vector's 21 samples are triangulated, and pixels inside triangles get their barycentric weights."""
+    from ..operators import joins
+    from ..operators.inpaint import triangulate
+
+    p = V.points(spark, sf_dir).select(F.floor(F.col("pt") / 21).alias("turn"), F.floor(F.col("x") * 8).alias("u"), F.floor(F.col("y") * 8).alias("v"))
+    t = triangulate(p, ["turn"]).withColumn("tri", F.col("turn") * 1000 + F.col("tri"))
+    return rounded(joins.rasterize(t), "w0 w1 w2", 5)
+
+
+@query()
+def warped_depth(spark, sf_dir):
+    """The depth raster seen from a camera that stands aside."""
+    import numpy as np
+
+    from ..operators.inpaint import warp_by_depth
+
+    d = V.pixels(spark, sf_dir).groupBy("u", "v").agg((F.min("z") / 100).alias("depth")).withColumn("value", F.round("depth", 2))
+    k = np.array([[50.0, 0, 24], [0, 50, 32], [0, 0, 1]])
+    m = (k @ np.c_[np.eye(3), [1.0, 0, 0]]).ravel().tolist()
+    return rounded(warp_by_depth(d, np.linalg.inv(k), m, 48, 64, []), "depth value", 4)
+
+
+@query()
+def patch_homographies(spark, sf_dir):
+    """A homography a patch column, from pixels and their shifted places."""
+    from ..operators.inpaint import homographies
+
+    d = V.pixels(spark, sf_dir).select("u", "v").distinct().where("v < 24")
+    pairs = d.select((F.col("u") % 8).alias("patch"), F.col("u").alias("su"), F.col("v").alias("sv"), (F.col("u") * 1.1 + F.col("v") * 0.2 + 3).alias("du"), (F.col("v") * 0.9 + 1).alias("dv"))
+    out = homographies(pairs, ["patch"], rounds=20)
+    return out.select("patch", *((F.round(F.get("h", F.lit(i)), 4) + 0.0).alias(f"h{i}") for i in range(8)))
+
+
+@query()
+def filled_inward(spark, sf_dir):
+    """A block of the raster filled from its rim, round by round."""
+    from ..operators.inpaint import fill_inward
+
+    d = V.pixels(spark, sf_dir).groupBy("u", "v").agg((F.min("z") / 100).alias("depth"))
+    m = d.where("u between 20 and 25 and v between 20 and 25").select("u", "v")
+    return rounded(fill_inward(d, m, [], ["depth"]), "depth", 4)

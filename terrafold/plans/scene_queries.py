@@ -13,27 +13,32 @@ query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
 
+def _turns(spark, sf_dir):
+    """Points with the turn they belong to: 21 points of one vector, a group of fixed size."""
+    return V.points(spark, sf_dir).withColumn("turn", F.floor(F.col("pt") / 21))
+
+
 @query()
 def odometry_gn(spark, sf_dir):
-    """The pose that each frame was moved by, found again from its points and planes."""
-    p = V.points(spark, sf_dir).join(V.poses(spark, sf_dir), "frame")
+    """The pose that each turn of 21 points was moved by, found again from its points and planes."""
+    p = _turns(spark, sf_dir).join(V.poses(spark, sf_dir), "frame")
     q = g.to_map(g.vec())
     axis = F.col("pt") % 3
-    rows = p.select("frame", *(F.col(c) for c in "xyz"), *(c.alias(f"q{n}") for c, n in zip(q, "xyz", strict=True)), *(F.when(axis == k, 1.0).otherwise(0.0).alias(f"n{n}") for k, n in enumerate("xyz")))
-    return rounded(optimize.register(rows, ["frame"]), "rx ry rz tx ty tz", 5)
+    rows = p.select("turn", *(F.col(c) for c in "xyz"), *(c.alias(f"q{n}") for c, n in zip(q, "xyz", strict=True)), *(F.when(axis == k, 1.0).otherwise(0.0).alias(f"n{n}") for k, n in enumerate("xyz")))
+    return rounded(optimize.register(rows, ["turn"]), "rx ry rz tx ty tz", 4)
 
 
 @query()
 def map_match_gn(spark, sf_dir):
     """As above against a voxel map: correspondences come from the nearest map cell in the shared cube."""
-    p = V.points(spark, sf_dir)
+    p = _turns(spark, sf_dir)
     grid = aggs.voxel_grid(p, 0.5, ["frame"]).withColumn("pt", F.monotonically_increasing_id()).select("frame", "pt", "x", "y", "z")
-    shifted = p.select("frame", "pt", (F.col("x") + 0.02).alias("x"), (F.col("y") - 0.01).alias("y"), F.col("z"))
+    shifted = p.select("frame", "turn", "pt", (F.col("x") + 0.02).alias("x"), (F.col("y") - 0.01).alias("y"), F.col("z"))
     near = joins.radius_join(shifted, grid, 1.0, ["frame"])
-    best = near.groupBy("frame", "pt").agg(F.min(F.struct("d2", "x", "y", "z", "p_x", "p_y", "p_z")).alias("m")).select("frame", "pt", "m.*")
+    best = near.groupBy("frame", "turn", "pt").agg(F.min(F.struct("d2", "x", "y", "z", "p_x", "p_y", "p_z")).alias("m")).select("turn", "pt", "m.*")
     axis = F.col("pt") % 3
-    rows = best.select("frame", "x", "y", "z", *(F.col(f"p_{n}").alias(f"q{n}") for n in "xyz"), *(F.when(axis == k, 1.0).otherwise(0.0).alias(f"n{n}") for k, n in enumerate("xyz")))
-    return rounded(optimize.register(rows, ["frame"], iterations=10), "rx ry rz tx ty tz", 4)
+    rows = best.select("turn", "x", "y", "z", *(F.col(f"p_{n}").alias(f"q{n}") for n in "xyz"), *(F.when(axis == k, 1.0).otherwise(0.0).alias(f"n{n}") for k, n in enumerate("xyz")))
+    return rounded(optimize.register(rows, ["turn"], iterations=10), "rx ry rz tx ty tz", 4)
 
 
 @query()
@@ -78,10 +83,10 @@ def _filled(cells, visible):
 
 @query()
 def sweep_shares(spark, sf_dir):
-    """Share of the sweep at each point of a frame's ring."""
+    """Share of the sweep at each point of a turn."""
     from ..operators.windows import unwrap_sweep
 
-    return rounded(unwrap_sweep(V.points(spark, sf_dir), ["frame", "ring"], ["pt"]).select("pt", "sweep_share"), "sweep_share", 5)
+    return rounded(unwrap_sweep(_turns(spark, sf_dir), ["turn"], ["pt"]).select("pt", "sweep_share"), "sweep_share", 5)
 
 
 @query()
