@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, host_rules, line_dedup, pii, quality_crf, simhash, token_counts, token_ids, toxicity
+from . import bpe, decontaminate, host_rules, line_dedup, oracles, pii, quality_crf, simhash, token_counts, token_ids, toxicity
 from .common import bucket
 
 
@@ -47,7 +47,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.host_rules(table(spark, sf_dir, "documents"))
+    return host_rules.host_rules(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +58,16 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base kinds of op9 alone, which SQL can express."""
+    return op9_pii(spark, sf_dir).drop("spans")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_crf.fit(docs, table(spark, sf_dir, "labels"))
     return quality_crf.quality(docs, model).select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_bpe, op3_toxicity, op4_line_dedup, op5_decontamination, op6_simhash, op7_host_rules, op8_token_counts, op9_pii, op10_quality)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_bpe, op3_toxicity, op4_line_dedup, op5_decontamination, op6_simhash, op7_host_rules, op8_token_counts, op9_pii, op10_quality, pii_base)}
+ORACLES: dict[str, str] = {"op5_decontamination": oracles.DECONTAMINATION, "op7_host_rules": oracles.HOST_RULES, "pii_base": oracles.PII}
