@@ -24,7 +24,7 @@ from .common import per_document
 
 #: Fixed value: the byte-level splitting pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 200_000
+MEMO = 260_000
 
 
 def byte_letters() -> dict[str, int]:
