@@ -150,7 +150,7 @@ def triangulated_fill(spark, sf_dir):
     from ..operators import joins
     from ..operators.inpaint import triangulate
 
-    p = V.points(spark, sf_dir).select(F.floor(F.col("pt") / 21).alias("turn"), F.floor(F.col("x") * 8).alias("u"), F.floor(F.col("y") * 8).alias("v"))
+    p = V.points(spark, sf_dir).select(F.floor(F.col("pt") / 21).alias("turn"), F.floor(F.col("x") * 2).alias("u"), F.floor(F.col("y") * 2).alias("v"))
     t = triangulate(p, ["turn"]).withColumn("tri", F.col("turn") * 1000 + F.col("tri"))
     return rounded(joins.rasterize(t), "w0 w1 w2", 5)
 
