@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,8 +60,9 @@ def bounds(df: DataFrame, by: list[str], dims: list[str]) -> DataFrame:
 
 
 def centred(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Minus the mean of its group."""
-    return df.select("*", (F.col(value) - F.avg(value).over(Window.partitionBy(*by))).alias(f"{value}_centred"))
+    """Minus the mean of its group: means are combined before the shuffle and joined back, so no group lands in one task."""
+    means = df.groupBy(*by).agg(F.avg(value).alias("_mean"))
+    return df.join(means, by).select(*df.columns, (F.col(value) - F.col("_mean")).alias(f"{value}_centred"))
 
 
 def pyramid(df: DataFrame, value: str, u: str = "u", v: str = "v") -> DataFrame:

@@ -103,19 +103,22 @@ def box_anti(points: DataFrame, boxes: DataFrame, frame: str = "frame", min_conf
 def first_match(cells: DataFrame, frames: DataFrame, visible: DataFrame, ident: list[str], at: str, by: list[str], skip_adjacent_backward: bool = True, backward_first: bool = False) -> DataFrame:
     """For each cell the first frame along time in which it is visible: column ``source``.
 
-    ``by`` names the sequence (one vehicle, one video) and is part of all three tables. Forward frames come
+    ``by`` names the sequence (one vehicle, one video) and is part of all three tables; ``at`` is an integer. Forward frames come
     first in rising order, then backward ones in falling order (or the other way round); no match
     gives the cell's own frame. The backward search passes over the frame right before the cell's
     own, as the reference semantics do, unless told not to.
     """
     w = Window.partitionBy(*by).orderBy(at)
     near = frames.select(*by, at).distinct().select(*by, at, (F.lag(at).over(w) if skip_adjacent_backward else F.lit(None).cast("long")).alias("_adjacent"))
-    pairs = cells.join(near, [*by, at], "left").join(visible.select(*by, *ident, F.col(at).alias("_seen")), [*by, *ident])
-    pairs = pairs.where((F.col("_seen") != F.col(at)) & (F.col("_adjacent").isNull() | (F.col("_seen") != F.col("_adjacent"))))
-    back = (F.col("_seen") < F.col(at)).cast("int")
-    order = F.struct((1 - back if backward_first else back).alias("turn"), F.abs(F.col("_seen") - F.col(at)).alias("gap"), "_seen")
-    best = pairs.groupBy(*by, *ident, at).agg(F.min(order).alias("_m"))
-    return cells.join(best, [*by, *ident, at], "left").select(*cells.columns, F.coalesce("_m._seen", at).alias("source"))
+    # one ordered pass per cell identity instead of all pairs of frames: the next sighting, and the last one with the one before it
+    seen = visible.select(*by, *ident, at).distinct()
+    seen = seen.select(*by, *ident, at, F.struct(F.col(at).alias("at"), F.lag(at).over(Window.partitionBy(*by, *ident).orderBy(at)).alias("before")).alias("_v"))
+    both = cells.join(near, [*by, at], "left").unionByName(seen, allowMissingColumns=True)
+    order = Window.partitionBy(*by, *ident).orderBy(at)
+    both = both.select("*", F.first("_v", True).over(order.rangeBetween(1, Window.unboundedFollowing)).alias("_n"), F.last("_v", True).over(order.rangeBetween(Window.unboundedPreceding, -1)).alias("_p"))
+    back = F.when(F.col("_p.at") == F.col("_adjacent"), F.col("_p.before")).otherwise(F.col("_p.at"))
+    found = (back, F.col("_n.at")) if backward_first else (F.col("_n.at"), back)
+    return both.where("_v is null").select(*cells.columns, F.coalesce(*found, F.col(at)).alias("source"))
 
 
 def align(left: DataFrame, right: DataFrame, time: str, bound: int, keep: list[str], by: list[str]) -> DataFrame:
