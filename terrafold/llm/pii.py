@@ -27,6 +27,9 @@ class Kind:
     base: bool = True
 
 
+#: Matches whose positions are summed together; any value gives the same spans.
+CHUNK = 256
+
 #: Fixed order of the kinds in results. Scores and context words are parameters of the method.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, "mail|contact|kontakt|correo|courriel"),
@@ -46,7 +49,7 @@ def _luhn(value: Column) -> Column:
     digits = F.reverse(_digits(value))
     doubled = lambda i: F.substring(digits, i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
     total = F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda acc, i: acc + doubled(i) - F.when(doubled(i) > 9, 9).otherwise(0))
-    return F.length(digits).between(12, 19) & (total % 10 == 0)
+    return (F.length(value) >= 12) & F.length(digits).between(12, 19) & (total % 10 == 0)
 
 
 def _octets(value: Column) -> Column:
@@ -61,39 +64,64 @@ def _mod97(value: Column) -> Column:
     return F.length(plain).between(15, 34) & (rest == 1)
 
 
+#: Never null, as a span is kept or not.
 _VALID = {"ip": _octets, "card": _luhn, "iban": _mod97, "phone": lambda v: F.length(_digits(v)).between(9, 15)}
 
 
-def _placed(values: Column, gaps: Column) -> Column:
-    """Matches with their code points: after the stretches and matches before them."""
-    empty = F.array().cast("array<struct<begin:int,stop:int,value:string>>")
+def _measured(kind: Kind) -> Column:
+    """Lengths of every match and of the stretch before it, and whether its validator agrees."""
+    valid = _VALID.get(kind.name, lambda v: F.lit(True))
+    gaps = F.col(f"g_{kind.name}")
+    return F.transform(f"v_{kind.name}", lambda v, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(v).alias("len"), valid(v).alias("ok")))
+
+
+def _placed(lengths: Column) -> Column:
+    """The confirmed matches with their code points: after the stretches and matches before them.
+
+    Positions are summed within chunks of matches and then over chunks, so that no array grows match
+    by match over a whole long text.
+    """
+    place = "array<struct<begin:int,stop:int,i:int>>"
+
+    def step(acc: Column, m: Column) -> Column:
+        begin = acc["at"] + m["gap"]
+        stop = begin + m["len"]
+        here = F.array(F.struct(begin.alias("begin"), stop.alias("stop"), acc["i"].alias("i")))
+        return F.struct(stop.alias("at"), (acc["i"] + 1).alias("i"), F.when(m["ok"], F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"))
+
+    def chunk(first: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), first.alias("i"), F.array().cast(place).alias("out"))
+        return F.aggregate(F.slice(lengths, first + 1, CHUNK), start, step)
+
+    def shift(acc: Column, c: Column) -> Column:
+        moved = F.transform(c["out"], lambda m: F.struct((m["begin"] + acc["at"]).alias("begin"), (m["stop"] + acc["at"]).alias("stop"), m["i"].alias("i")))
+        return F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.size(lengths) - 1, F.lit(CHUNK)), chunk)
+    return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{place}>").alias("out")), shift, lambda acc: F.flatten(acc["out"]))
 
-    def step(acc: Column, i: Column) -> Column:
-        value = F.get(values, i)
-        begin = acc["at"] + F.length(F.get(gaps, i))
-        stop = begin + F.length(value)
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("begin"), stop.alias("stop"), value.alias("value")))).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+def _before(values: Column, gaps: Column, i: Column, reach: int) -> Column:
+    """The last ``reach`` code points before match ``i``. A match has two or more, so ``reach / 2`` matches back are enough."""
+    first = F.greatest(F.lit(0), i - (reach + 1) // 2)
+    end = lambda c: F.right(c, F.lit(reach))
+    piece = lambda j: F.concat(F.when(j > first, end(F.get(values, j - 1))).otherwise(""), end(F.get(gaps, j)))
+    return end(F.array_join(F.transform(F.sequence(first, i), piece), ""))
 
 
 def _spans(number: int, kind: Kind, threshold: float, reach: int) -> Column:
     """The confirmed and scored spans of one kind."""
-    values, gaps = F.col(f"v_{kind.name}"), F.col(f"g_{kind.name}")
+    values, gaps, lengths = F.col(f"v_{kind.name}"), F.col(f"g_{kind.name}"), F.col(f"m_{kind.name}")
 
     def scored(s: Column) -> Column:
-        before = F.substring(F.col("text"), F.greatest(F.lit(1), s["begin"] + 1 - reach), F.least(F.lit(reach), s["begin"]))
-        near = F.lower(before).rlike(rf"\b(?:{kind.context})\b")
+        near = F.lower(_before(values, gaps, s["i"], reach)).rlike(rf"\b(?:{kind.context})\b")
         score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, 0.2).otherwise(0.0))
         return F.struct(s["begin"].alias("begin"), F.lit(number).alias("kind"), s["stop"].alias("stop"), score.alias("score"))
 
-    placed = _placed(values, gaps)
-    if kind.name in _VALID:
-        placed = F.filter(placed, lambda s: _VALID[kind.name](s["value"]))
-    found = F.transform(placed, scored)
+    found = F.transform(_placed(lengths), scored)
     if not kind.base:
         found = F.filter(found, lambda s: s["score"] >= threshold)
-    return F.when(F.size(values) > 0, found).otherwise(F.array().cast("array<struct<begin:int,kind:int,stop:int,score:double>>"))
+    return F.when(F.exists(lengths, lambda m: m["ok"]), found).otherwise(F.array().cast("array<struct<begin:int,kind:int,stop:int,score:double>>"))
 
 
 def find_pii(docs: DataFrame, threshold: float = 0.5, reach: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,7 +134,8 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, reach: int = 40, id_col: s
     none = F.array().cast("array<string>")
     possible = {k.name: F.col("text").contains(k.needs) if k.needs else F.col("text").rlike("[0-9]{2}|[0-9][ -][0-9]") for k in KINDS}
     rows = rows.select("doc_id", "text", *(F.when(possible[k.name], F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0))).otherwise(none).alias(f"v_{k.name}") for k in KINDS))
-    rows = rows.select("*", *(F.when(F.size(f"v_{k.name}") > 0, F.split("text", k.pattern, -1)).alias(f"g_{k.name}") for k in KINDS))
+    rows = rows.select("*", *(F.when(F.size(f"v_{k.name}") > 0, F.split("text", k.pattern, -1)).alias(f"g_{k.name}") for k in KINDS)).drop("text")
+    rows = rows.select("*", *(_measured(k).alias(f"m_{k.name}") for k in KINDS))
     spans = [_spans(number, k, threshold, reach) for number, k in enumerate(KINDS)]
     return rows.select("doc_id", F.array_sort(F.concat(*spans)).alias("found"))
 

@@ -196,3 +196,18 @@ def test_models_learn(spark):
     out = toxicity.toxicity(docs, m).join(docs.where(common.bucket("doc_id", 4) == 2).select("doc_id", "toxic"), "doc_id")
     assert out.where("predicted = toxic").count() / out.count() > 0.95
     assert toxicity.drop_toxic(docs, m).columns == docs.columns
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 256])
+def test_pii_positions_over_chunks_of_matches(spark, monkeypatch, chunk):
+    monkeypatch.setattr(pii, "CHUNK", chunk)
+    text = "é ".join(f"w{k} a{k}@b.com ssn {100 + k}-45-6789, {100 + k}-45-6780 card {CARD}." if k % 3 else f"x{k}y 12 34" for k in range(40))
+    found = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().found
+    seen = [(pii.KINDS[s.kind].name, text[s.begin : s.stop]) for s in found]
+    want = [w for k in range(40) if k % 3 for w in [("email", f"a{k}@b.com"), ("ssn", f"{100 + k}-45-6789"), ("ssn", f"{100 + k}-45-6780"), ("card", CARD)]]
+    assert seen == want
+
+
+def test_pii_takes_linear_time_in_the_matches(spark):
+    text = " ".join(f"w{k % 997}x" for k in range(200_000))
+    assert pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().found == []
