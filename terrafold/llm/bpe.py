@@ -14,6 +14,8 @@ import codecs
 import hashlib
 import heapq
 import json
+import sys
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +29,20 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 MEMO = 260_000
 
 
+def newer_letters(path: str) -> str:
+    """Letters and numbers of the ``regex`` module's Unicode version that the tokenizers library doesn't take for such yet.
+
+    Only code points that Python's own tables call unassigned come into question; the library is
+    asked where it splits ``'re`` off: after a letter or number, but not after anything else.
+    """
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(path).pre_tokenizer
+    known = regex.compile(r"[\p{L}\p{N}]")
+    unassigned = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
+    return "".join(c for c in known.findall(unassigned) if split.pre_tokenize_str(f"{c}'re")[0][1][1] > 1)
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in byte-level vocabularies: itself where printable, else the next free one from U+0100."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -35,8 +51,9 @@ def byte_letters() -> dict[str, int]:
 
 
 class Bpe:
-    def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]], special: dict[str, int] | None = None):
+    def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]], special: dict[str, int] | None = None, newer: str = ""):
         self.special = special or {}
+        self.marks = [t.encode() for t in self.special]
         self.text_of = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.single = [vocab[bytes([b])] for b in range(256)]
         #: pair of ids -> rank of its merge; the id that the merge makes
@@ -45,6 +62,9 @@ class Bpe:
         self.reach = self.lookahead(merges)
         self.window = max(4096, 2 * self.reach)
         self.split = regex.compile(PATTERN)
+        self.newer = frozenset(newer)
+        #: the same pattern with the newer letters and numbers among the other characters
+        self.careful = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\p{L}\p{N}]|\L<newer>)").replace(r"\p{L}+", r"(?:(?!\L<newer>)\p{L})+").replace(r"\p{N}+", r"(?:(?!\L<newer>)\p{N})+"), newer=self.newer) if newer else None
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[bytes, bytes | None] = {}
@@ -57,7 +77,7 @@ class Bpe:
         to_bytes = lambda s: bytes(map(letters.__getitem__, s))
         special = {t["content"]: t["id"] for t in data["added_tokens"]}
         vocab = {to_bytes(t): i for t, i in data["model"]["vocab"].items() if t not in special}
-        return cls(vocab, [tuple(map(to_bytes, m if isinstance(m, list) else m.split(" "))) for m in data["model"]["merges"]], special)
+        return cls(vocab, [tuple(map(to_bytes, m if isinstance(m, list) else m.split(" "))) for m in data["model"]["merges"]], special, newer_letters(path))
 
     @staticmethod
     def lookahead(merges: list[tuple[bytes, bytes]]) -> int:
@@ -138,7 +158,8 @@ class Bpe:
         return got
 
     def plain(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.split.findall(text)))
+        split = self.split if text.isascii() or self.newer.isdisjoint(text) else self.careful
+        return b"".join(map(self.piece, split.findall(text)))
 
     def chunk(self, data: bytes) -> bytes | None:
         """Ids of a stretch between single blanks, or None if white space at its ends would join with the blank beside it."""
@@ -160,7 +181,7 @@ class Bpe:
         Where single blanks separate other characters, a piece always begins at the blank; such
         stretches are remembered whole. Texts with other white space runs go piece by piece.
         """
-        if self.cut is not None and b"<|" in data:
+        if any(mark in data for mark in self.marks):
             text, out, at = data.decode(), [], 0
             for m in self.cut.finditer(text):
                 out += [self.plain(text[at : m.start()]), np.array([self.special[m.group()]], "<u4").tobytes()]

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from terrafold.llm import bpe, decontaminate, host_rules, line_dedup, quality_crf, simhash, token_counts, token_ids, toxicity
+from terrafold.llm.queries import vocabulary
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -240,3 +241,14 @@ def test_crf_marginals_are_brute_force():
 def test_models_with_one_class():
     assert toxicity.Scorer(toxicity.train([], []))([b"a"]).tolist() == [0.0]
     assert quality_crf.scores(quality_crf.train([b"a"], [1]), [b"", b"b"]).tolist() == [1.0, 1.0]
+
+
+def test_bpe_classes_follow_the_library():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), bpe.loaded(path)
+    newer = sorted(own.newer)[:: max(1, len(own.newer) // 50)]
+    for text in ["é're", " 's x", "a<|endoftext|>'ll  b", *(f"a{c}'re {c}1 {c}{c}b" for c in newer)]:
+        ids = np.frombuffer(own.encode(text.encode()), "<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids
