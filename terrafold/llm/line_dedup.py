@@ -1,14 +1,17 @@
 """Line dedup by pairwise alignment.
 
-1. Every text is cut into units: lines, and sentences within lines, so that a passage pasted into
-   the middle of a line is still seen. Each distinct unit of a document becomes one row with its hash.
-2. A unit's hash is rare if at most ``max(rare_docs, rare_share * documents)`` documents hold it. Each
+1. Every text is cut into units: lines, and sentences within lines. Passages begin and end anywhere, so
+   word shingles chosen by content (the smallest hash of every window) stand beside them: any two runs of
+   ``min_words`` equal words hold the same shingles, and neighbouring ones leave no word between them.
+   Each distinct unit or shingle of a document becomes one row with its hash.
+2. A hash is rare if at most ``max(rare_docs, rare_share * documents)`` documents hold it. Each
    rare hash links every holder to its first holder (the smallest document id, then the smallest hash of the text). That star is linear
    in the rows, so no group of copies, however large, needs a cap.
-3. A document is aligned with each earlier document it is linked to by patience diff over the shared
-   units: units that are unique in both are ordered by the longest increasing subsequence, and the
-   gaps between anchors are filled from both ends with the other shared units.
-4. Aligned units that lie side by side in the later document form a block. Blocks of at least
+3. A document is aligned with each earlier document it is linked to by patience diff over what they
+   share: units and shingles that are unique in both are ordered by the longest increasing subsequence, and the
+   gaps between anchors are filled in order with the others.
+4. Aligned runs grow word by word into broken sentences as far as the first holder's words go on alike.
+   Aligned words that lie side by side in the later document form a block. Blocks of at least
    ``min_words`` words are deleted from the later document; the first holder keeps them. Shorter
    repeats (a licence line, a stock phrase) stay.
 """
@@ -16,17 +19,17 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import arrow_schema, materialize
+from .common import BLANK, arrow_schema, materialize
 
 _ENDS = re.compile(rb"[.!?]+[ \t]+|\s*\n\s*")
 
@@ -43,13 +46,71 @@ def units(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def patience(pairs: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
-    """Aligned places of two documents from their shared units ``(place, place in the earlier one, unique in both)``.
+_DRAW = np.random.default_rng(11)
+_BYTE = _DRAW.integers(1, 1 << 64, 256, np.uint64)
+_BASE, _STEP = (int(x) | 1 for x in _DRAW.integers(1, 1 << 64, 2, np.uint64))
+_SPACE = np.zeros(256, bool)
+_SPACE[list(BLANK)] = True
+_powers: dict[int, np.ndarray] = {}
 
-    Anchors are the longest chain of unique units that rises in both; the remaining shared units join
-    where they fit between their neighbouring anchors in order.
-    """
-    anchors = sorted(p[:2] for p in pairs if p[2])
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``base ** 0 .. base ** (n - 1)`` modulo 2^64, remembered."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, np.uint64)
+        known[0] = 1
+        _powers[base] = known = np.multiply.accumulate(known)
+    return known[:n]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def ranges(values: np.ndarray, base: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of ``values[a:b]`` for many ranges, from one running sum."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(base, len(values)), dtype=np.uint64)])
+    return mixed((sums[b] - sums[a]) * powers(pow(base, -1, 1 << 64), len(values) + 1)[a] + (b - a).astype(np.uint64))
+
+
+def words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where a text's words begin, and their hashes."""
+    raw = np.frombuffer(text, np.uint8)
+    edge = np.diff(np.concatenate([[True], _SPACE[raw], [True]]).astype(np.int8))
+    begin, stop = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+    return begin, ranges(_BYTE[raw], _BASE, begin, stop)
+
+
+def shingles(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the shingles of ``size`` words with the smallest hash of a window of ``size`` shingles."""
+    n = len(hashes) - size + 1
+    if n < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.arange(n)
+    h = ranges(hashes, _STEP, at, at + size)
+    least = np.unique(np.lib.stride_tricks.sliding_window_view(h, size).argmin(axis=1) + at[: n - size + 1])
+    return least, h[least]
+
+
+def marks(text: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A text's units and shingles: hash, first word, number of words. Units that hold ``2 * size`` words hold shingles enough."""
+    begin, hashes = words(text)
+    ends = np.searchsorted(begin, [b for _, b in units(text)])
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    some = (ends > starts) & (ends - starts < 2 * size)
+    starts, ends = starts[some], ends[some]
+    at, h = shingles(hashes, size)
+    # another seed, so that a unit of as many words as a shingle is a hash of its own
+    own = mixed(ranges(hashes, _STEP, starts, ends) + np.uint64(1))
+    return np.concatenate([own, h]), np.concatenate([starts, at]), np.concatenate([ends - starts, np.full(len(at), size)])
+
+
+def rising(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest chain that rises in both."""
+    anchors = sorted(anchors)
     tails: list[int] = []
     at: list[int] = []
     back: list[int] = []
@@ -66,45 +127,95 @@ def patience(pairs: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
         chain.append(anchors[i])
         i = back[i]
     chain.reverse()
-    rest = sorted(p[:2] for p in pairs if not p[2])
-    if not rest:
-        return chain
+    return chain
+
+
+def filled(chain: list[tuple[int, int]], rest: list[tuple[int, list[int]]]) -> list[tuple[int, int]]:
+    """The chain with each ``(place, rising places in the earlier one)`` that fits between its neighbours."""
     out, k, low = [], 0, -1
-    for x, y in [*rest, (1 << 62, 0)]:
+    for x, ys in [*sorted(rest), (1 << 62, [])]:
         while k < len(chain) and chain[k][0] < x:
             out.append(chain[k])
             low = chain[k][1]
             k += 1
-        if x < 1 << 62 and y > low and (k == len(chain) or y < chain[k][1]):
-            out.append((x, y))
-            low = y
+        i = bisect_right(ys, low)
+        if i < len(ys) and (k == len(chain) or ys[i] < chain[k][1]):
+            out.append((x, ys[i]))
+            low = ys[i]
     return out
 
 
-def deleted_units(row: dict, min_words: int) -> list[int]:
-    """Places of a document's units that its aligned blocks cover."""
-    words: dict[int, int] = {}
-    by_first: dict[str, list[tuple[int, int, bool]]] = {}
-    for first, own, first_at, unique, n in zip(row["first"], row["at"], row["first_at"], row["alone"], row["words"], strict=True):
-        for x in own:
-            words[x] = n
-            by_first.setdefault(first, []).append((x, first_at, unique and len(own) == 1))
-    aligned = sorted({x for pairs in by_first.values() for x, _ in patience(pairs)})
-    out: list[int] = []
-    block: list[int] = []
-    for x in [*aligned, -1]:
-        if block and x != block[-1] + 1:
-            if sum(map(words.__getitem__, block)) >= min_words:
-                out += block
-            block = []
-        block.append(x)
+def patience(pairs: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
+    """Aligned places of two documents from their shared units ``(place, place in the earlier one, unique in both)``.
+
+    Anchors are the longest chain of unique units that rises in both; the remaining shared units join
+    where they fit between their neighbouring anchors in order.
+    """
+    return filled(rising([p[:2] for p in pairs if p[2]]), [(x, [y]) for x, y, unique in pairs if not unique])
+
+
+def around(hashes: np.ndarray, at: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Per place, ``size`` words before it (nearest first) and ``size`` behind its ``n`` words, in 32 bits; 0: none."""
+    none = np.zeros(size, np.uint32)
+    padded = np.concatenate([none, short(hashes), none])
+    steps = np.arange(size)
+    return padded[np.concatenate([at[:, None] + size - 1 - steps, at[:, None] + size + n + steps], axis=1)]
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def blocks(cover: np.ndarray, least: int) -> np.ndarray:
+    """The runs of at least ``least`` set places."""
+    edge = np.diff(np.concatenate([[0], cover.astype(np.int8), [0]]))
+    out = np.zeros(len(cover), bool)
+    for a, b in zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist(), strict=True):
+        out[a:b] = b - a >= least
     return out
 
 
+def deleted_words(shared: list[dict], hashes: np.ndarray, min_words: int, size: int) -> np.ndarray:
+    """Which words of a document its aligned blocks cover."""
+    by_first: dict[tuple, list[dict]] = {}
+    for s in shared:
+        by_first.setdefault((s["first"]["doc_id"], s["first"]["own"]), []).append(s)
+    cover, own = np.zeros(len(hashes), bool), short(hashes).tolist()
+    for items in by_first.values():
+        known: dict[int, list[dict]] = {}
+        chain, rest = [], []
+        for s in items:
+            for x in s["at"]:
+                known.setdefault(x, []).append(s)
+            if s["alone"] and len(s["at"]) == 1:
+                chain.append((s["at"][0], s["first_at"][0]))
+            else:
+                rest += [(x, s["first_at"][:1]) for x in s["at"]]
+        aligned = [(x, y, s) for x, y in filled(rising(chain), rest) for s in known[x] if y in s["first_at"]]
+        for x, _, s in aligned:
+            cover[x : x + s["words"]] = True
+        before = cover.copy()
+        for x, y, s in aligned:
+            a, b = x, x + s["words"]
+            if a and not before[a - 1] or b < len(own) and not before[b]:
+                k = 8 * size * s["first_at"].index(y)
+                near = np.frombuffer(s["around"][k : k + 8 * size], np.uint32).tolist()
+                for w in near[:size]:
+                    if not a or own[a - 1] != w:
+                        break
+                    a -= 1
+                for w in near[size:]:
+                    if b == len(own) or own[b] != w:
+                        break
+                    b += 1
+                cover[a:b] = True
+    return blocks(cover, min_words)
+
+
 def line_dedup(docs: DataFrame, min_words: int = 20, rare_docs: int = 64, rare_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", out_col: str = "line_dedup") -> DataFrame:
     """The rows of ``docs`` with the deleted blocks gone from their text, and a struct ``n_units, n_deleted, words_deleted``.
 
-    One row per input row; all other columns stay (``out_col`` is replaced if it is there already).
+    One row per input row; all other columns stay (``out_col`` is replaced if it is there already). ``n_deleted`` counts the units that lost words.
     Null and empty texts have no units and stay as they are; blank units never match. A document is
     its id and text: repeated rows are one document and lose the same blocks, different texts under one
     id are two, ordered by a hash. Rows without an id stay whole and delete nothing.
@@ -114,47 +225,58 @@ def line_dedup(docs: DataFrame, min_words: int = 20, rare_docs: int = 64, rare_s
     names = [f"c{k}" for k in range(len(kept))]
     text = names[kept.index(text_col)]
     source = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)), F.col(f"`{id_col}`").cast("long").alias("doc_id")).withColumn("own", F.xxhash64(text))
+    size = (min_words + 1) // 2
     columns = "doc_id long, own long, h long, at array<int>, words int"
     schema = arrow_schema(spark, columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                rows: list[tuple] = []
-                for doc, own, body in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns), strict=True):
-                    found: dict[bytes, list[int]] = {}
-                    for k, (a, b) in enumerate(units(body)):
-                        if key := body[a:b].strip():
-                            found.setdefault(key, []).append(k)
-                    rows += [(doc, own, xxhash.xxh64_intdigest(key) - (1 << 63), at, len(key.split())) for key, at in found.items()]
-                yield batch_of(rows, schema)
-
-    texts = source.where(f"doc_id is not null and {text} is not null").select("doc_id", "own", F.col(text).cast("binary"))
+                piece = batch.slice(start, 512)
+                found = [marks(body, size) for body in piece.column(2).to_pylist()]
+                h, at, n = (np.concatenate([np.asarray(x[k]) for x in found]) for k in range(3))
+                row = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+                order = np.lexsort((at, h, row))
+                h, at, n, row = h[order], at[order].astype(np.int32), n[order].astype(np.int32), row[order]
+                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
+                places = pa.ListArray.from_arrays(pa.array(np.append(new, len(h)).astype(np.int32)), pa.array(at)).cast(schema.field("at").type)
+                yield pa.RecordBatch.from_arrays([*(piece.column(k).take(pa.array(row[new])) for k in (0, 1)), pa.array(h[new].view(np.int64)), places, pa.array(n[new])], schema=schema)
+
+    texts = source.where(f"doc_id is not null and {text} is not null").select("doc_id", "own", F.col(text).cast("binary").alias("body"))
     rows = materialize(texts.mapInArrow(cut, columns), "units")
     limit = F.greatest(F.lit(rare_docs), F.lit(rare_share) * F.lit(docs.count()))
-    holders = rows.groupBy("h").agg(F.min(F.struct("doc_id", "own", F.col("at")[0].alias("first_at"), (F.size("at") == 1).alias("alone"))).alias("first"), F.count("*").alias("df"))
-    shared = holders.where((F.col("df") > 1) & (F.col("df") <= limit)).select("h", F.struct("first.doc_id", "first.own").alias("first"), "first.first_at", "first.alone")
-    # only the later holders go on: what a document shares with earlier ones, no larger than the document
-    later = rows.join(shared, "h").where(F.struct("doc_id", "own") > F.col("first"))
-    row = later.groupBy("doc_id", "own").agg(F.collect_list(F.struct("first", "at", "first_at", "alone", "words")).alias("s"))
-    row = row.select("doc_id", "own", *(F.col("s")[c].alias(c) for c in ("at", "first_at", "alone", "words")), F.transform("s", lambda x: F.concat_ws("/", x["first"]["doc_id"], x["first"]["own"])).alias("first"))
-    gone = "doc_id long, own long, gone array<int>"
-    gone_schema = arrow_schema(spark, gone)
+    holders = rows.groupBy("h").agg(F.min(F.struct("doc_id", "own", "at", "words")).alias("first"), F.count("*").alias("df"))
+    shared = holders.where((F.col("df") > 1) & (F.col("df") <= limit)).select("h", "first.*")
+    shared = materialize(shared, "shared")
+
+    near = "h long, around binary"
+    near_schema = arrow_schema(spark, near)
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of([(r["doc_id"], r["own"], x) for r in batch.to_pylist() if (x := deleted_units(r, min_words))], gone_schema)
+            for start in range(0, batch.num_rows, 512):
+                out = []
+                for body, asked in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns), strict=True):
+                    hashes = words(body)[1]
+                    out += [(s["h"], around(hashes, np.array(s["at"]), s["words"], size).tobytes()) for s in asked]
+                yield batch_of(out, near_schema)
 
-    gone_rows = row.mapInArrow(align, gone)
-    joined = source.join(gone_rows, ["doc_id", "own"], "left").select(*names, "gone")
+    # what stands around the shared places of first holders; repeated rows give the same twice
+    asked = shared.groupBy("doc_id", "own").agg(F.collect_list(F.struct("h", "at", "words")).alias("asked"))
+    found = texts.join(asked, ["doc_id", "own"]).select("body", "asked").mapInArrow(look, near).groupBy("h").agg(F.min("around").alias("around"))
+    shared = shared.select("h", F.struct("doc_id", "own").alias("first"), F.col("at").alias("first_at"), (F.size("at") == 1).alias("alone")).join(found, "h")
+    # only the later holders go on: what a document shares with earlier ones, no larger than the document
+    later = rows.join(shared, "h").where(F.struct("doc_id", "own") > F.col("first"))
+    row = later.groupBy("doc_id", "own").agg(F.collect_set(F.struct("first", "at", "first_at", "alone", "words", "around")).alias("shared"))
+    joined = source.join(row, ["doc_id", "own"], "left").select(*names, "shared")
     out = StructType([*joined.schema.fields[:-1], *(StructField(n, IntegerType()) for n in ("n_units", "n_deleted", "words_deleted"))])
     place = names.index(text)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                piece = batch.slice(start, 512)
-                done = [_without(body, set(drop or ())) for body, drop in zip(piece.column(place).cast(pa.binary()).to_pylist(), piece.column(len(names)).to_pylist(), strict=True)]
+            for start in range(0, batch.num_rows, 128):
+                piece = batch.slice(start, 128)
+                done = [_without(body, s, min_words, size) for body, s in zip(piece.column(place).cast(pa.binary()).to_pylist(), piece.column(len(names)).to_pylist(), strict=True)]
                 columns = piece.columns[:-1]
                 columns[place] = pa.array([x[0] for x in done], pa.string()).cast(piece.schema.field(place).type)
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in done], pa.int32()) for k in (1, 2, 3))], names=out.names)
@@ -163,14 +285,25 @@ def line_dedup(docs: DataFrame, min_words: int = 20, rare_docs: int = 64, rare_s
     return done.select(*(F.col(n).alias(c) for c, n in zip(kept, names, strict=True)), F.struct("n_units", "n_deleted", "words_deleted").alias(out_col))
 
 
-def _without(text: bytes | None, drop: set[int]) -> tuple[str | None, int, int, int]:
+def _without(text: bytes | None, shared: list[dict] | None, min_words: int, size: int) -> tuple[str | None, int, int, int]:
+    """The text without its deleted words (each with the blanks that follow it), its units, those of them that lost words, words lost."""
     if text is None:
         return None, 0, 0, 0
     spans = units(text)
-    if not drop:
+    if not shared:
+        return text.decode(), len(spans), 0, 0
+    begin, hashes = words(text)
+    gone = deleted_words(shared, hashes, min_words, size)
+    if not gone.any():
         return text.decode(), len(spans), 0, 0
-    kept = b"".join(text[a:b] for k, (a, b) in enumerate(spans) if k not in drop).rstrip()
-    return kept.decode(), len(spans), len(drop), sum(len(text[slice(*spans[k])].split()) for k in drop)
+    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+    place = np.append(begin, len(text))
+    kept, at = [], 0
+    for a, b in zip(place[np.flatnonzero(edge > 0)].tolist(), place[np.flatnonzero(edge < 0)].tolist(), strict=True):
+        kept.append(text[at:a])
+        at = b
+    lost = np.unique(np.searchsorted([a for a, _ in spans], begin[gone], "right"))
+    return b"".join([*kept, text[at:]]).rstrip().decode(), len(spans), len(lost), int(gone.sum())
 
 
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -211,3 +211,21 @@ def test_pii_positions_over_chunks_of_matches(spark, monkeypatch, chunk):
 def test_pii_takes_linear_time_in_the_matches(spark):
     text = " ".join(f"w{k % 997}x" for k in range(200_000))
     assert pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().found == []
+
+
+def _sentence(r, n):
+    return " ".join(f"s{k}" for k in r.integers(0, 10**6, n)) + ". "
+
+
+def test_line_dedup_in_broken_sentences(spark):
+    r = np.random.default_rng(3)
+    own = lambda n: " ".join(f"own{k}" for k in r.integers(0, 10**6, n))
+    long = _sentence(r, 70).split()
+    text = "".join(_sentence(r, n) for n in (30, 8, 30)).split()
+    cases = [long[9:61], text[17:53], text[:30] + text[38:], long[30:50]]  # inside one sentence; two broken ones around a short one; an edit; as few words as count
+    rows = [(1, " ".join(long) + " " + " ".join(text))] + [(k, f"{own(7)} {' '.join(c)} {own(6)}") for k, c in enumerate(cases, 2)] + [(9, f"{own(7)} {' '.join(long[20:39])} {own(6)}")]
+    got = {x.doc_id: x for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == rows[0][1].rstrip() and got[9].text == rows[-1][1]
+    for k, c in enumerate(cases, 2):
+        assert got[k].line_dedup.words_deleted == len(c), k
+        assert got[k].text == " ".join(w for w in rows[k - 1][1].split() if w.startswith("own"))
