@@ -179,37 +179,53 @@ def deleted_words(shared: list[dict], hashes: np.ndarray, min_words: int, size:
     """Which words of a document its aligned blocks cover."""
     by_first: dict[tuple, list[dict]] = {}
     for s in shared:
-        by_first.setdefault((s["first"]["doc_id"], s["first"]["own"]), []).append(s)
-    cover, own = np.zeros(len(hashes), bool), short(hashes).tolist()
-    for items in by_first.values():
-        known: dict[int, list[dict]] = {}
-        chain, rest = [], []
-        for s in items:
-            for x in s["at"]:
-                known.setdefault(x, []).append(s)
-            if s["alone"] and len(s["at"]) == 1:
-                chain.append((s["at"][0], s["first_at"][0]))
-            else:
-                rest += [(x, s["first_at"][:1]) for x in s["at"]]
-        aligned = [(x, y, s) for x, y in filled(rising(chain), rest) for s in known[x] if y in s["first_at"]]
-        for x, _, s in aligned:
-            cover[x : x + s["words"]] = True
-        before = cover.copy()
-        for x, y, s in aligned:
-            a, b = x, x + s["words"]
-            if a and not before[a - 1] or b < len(own) and not before[b]:
-                k = 8 * size * s["first_at"].index(y)
-                near = np.frombuffer(s["around"][k : k + 8 * size], np.uint32).tolist()
-                for w in near[:size]:
-                    if not a or own[a - 1] != w:
-                        break
-                    a -= 1
-                for w in near[size:]:
-                    if b == len(own) or own[b] != w:
-                        break
-                    b += 1
-                cover[a:b] = True
-    return blocks(cover, min_words)
+        by_first.setdefault((s["first"]["doc_id"], s["first"]["own"]), []).append({**s, "at": sorted(s["at"]), "once": len(s["at"]) == 1})
+    gone, own = np.zeros(len(hashes), bool), short(hashes).tolist()
+    while True:
+        cover = gone.copy()
+        for items in by_first.values():
+            _align(items, own, cover, size)
+        now = blocks(cover, min_words)
+        if (now == gone).all():
+            return gone
+        # what lies within deleted blocks is settled; the rest is aligned again
+        gone, lost = now, np.concatenate([[0], np.cumsum(now)]).tolist()
+        for first, items in list(by_first.items()):
+            for s in items:
+                n = s["words"]
+                s["at"] = [x for x in s["at"] if lost[x + n] - lost[x] < n]
+            by_first[first] = [s for s in items if s["at"]]
+
+
+def _align(items: list[dict], own: list[int], cover: np.ndarray, size: int) -> None:
+    """Set the words that one alignment with an earlier document covers."""
+    known: dict[int, list[dict]] = {}
+    chain, rest = [], []
+    for s in items:
+        for x in s["at"]:
+            known.setdefault(x, []).append(s)
+        if s["alone"] and s["once"]:
+            chain.append((s["at"][0], s["first_at"][0]))
+        else:
+            rest += [(x, s["first_at"]) for x in s["at"]]
+    found = filled(rising(chain), rest)
+    aligned = [(x, y, s, k) for x, y in found for s in known[x] if (k := bisect_left(s["first_at"], y)) < len(s["first_at"]) and s["first_at"][k] == y]
+    for x, _, s, _ in aligned:
+        cover[x : x + s["words"]] = True
+    before = cover.copy()
+    for x, y, s, k in aligned:
+        a, b = x, x + s["words"]
+        if a and not before[a - 1] or b < len(own) and not before[b]:
+            near = np.frombuffer(s["around"][8 * size * k : 8 * size * (k + 1)], np.uint32).tolist()
+            for w in near[:size]:
+                if not a or own[a - 1] != w:
+                    break
+                a -= 1
+            for w in near[size:]:
+                if b == len(own) or own[b] != w:
+                    break
+                b += 1
+            cover[a:b] = True
 
 
 def line_dedup(docs: DataFrame, min_words: int = 20, rare_docs: int = 64, rare_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", out_col: str = "line_dedup") -> DataFrame:

@@ -229,3 +229,12 @@ def test_line_dedup_in_broken_sentences(spark):
     for k, c in enumerate(cases, 2):
         assert got[k].line_dedup.words_deleted == len(c), k
         assert got[k].text == " ".join(w for w in rows[k - 1][1].split() if w.startswith("own"))
+
+
+def test_line_dedup_aligns_again(spark):
+    r = np.random.default_rng(4)
+    part = lambda n: "".join(_sentence(r, 9) for _ in range(n))
+    p, q, u = part(4), part(4), part(5)
+    rows = [(1, p + q), (2, q + "One. " + p), (3, "Two. " + u), (4, u + "Three. " + u + "Four. " + u), (5, p + "Five. " + p + "Six. " + q)]
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: p + q, 2: "One.", 3: "Two. " + u, 4: "Three. Four.", 5: "Five. Six."}
