@@ -4,8 +4,8 @@
    word shingles chosen by content (the smallest hash of every window) stand beside them: any two runs of
    ``min_words`` equal words hold the same shingles, and neighbouring ones leave no word between them.
    Each distinct unit or shingle of a document becomes one row with its hash.
-2. A hash is rare if at most ``max(rare_docs, rare_share * documents)`` documents hold it. Each
-   rare hash links every holder to its first holder (the smallest document id, then the smallest hash of the text). That star is linear
+2. A hash is rare if at most ``max(rare_docs, rare_share * documents)`` documents hold it; only rare ones
+   are anchors, others fill gaps and form blocks like them. Each hash links every holder to its first holder (the smallest document id, then the smallest hash of the text). That star is linear
    in the rows, so no group of copies, however large, needs a cap.
 3. A document is aligned with each earlier document it is linked to by patience diff over what they
    share: units and shingles that are unique in both are ordered by the longest increasing subsequence, and the
@@ -262,7 +262,7 @@ def line_dedup(docs: DataFrame, min_words: int = 20, rare_docs: int = 64, rare_s
     rows = materialize(texts.mapInArrow(cut, columns), "units")
     limit = F.greatest(F.lit(rare_docs), F.lit(rare_share) * F.lit(docs.count()))
     holders = rows.groupBy("h").agg(F.min(F.struct("doc_id", "own", "at", "words")).alias("first"), F.count("*").alias("df"))
-    shared = holders.where((F.col("df") > 1) & (F.col("df") <= limit)).select("h", "first.*")
+    shared = holders.where("df > 1").select("h", "first.*", (F.col("df") <= limit).alias("rare"))
     shared = materialize(shared, "shared")
 
     near = "h long, around binary"
@@ -280,7 +280,7 @@ def line_dedup(docs: DataFrame, min_words: int = 20, rare_docs: int = 64, rare_s
     # what stands around the shared places of first holders; repeated rows give the same twice
     asked = shared.groupBy("doc_id", "own").agg(F.collect_list(F.struct("h", "at", "words")).alias("asked"))
     found = texts.join(asked, ["doc_id", "own"]).select("body", "asked").mapInArrow(look, near).groupBy("h").agg(F.min("around").alias("around"))
-    shared = shared.select("h", F.struct("doc_id", "own").alias("first"), F.col("at").alias("first_at"), (F.size("at") == 1).alias("alone")).join(found, "h")
+    shared = shared.select("h", F.struct("doc_id", "own").alias("first"), F.col("at").alias("first_at"), (F.col("rare") & (F.size("at") == 1)).alias("alone")).join(found, "h")
     # only the later holders go on: what a document shares with earlier ones, no larger than the document
     later = rows.join(shared, "h").where(F.struct("doc_id", "own") > F.col("first"))
     row = later.groupBy("doc_id", "own").agg(F.collect_set(F.struct("first", "at", "first_at", "alone", "words", "around")).alias("shared"))

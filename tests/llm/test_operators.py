@@ -238,3 +238,11 @@ def test_line_dedup_aligns_again(spark):
     rows = [(1, p + q), (2, q + "One. " + p), (3, "Two. " + u), (4, u + "Three. " + u + "Four. " + u), (5, p + "Five. " + p + "Six. " + q)]
     got = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: p + q, 2: "One.", 3: "Two. " + u, 4: "Three. Four.", 5: "Five. Six."}
+
+
+def test_line_dedup_of_lines_that_most_documents_hold(spark):
+    r = np.random.default_rng(6)
+    line = "".join(_sentence(r, 13) for _ in range(2))
+    rows = [(k, f"Begin{k}. {line}End{k}.") for k in range(9)]
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), rare_docs=2).collect()}
+    assert got == {0: rows[0][1], **{k: f"Begin{k}. End{k}." for k in range(1, 9)}}
