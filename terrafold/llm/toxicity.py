@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network over words and their characters.
 
 A word enters as the sum of its own embedding (words seen often enough in training) and those of its
-character trigrams, so unseen words with a known stem still speak. Two GRUs read a window of words in
+character trigrams, so unseen words with a known stem still speak. A run of letters longer than ``LETTERS``
+bytes (glued words, scripts without blanks) enters as overlapping pieces, each a step of its own. Two GRUs read a window of words in
 both directions, attention weighs the states, a logistic unit gives the window's score. All windows
 of ``WINDOW`` words at every ``STRIDE`` words are scored; a document's score is its highest
 window's. Training in numpy follows the same rule: each document learns through the window that
@@ -19,24 +20,25 @@ from pyspark.sql import functions as F
 
 from .common import bucket, keep_rows, materialize, per_document
 
-WINDOW, STRIDE = 48, 36
+WINDOW, STRIDE = 48, 24
 HIDDEN, WIDTH, GRAMS, LETTERS = 8, 12, 8192, 20
 LEAST_STEPS = 120
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-#: Words whose input parts a worker remembers; letters of a word that are read (from its start).
+#: Words whose input parts a worker remembers.
 MEMO = 100_000
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return _WORD.findall(text.lower())
+    """Words; of longer ones pieces of ``LETTERS`` bytes that overlap by two, so that every trigram lies in one of them."""
+    found = _WORD.findall(text.lower())
+    if max(map(len, found), default=0) <= LETTERS:
+        return found
+    return [w[at : at + LETTERS] for w in found for at in range(0, max(1, len(w) - 2), LETTERS - 2)]
 
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character trigrams, place by place, of words with an opening and a closing mark; the second array is 0 where a word has ended.
-
-    Words beyond ``LETTERS`` bytes are read in their first and last bytes.
-    """
-    short = [b"^" + (w if len(w) <= LETTERS else w[: LETTERS // 2] + w[-LETTERS // 2 :]) + b"$" for w in words]
+    """Hashed character trigrams, place by place, of words with an opening and a closing mark; the second array is 0 where a word has ended."""
+    short = [b"^" + w + b"$" for w in words]
     n = np.fromiter(map(len, short), np.int64, len(short))
     raw = np.frombuffer(b"".join(w.ljust(LETTERS + 2, b"\0") for w in short), np.uint8).reshape(-1, LETTERS + 2).astype(np.int64)
     code = (raw[:, :-2] * 7919 + raw[:, 1:-1] * 104729 + raw[:, 2:] * 1299709 >> 3) % GRAMS

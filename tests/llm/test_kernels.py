@@ -252,3 +252,16 @@ def test_bpe_classes_follow_the_library():
     for text in ["é're", " 's x", "a<|endoftext|>'ll  b", *(f"a{c}'re {c}1 {c}{c}b" for c in newer)]:
         ids = np.frombuffer(own.encode(text.encode()), "<u4").tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids
+
+
+def test_toxicity_reads_long_runs_whole():
+    run = b"".join(b"%c%c" % (97 + k % 23, 97 + k % 19) for k in range(60))
+    pieces = toxicity.words_of(b"a " + run + b" b")
+    assert pieces[0] == b"a" and pieces[-1] == b"b" and max(map(len, pieces)) <= toxicity.LETTERS
+    assert {run[k : k + 3] for k in range(len(run) - 2)} == {p[k : k + 3] for p in pieces[1:-1] for k in range(len(p) - 2)}
+    clean, bad = b"the of and then with that", b"you idiot the of clown and"
+    model = toxicity.train([clean, bad] * 12, [0, 1] * 12, epochs=4, least=1)
+    glued = [b"theofandthenwiththatof" + x + b"theofandthenwiththatof" for x in (b"youidiotclown", b"withthatandof")]
+    scores = toxicity.Scorer(model)(glued)
+    assert scores[0] > scores[1]
+    assert toxicity.STRIDE * 2 <= toxicity.WINDOW
