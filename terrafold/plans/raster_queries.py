@@ -173,7 +173,7 @@ def patch_homographies(spark, sf_dir):
     """A homography a patch column, from pixels and their shifted places."""
     from ..operators.inpaint import homographies
 
-    d = V.pixels(spark, sf_dir).select("u", "v").distinct().where("v < 24")
+    d = V.pixels(spark, sf_dir).select("u", "v").distinct()
     pairs = d.select((F.col("u") % 8).alias("patch"), F.col("u").alias("su"), F.col("v").alias("sv"), (F.col("u") * 1.1 + F.col("v") * 0.2 + 3).alias("du"), (F.col("v") * 0.9 + 1).alias("dv"))
     out = homographies(pairs, ["patch"], rounds=20)
     return out.select("patch", *((F.round(F.get("h", F.lit(i)), 4) + 0.0).alias(f"h{i}") for i in range(8)))

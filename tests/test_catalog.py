@@ -38,3 +38,13 @@ def test_query(spark, duck, name):
     assert len(a) == len(b)
     for x, y in zip(a, b, strict=True):
         assert x == y or all(p == q or isinstance(p, float) and abs(p - q) <= 2e-6 * max(1, abs(p)) for p, q in zip(x, y, strict=True)), (x, y)
+
+
+def test_patch_homographies_take_every_row(spark, monkeypatch):
+    from terrafold import views as V
+    from terrafold.operators import inpaint
+
+    seen, whole = [], inpaint.homographies
+    monkeypatch.setattr(inpaint, "homographies", lambda pairs, *a, **k: seen.append(pairs) or whole(pairs, *a, **k))
+    catalog.QUERIES["patch_homographies"](spark, SF)
+    assert seen[0].count() == V.pixels(spark, SF).select("u", "v").distinct().count()
