@@ -339,8 +339,7 @@ def bounding_box(spark, sf_dir):
 @query("points", "SELECT frame, ring, len(list(d)) AS n, round(list_min(list(d)),5)+0e0 AS lowest FROM (SELECT frame, ring, degrees(atan2(y, x)) AS d FROM points) GROUP BY 1, 2")
 def ring_angles(spark, sf_dir):
     d = F.degrees(F.atan2("y", "x"))
-    out = V.points(spark, sf_dir).groupBy("frame", "ring").agg(F.collect_list(d).alias("a"))
-    return rounded(out.select("frame", "ring", F.size("a").cast("long").alias("n"), F.array_min("a").alias("lowest")), "lowest", 5)
+    return rounded(V.points(spark, sf_dir).groupBy("frame", "ring").agg(F.count(d).alias("n"), F.min(d).alias("lowest")), "lowest", 5)
 
 
 @query("points", "SELECT pt, round(x - avg(x) OVER (PARTITION BY frame),6)+0e0 AS x_centred FROM points")

@@ -48,3 +48,8 @@ def test_patch_homographies_take_every_row(spark, monkeypatch):
     monkeypatch.setattr(inpaint, "homographies", lambda pairs, *a, **k: seen.append(pairs) or whole(pairs, *a, **k))
     catalog.QUERIES["patch_homographies"](spark, SF)
     assert seen[0].count() == V.pixels(spark, SF).select("u", "v").distinct().count()
+
+
+def test_ring_angles_gathers_nothing(spark):
+    plan = catalog.QUERIES["ring_angles"](spark, SF)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
