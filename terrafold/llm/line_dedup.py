@@ -1,56 +1,51 @@
 """Line dedup by pairwise alignment.
 
-1. Every text is cut into units: lines, and sentences within lines. Passages begin and end anywhere, so
-   word shingles chosen by content (the smallest hash of every window) stand beside them: any two runs of
-   ``min_words`` equal words hold the same shingles, and neighbouring ones leave no word between them.
-   Each distinct unit or shingle of a document becomes one row with its hash.
-2. A hash is rare if at most ``max(rare_docs, rare_share * documents)`` documents hold it; only rare ones
-   are anchors, others fill gaps and form blocks like them. Each hash links every holder to its first holder (the smallest document id, then the smallest hash of the text). That star is linear
-   in the rows, so no group of copies, however large, needs a cap.
-3. A document is aligned with each earlier document it is linked to by patience diff over what they
-   share: units and shingles that are unique in both are ordered by the longest increasing subsequence, and the
-   gaps between anchors are filled in order with the others.
-4. Aligned runs grow word by word into broken sentences as far as the first holder's words go on alike.
-   Aligned words that lie side by side in the later document form a block. Blocks of at least
-   ``min_words`` words are deleted from the later document; the first holder keeps them. Shorter
-   repeats (a licence line, a stock phrase) stay.
+1. Of every text the hashes of some lines are drawn: ``size`` words each, taken where a line or sentence opens
+   and, where none opens for long, where the words' own hash is smallest. The choice depends on the words alone, and any
+   ``min_words`` words in a row hold at least one such place (``line_keys``).
+2. Documents that share a hash overlap. Each place links to the first document (smallest id, then smallest hash of the
+   text) that holds the hash, to the first that holds it with the same ``size`` words behind it, and
+   to the first that holds it with the same ``size`` words before it. So whatever other documents repeat of a passage
+   in part, each ``2 * size`` words around a place meet a document that holds them whole. The links are
+   linear in the places: no group of copies, however large, needs a cap.
+3. A document is aligned with each document it is linked to by patience diff over the shared places: hashes that are
+   unique in both and rare are ordered by the longest increasing subsequence, others fill the gaps, and what the
+   first alignment leaves (moved and repeated passages) is aligned place by place. Aligned places grow word by
+   word over the earlier document's own words, so no hash is trusted. At least ``min_words`` words that stand in a row in both
+   are a block; blocks are deleted from the later document and the first holder keeps them.
+   Shorter repeats (a licence line, a stock phrase) stay.
+
+What is found: every block of ``3 * size - 1`` (29) words or more that one earlier document holds, but for up to ``size`` words at either
+end where the linked documents hold less of it; of shorter blocks those whose hash, alone or with its neighbours,
+appears first in a document that holds the block. Nothing is deleted that no earlier document holds.
 """
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import BLANK, arrow_schema, materialize
 
-_ENDS = re.compile(rb"[.!?]+[ \t]+|\s*\n\s*")
-
-
-def units(text: bytes) -> list[tuple[int, int]]:
-    """Spans of a text's units; together they cover it, each with the blanks that follow it."""
-    out, at = [], 0
-    for m in _ENDS.finditer(text):
-        if m.end() > at:
-            out.append((at, m.end()))
-            at = m.end()
-    if at < len(text):
-        out.append((at, len(text)))
-    return out
-
+#: Words of an earlier document that are looked up together.
+BLOCK = 32
+#: Bytes of text that are hashed together.
+CHUNK = 1 << 18
 
 _DRAW = np.random.default_rng(11)
 _BYTE = _DRAW.integers(1, 1 << 64, 256, np.uint64)
 _BASE, _STEP = (int(x) | 1 for x in _DRAW.integers(1, 1 << 64, 2, np.uint64))
 _SPACE = np.zeros(256, bool)
 _SPACE[list(BLANK)] = True
+_END = np.zeros(256, bool)
+_END[list(b".!?")] = True
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -70,42 +65,93 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def ranges(values: np.ndarray, base: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+class Ranges:
     """Polynomial hashes of ``values[a:b]`` for many ranges, from one running sum."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(base, len(values)), dtype=np.uint64)])
-    return mixed((sums[b] - sums[a]) * powers(pow(base, -1, 1 << 64), len(values) + 1)[a] + (b - a).astype(np.uint64))
-
-
-def words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where a text's words begin, and their hashes."""
-    raw = np.frombuffer(text, np.uint8)
-    edge = np.diff(np.concatenate([[True], _SPACE[raw], [True]]).astype(np.int8))
-    begin, stop = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
-    return begin, ranges(_BYTE[raw], _BASE, begin, stop)
-
-
-def shingles(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the shingles of ``size`` words with the smallest hash of a window of ``size`` shingles."""
-    n = len(hashes) - size + 1
-    if n < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(n)
-    h = ranges(hashes, _STEP, at, at + size)
-    least = np.unique(np.lib.stride_tricks.sliding_window_view(h, size).argmin(axis=1) + at[: n - size + 1])
-    return least, h[least]
-
-
-def marks(text: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A text's units and shingles: hash, first word, number of words. Units that hold ``2 * size`` words hold shingles enough."""
-    begin, hashes = words(text)
-    ends = np.searchsorted(begin, [b for _, b in units(text)])
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    some = (ends > starts) & (ends - starts < 2 * size)
-    starts, ends = starts[some], ends[some]
-    at, h = shingles(hashes, size)
-    # another seed, so that a unit of as many words as a shingle is a hash of its own
-    own = mixed(ranges(hashes, _STEP, starts, ends) + np.uint64(1))
-    return np.concatenate([own, h]), np.concatenate([starts, at]), np.concatenate([ends - starts, np.full(len(at), size)])
+
+    def __init__(self, values: np.ndarray, base: int):
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * powers(base, len(values)), dtype=np.uint64, out=self.sums[1:])
+        self.back = powers(pow(base, -1, 1 << 64), len(values) + 1)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64))
+
+
+class Words:
+    """The words of several texts that lie one after the other in ``raw``; text k is ``raw[bounds[k] : bounds[k + 1]]``."""
+
+    def __init__(self, raw: np.ndarray, bounds: np.ndarray):
+        n = len(raw)
+        solid = np.zeros(n + 2, bool)
+        np.logical_not(_SPACE[raw], out=solid[1:-1])
+        before, behind = solid[:-2].copy(), solid[2:].copy()
+        before[bounds[:-1][bounds[:-1] < n]] = False
+        behind[bounds[1:][bounds[1:] > 0] - 1] = False
+        self.begin = np.flatnonzero(solid[1:-1] & ~before)
+        self.stop = np.flatnonzero(solid[1:-1] & ~behind) + 1
+        #: text k holds words first[k] to first[k + 1]
+        self.first = np.searchsorted(self.begin, bounds)
+        self.raw, self.bounds = raw, bounds
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which words end a sentence, and which end a unit: a line, a sentence, the text."""
+        sentence = _END[self.raw[self.stop - 1]]
+        unit = sentence.copy()
+        if len(unit):
+            feeds = np.cumsum(self.raw == 10)
+            unit[:-1] |= feeds[self.begin[1:]] > feeds[self.stop[:-1] - 1]
+            unit[self.first[1:][self.first[1:] > self.first[:-1]] - 1] = True
+        return sentence, unit
+
+
+def one(text: bytes) -> Words:
+    return Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+
+
+def units(text: bytes) -> list[tuple[int, int]]:
+    """Spans of a text's units (lines, and sentences within them); together they cover it, each with the blanks that follow it."""
+    if not text:
+        return []
+    w = one(text)
+    edges = [0, *w.begin[1:][w.ends()[1][:-1]].tolist(), len(text)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def least_of(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each ``width`` neighbours."""
+    have = 1
+    while 2 * have <= width:
+        values, have = np.minimum(values[:-have], values[have:]), 2 * have
+    return values if have == width else np.minimum(values[: len(values) - (width - have)], values[width - have :])
+
+
+def line_keys(w: Words, size: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chosen places (word numbers), the hash of the ``size`` words there, and 32 bits each of the words behind (high) and before (low).
+
+    A place is chosen if it has the smallest rank of some ``min_words - size + 1`` neighbours; places behind the end of a sentence rank first.
+    """
+    n, width = len(w.begin), min_words - size + 1
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    if n < min_words:
+        return none
+    hashes = Ranges(Ranges(_BYTE[w.raw], _BASE)(w.begin, w.stop), _STEP)
+    counts = np.diff(w.first)
+    end = np.repeat(w.first[1:], counts)
+    at = np.arange(n - size + 1)
+    h = hashes(at, at + size)
+    opening = np.zeros(n, bool)
+    opening[1:] = w.ends()[0][:-1]
+    opening[w.first[:-1][counts > 0]] = True
+    rank = (h >> np.uint64(1)) | (~opening[: len(h)]).astype(np.uint64) << np.uint64(63)
+    least = least_of(rank, width)
+    whole = np.arange(len(least)) + min_words <= end[: len(least)]
+    chosen = np.zeros(len(h), bool)
+    for k in range(width):
+        chosen[k : k + len(least)] |= (rank[k : k + len(least)] == least) & whole
+    at = np.flatnonzero(chosen)
+    behind = hashes(at + size, np.minimum(at + 2 * size, end[at]))
+    before = hashes(np.maximum(at - size, np.repeat(w.first[:-1], counts)[at]), at)
+    return at, h[at], behind >> np.uint64(32) << np.uint64(32) | before >> np.uint64(32)
 
 
 def rising(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -146,180 +192,207 @@ def filled(chain: list[tuple[int, int]], rest: list[tuple[int, list[int]]]) -> l
 
 
 def patience(pairs: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
-    """Aligned places of two documents from their shared units ``(place, place in the earlier one, unique in both)``.
+    """Aligned places of two documents from their shared ones ``(place, place in the earlier one, unique in both)``.
 
-    Anchors are the longest chain of unique units that rises in both; the remaining shared units join
+    Anchors are the longest chain of unique places that rises in both; the remaining shared places join
     where they fit between their neighbouring anchors in order.
     """
     return filled(rising([p[:2] for p in pairs if p[2]]), [(x, [y]) for x, y, unique in pairs if not unique])
 
 
-def around(hashes: np.ndarray, at: np.ndarray, n: int, size: int) -> np.ndarray:
-    """Per place, ``size`` words before it (nearest first) and ``size`` behind its ``n`` words, in 32 bits; 0: none."""
-    none = np.zeros(size, np.uint32)
-    padded = np.concatenate([none, short(hashes), none])
-    steps = np.arange(size)
-    return padded[np.concatenate([at[:, None] + size - 1 - steps, at[:, None] + size + n + steps], axis=1)]
-
+def aligned_blocks(own: list[bytes], known: dict[int, bytes], anchors: set[tuple[int, int, int]], min_words: int, rare_docs: int, rare_share: float) -> list[tuple[int, int]]:
+    """Runs of at least ``min_words`` of a document's words that stand in a row in one earlier document too, of which ``known`` holds the words around the shared places.
 
-def short(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-
-
-def blocks(cover: np.ndarray, least: int) -> np.ndarray:
-    """The runs of at least ``least`` set places."""
-    edge = np.diff(np.concatenate([[0], cover.astype(np.int8), [0]]))
-    out = np.zeros(len(cover), bool)
-    for a, b in zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist(), strict=True):
-        out[a:b] = b - a >= least
+    ``anchors``: place, place in the earlier document, holders of the hash.
+    """
+    often = sorted(n for *_, n in anchors)
+    limit = max(rare_docs, often[min(len(often) - 1, int(rare_share * len(often)))])
+    xs, ys = Counter(x for x, *_ in anchors), Counter(y for _, y, _ in anchors)
+    first = patience([(x, y, n <= limit and xs[x] == ys[y] == 1) for x, y, n in sorted(anchors)])
+    seen = set(first)
+    done: dict[int, list[tuple[int, int]]] = {}
+    out = []
+    for x, y in [*first, *((x, y) for x, y, _ in sorted(anchors) if (x, y) not in seen)]:
+        runs = done.setdefault(x - y, [])
+        k = bisect_right(runs, (x, len(own)))
+        if k and x < runs[k - 1][1] or known.get(y) != own[x]:
+            continue
+        a, b, d = x, x + 1, y - x
+        while a and known.get(a - 1 + d) == own[a - 1]:
+            a -= 1
+        while b < len(own) and known.get(b + d) == own[b]:
+            b += 1
+        runs.insert(k, (a, b))
+        if b - a >= min_words:
+            out.append((a, b))
     return out
 
 
-def deleted_words(shared: list[dict], hashes: np.ndarray, min_words: int, size: int) -> np.ndarray:
-    """Which words of a document its aligned blocks cover."""
-    by_first: dict[tuple, list[dict]] = {}
-    for s in shared:
-        by_first.setdefault((s["first"]["doc_id"], s["first"]["own"]), []).append({**s, "at": sorted(s["at"]), "once": len(s["at"]) == 1})
-    gone, own = np.zeros(len(hashes), bool), short(hashes).tolist()
-    while True:
-        cover = gone.copy()
-        for items in by_first.values():
-            _align(items, own, cover, size)
-        now = blocks(cover, min_words)
-        if (now == gone).all():
-            return gone
-        # what lies within deleted blocks is settled; the rest is aligned again
-        gone, lost = now, np.concatenate([[0], np.cumsum(now)]).tolist()
-        for first, items in list(by_first.items()):
-            for s in items:
-                n = s["words"]
-                s["at"] = [x for x in s["at"] if lost[x + n] - lost[x] < n]
-            by_first[first] = [s for s in items if s["at"]]
-
-
-def _align(items: list[dict], own: list[int], cover: np.ndarray, size: int) -> None:
-    """Set the words that one alignment with an earlier document covers."""
-    known: dict[int, list[dict]] = {}
-    chain, rest = [], []
-    for s in items:
-        for x in s["at"]:
-            known.setdefault(x, []).append(s)
-        if s["alone"] and s["once"]:
-            chain.append((s["at"][0], s["first_at"][0]))
-        else:
-            rest += [(x, s["first_at"]) for x in s["at"]]
-    found = filled(rising(chain), rest)
-    aligned = [(x, y, s, k) for x, y in found for s in known[x] if (k := bisect_left(s["first_at"], y)) < len(s["first_at"]) and s["first_at"][k] == y]
-    for x, _, s, _ in aligned:
-        cover[x : x + s["words"]] = True
-    before = cover.copy()
-    for x, y, s, k in aligned:
-        a, b = x, x + s["words"]
-        if a and not before[a - 1] or b < len(own) and not before[b]:
-            near = np.frombuffer(s["around"][8 * size * k : 8 * size * (k + 1)], np.uint32).tolist()
-            for w in near[:size]:
-                if not a or own[a - 1] != w:
-                    break
-                a -= 1
-            for w in near[size:]:
-                if b == len(own) or own[b] != w:
-                    break
-                b += 1
-            cover[a:b] = True
-
-
 def line_dedup(docs: DataFrame, min_words: int = 20, rare_docs: int = 64, rare_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", out_col: str = "line_dedup") -> DataFrame:
     """The rows of ``docs`` with the deleted blocks gone from their text, and a struct ``n_units, n_deleted, words_deleted``.
 
     One row per input row; all other columns stay (``out_col`` is replaced if it is there already). ``n_deleted`` counts the units that lost words.
-    Null and empty texts have no units and stay as they are; blank units never match. A document is
+    Null and empty texts have no units and stay as they are. A document is
     its id and text: repeated rows are one document and lose the same blocks, different texts under one
     id are two, ordered by a hash. Rows without an id stay whole and delete nothing.
+
+    Of two documents' shared hashes those count as rare that at most ``rare_docs`` places hold, and the rarer
+    ``rare_share`` of them. Rarity says where an alignment begins, never what is deleted.
     """
-    spark = docs.sparkSession
     kept = [c for c in docs.columns if c != out_col]
     names = [f"c{k}" for k in range(len(kept))]
     text = names[kept.index(text_col)]
-    source = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)), F.col(f"`{id_col}`").cast("long").alias("doc_id")).withColumn("own", F.xxhash64(text))
+    source = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    source = source.withColumn("own", F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)))
     size = (min_words + 1) // 2
-    columns = "doc_id long, own long, h long, at array<int>, words int"
-    schema = arrow_schema(spark, columns)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                piece = batch.slice(start, 512)
-                found = [marks(body, size) for body in piece.column(2).to_pylist()]
-                h, at, n = (np.concatenate([np.asarray(x[k]) for x in found]) for k in range(3))
-                row = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
-                order = np.lexsort((at, h, row))
-                h, at, n, row = h[order], at[order].astype(np.int32), n[order].astype(np.int32), row[order]
-                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
-                places = pa.ListArray.from_arrays(pa.array(np.append(new, len(h)).astype(np.int32)), pa.array(at)).cast(schema.field("at").type)
-                yield pa.RecordBatch.from_arrays([*(piece.column(k).take(pa.array(row[new])) for k in (0, 1)), pa.array(h[new].view(np.int64)), places, pa.array(n[new])], schema=schema)
-
-    texts = source.where(f"doc_id is not null and {text} is not null").select("doc_id", "own", F.col(text).cast("binary").alias("body"))
-    rows = materialize(texts.mapInArrow(cut, columns), "units")
-    limit = F.greatest(F.lit(rare_docs), F.lit(rare_share) * F.lit(docs.count()))
-    holders = rows.groupBy("h").agg(F.min(F.struct("doc_id", "own", "at", "words")).alias("first"), F.count("*").alias("df"))
-    shared = holders.where("df > 1").select("h", "first.*", (F.col("df") <= limit).alias("rare"))
-    shared = materialize(shared, "shared")
-
-    near = "h long, around binary"
-    near_schema = arrow_schema(spark, near)
+    sought = "doc_id is not null and {0} is not null".format(text)
+    texts = source.where(sought)
+    asked = materialize(_asked(_links(_keys(texts, text, size, min_words)), size), "asked")
+    # the words of earlier documents that links ask for, once a document and block
+    wanted = asked.select("a_doc", "a_own", "block").distinct().groupBy("a_doc", "a_own").agg(F.collect_list("block").alias("blocks"))
+    wanted = texts.join(wanted.toDF("doc_id", "own", "blocks"), ["doc_id", "own"]).select(*names, "doc_id", "own", "blocks")
+    place = names.index(text)
+    schema = "a_doc long, a_own long, block int, words binary"
+    arrow = arrow_schema(docs.sparkSession, schema)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
+            for start in range(0, batch.num_rows, 128):
+                piece = batch.slice(start, 128)
                 out = []
-                for body, asked in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns), strict=True):
-                    hashes = words(body)[1]
-                    out += [(s["h"], around(hashes, np.array(s["at"]), s["words"], size).tobytes()) for s in asked]
-                yield batch_of(out, near_schema)
-
-    # what stands around the shared places of first holders; repeated rows give the same twice
-    asked = shared.groupBy("doc_id", "own").agg(F.collect_list(F.struct("h", "at", "words")).alias("asked"))
-    found = texts.join(asked, ["doc_id", "own"]).select("body", "asked").mapInArrow(look, near).groupBy("h").agg(F.min("around").alias("around"))
-    shared = shared.select("h", F.struct("doc_id", "own").alias("first"), F.col("at").alias("first_at"), (F.col("rare") & (F.size("at") == 1)).alias("alone")).join(found, "h")
-    # only the later holders go on: what a document shares with earlier ones, no larger than the document
-    later = rows.join(shared, "h").where(F.struct("doc_id", "own") > F.col("first"))
-    row = later.groupBy("doc_id", "own").agg(F.collect_set(F.struct("first", "at", "first_at", "alone", "words", "around")).alias("shared"))
-    joined = source.join(row, ["doc_id", "own"], "left").select(*names, "shared")
+                for body, doc, own, blocks in zip(piece.column(place).cast(pa.binary()).to_pylist(), *(c.to_pylist() for c in piece.columns[-3:]), strict=True):
+                    w = one(body)
+                    out += [(doc, own, b, body[w.begin[b * BLOCK] : w.stop[min((b + 1) * BLOCK, len(w.stop)) - 1]]) for b in blocks if b * BLOCK < len(w.begin)]
+                yield batch_of(out, arrow)
+
+    blocks = wanted.mapInArrow(look, schema).dropDuplicates(["a_doc", "a_own", "block"])
+    shared = asked.join(blocks, ["a_doc", "a_own", "block"]).groupBy("doc_id", "own").agg(F.collect_list(F.struct("a_doc", "a_own", "block", "words", "places")).alias("shared"))
+    joined = texts.join(shared, ["doc_id", "own"], "left").select(*names, "shared")
+    whole = source.where(f"not ({sought})").select(*names, F.lit(None).cast(joined.schema["shared"].dataType).alias("shared"))
+    joined = joined.union(whole)
     out = StructType([*joined.schema.fields[:-1], *(StructField(n, IntegerType()) for n in ("n_units", "n_deleted", "words_deleted"))])
-    place = names.index(text)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 piece = batch.slice(start, 128)
-                done = [_without(body, s, min_words, size) for body, s in zip(piece.column(place).cast(pa.binary()).to_pylist(), piece.column(len(names)).to_pylist(), strict=True)]
-                columns = piece.columns[:-1]
-                columns[place] = pa.array([x[0] for x in done], pa.string()).cast(piece.schema.field(place).type)
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in done], pa.int32()) for k in (1, 2, 3))], names=out.names)
+                yield _rebuilt(piece, place, out.names, lambda own, s: deleted_words(own, s, min_words, rare_docs, rare_share))
 
     done = joined.mapInArrow(rebuild, out)
     return done.select(*(F.col(n).alias(c) for c, n in zip(kept, names, strict=True)), F.struct("n_units", "n_deleted", "words_deleted").alias(out_col))
 
 
-def _without(text: bytes | None, shared: list[dict] | None, min_words: int, size: int) -> tuple[str | None, int, int, int]:
-    """The text without its deleted words (each with the blanks that follow it), its units, those of them that lost words, words lost."""
-    if text is None:
-        return None, 0, 0, 0
-    spans = units(text)
-    if not shared:
-        return text.decode(), len(spans), 0, 0
-    begin, hashes = words(text)
-    gone = deleted_words(shared, hashes, min_words, size)
-    if not gone.any():
-        return text.decode(), len(spans), 0, 0
-    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-    place = np.append(begin, len(text))
-    kept, at = [], 0
-    for a, b in zip(place[np.flatnonzero(edge > 0)].tolist(), place[np.flatnonzero(edge < 0)].tolist(), strict=True):
-        kept.append(text[at:a])
-        at = b
-    lost = np.unique(np.searchsorted([a for a, _ in spans], begin[gone], "right"))
-    return b"".join([*kept, text[at:]]).rstrip().decode(), len(spans), len(lost), int(gone.sum())
+def _keys(texts: DataFrame, text: str, size: int, min_words: int) -> DataFrame:
+    """One row per hash of a batch: ``h``, ``around``, the first place that holds both, and the batch's other places.
+
+    Combined a batch, a passage that a third of all documents hold is one row a batch before it is shuffled. A place
+    is the document's hash (high) and the word number (low).
+    """
+    schema = "h long, around long, doc_id long, place long, others array<struct<doc_id: long, place: long>>"
+    arrow = arrow_schema(texts.sparkSession, schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, own = (batch.column(k).to_numpy() for k in (0, 1))
+            found = []
+            for first, w in chunks(batch.column(2)):
+                at, h, around = line_keys(w, size, min_words)
+                doc = np.searchsorted(w.first, at, "right") - 1
+                found.append((h, around, ids[first + doc], own[first + doc] << 32 | at - w.first[doc]))
+            h, around, doc, place = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(4))
+            order = np.lexsort((place, doc, around, h))
+            h, around, doc, place = h[order].view(np.int64), around[order].view(np.int64), doc[order], place[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (around[1:] != around[:-1])])[: len(h)]
+            others = np.append(0, np.cumsum(~new))[np.append(np.flatnonzero(new), len(h))].astype(np.int32)
+            values = pa.StructArray.from_arrays([pa.array(doc[~new]), pa.array(place[~new])], fields=list(arrow.field("others").type.value_type))
+            lists = pa.ListArray.from_arrays(pa.array(others), values, type=arrow.field("others").type)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[new]) for x in (h, around, doc, place)), lists], schema=arrow)
+
+    return texts.select("doc_id", "own", F.col(text).cast("binary").alias("body")).mapInArrow(cut, schema)
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, Words]]:
+    """Neighbouring texts of about ``CHUNK`` bytes together, whole, with the first one's number; no text is null."""
+    texts = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK, "right")) - 1)
+        yield at, Words(raw[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at])
+        at = end
+
+
+def _links(keys: DataFrame) -> DataFrame:
+    """``doc_id, own, x, a_doc, a_own, y, holders``: later places and the first places with their hash, alone and with the words behind or before."""
+    behind, before = F.shiftright("around", 32), F.col("around").bitwiseAND(F.lit((1 << 32) - 1))
+    hashes = keys.select("*", behind.alias("behind"), before.alias("before"))
+
+    def first(*by: str) -> tuple[Column, Column]:
+        w = Window.partitionBy(*by).orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return F.first(F.struct("doc_id", "place")).over(w), F.sum(F.lit(1) + F.coalesce(F.size("others"), F.lit(0))).over(w)
+
+    target, holders = first("h")
+    shared = hashes.select("*", target.alias("t0"), holders.cast("int").alias("holders")).where("holders > 1")
+    shared = shared.select("*", first("h", "behind")[0].alias("t1")).select("*", first("h", "before")[0].alias("t2"))
+    places = shared.select(F.explode(F.concat(F.array(F.struct("doc_id", "place")), F.coalesce(F.col("others"), F.array()))).alias("c"), F.array_distinct(F.array("t0", "t1", "t2")).alias("t"), "holders")
+    pairs = places.select("c", F.explode("t").alias("a"), "holders")
+    own = lambda c: F.shiftright(f"{c}.place", 32)
+    word = lambda c: F.col(f"{c}.place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    return pairs.select(F.col("c.doc_id").alias("doc_id"), own("c").alias("own"), word("c").alias("x"), F.col("a.doc_id").alias("a_doc"), own("a").alias("a_own"), word("a").alias("y"), "holders").where("a_doc < doc_id or a_doc = doc_id and a_own < own")
+
+
+def _asked(links: DataFrame, size: int) -> DataFrame:
+    """``doc_id, own, a_doc, a_own, block, places``: the blocks of earlier words around a document's shared places; each place stands with its own block."""
+    last = (F.col("y") / BLOCK).cast("int")
+    near = F.sequence((F.greatest(F.col("y") - size, F.lit(0)) / BLOCK).cast("int"), ((F.col("y") + 2 * size - 1) / BLOCK).cast("int"))
+    # a document's links meet in one task before they are spread over blocks
+    spread = links.repartition("doc_id", "own").select("*", F.explode(near).alias("block"))
+    return spread.groupBy("doc_id", "own", "a_doc", "a_own", "block").agg(F.collect_set(F.when(F.col("block") == last, F.struct("x", "y", "holders"))).alias("places"))
+
+
+def deleted_words(own: list[bytes], shared: list[dict], min_words: int, rare_docs: int, rare_share: float) -> np.ndarray:
+    """Which words of a document its aligned blocks cover."""
+    gone = np.zeros(len(own), bool)
+    by_earlier: dict[tuple, tuple[dict, set]] = {}
+    for s in shared:
+        known, anchors = by_earlier.setdefault((s["a_doc"], s["a_own"]), ({}, set()))
+        known.update(enumerate(s["words"].split(), s["block"] * BLOCK))
+        anchors.update((p["x"], p["y"], p["holders"]) for p in s["places"])
+    for known, anchors in by_earlier.values():
+        if anchors:
+            for a, b in aligned_blocks(own, known, anchors, min_words, rare_docs, rare_share):
+                gone[a:b] = True
+    return gone
+
+
+def _rebuilt(piece: pa.RecordBatch, place: int, names: list[str], deleted) -> pa.RecordBatch:
+    """The rows without their deleted words (each with the blanks that follow it), their units, those of them that lost words, words lost."""
+    texts = piece.column(place).cast(pa.binary())
+    n_units = np.zeros(len(texts), np.int32)
+    for at, w in chunks(texts.fill_null(b"")):
+        n_units[at : at + len(w.first) - 1] = np.diff(np.append(0, np.cumsum(w.ends()[1]))[w.first])
+    n_deleted, lost = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
+    shared = piece.column(piece.num_columns - 1)
+    new: dict[int, bytes] = {}
+    for k in np.flatnonzero(shared.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        body = texts[k].as_py()
+        gone = deleted(body.split(), shared[k].as_py())
+        if gone.any():
+            w = one(body)
+            edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+            starts = np.append(w.begin, len(body))
+            kept, at = [], 0
+            for a, b in zip(starts[np.flatnonzero(edge > 0)].tolist(), starts[np.flatnonzero(edge < 0)].tolist(), strict=True):
+                kept.append(body[at:a])
+                at = b
+            new[k] = b"".join([*kept, body[at:]]).rstrip()
+            unit = np.append(0, np.cumsum(w.ends()[1])[:-1])
+            n_deleted[k], lost[k] = len(np.unique(unit[gone])), gone.sum()
+    columns = piece.columns[:-1]
+    if new:
+        columns[place] = pa.array([new.get(k, x) for k, x in enumerate(texts.to_pylist())], pa.binary()).cast(pa.string()).cast(piece.schema.field(place).type)
+    return pa.RecordBatch.from_arrays([*columns, *map(pa.array, (n_units, n_deleted, lost))], names=names)
 
 
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
