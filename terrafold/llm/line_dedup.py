@@ -1,23 +1,23 @@
 """Line dedup by pairwise alignment.
 
-1. Of every text the hashes of some lines are drawn: ``size`` words each, taken where a line or sentence opens
-   and, where none opens for long, where the words' own hash is smallest. The choice depends on the words alone, and any
+1. Of every text the hashes of some lines are drawn: ``size`` words each, where a line or sentence of so many
+   words opens and, where none opens for long, where the words' own hash is smallest. The choice depends on the words alone, and any
    ``min_words`` words in a row hold at least one such place (``line_keys``).
-2. Documents that share a hash overlap. Each place links to the first document (smallest id, then smallest hash of the
-   text) that holds the hash, to the first that holds it with the same ``size`` words behind it, and
-   to the first that holds it with the same ``size`` words before it. So whatever other documents repeat of a passage
-   in part, each ``2 * size`` words around a place meet a document that holds them whole. The links are
+2. Documents that share a hash overlap. A place links to the first document (smallest id, then smallest hash of the
+   text) that holds the hash with the same ``min_words - size`` words behind it, and to the first that holds it with as many
+   words before it; only a place without either links to the first document with the hash alone. So whatever other documents repeat of a
+   passage in part, the ``min_words`` words around a place meet a document that holds them whole. The links are
    linear in the places: no group of copies, however large, needs a cap.
-3. A document is aligned with each document it is linked to by patience diff over the shared places: hashes that are
-   unique in both and rare are ordered by the longest increasing subsequence, others fill the gaps, and what the
-   first alignment leaves (moved and repeated passages) is aligned place by place. Aligned places grow word by
+3. A document is aligned with each document it is linked to by patience diff over the shared places, which neighbours
+   unite to runs: runs that are unique in both and rare are ordered by the longest increasing subsequence, others fill the gaps, and what the
+   first alignment leaves (moved and repeated passages) is aligned run by run. Runs grow word by
    word over the earlier document's own words, so no hash is trusted. At least ``min_words`` words that stand in a row in both
    are a block; blocks are deleted from the later document and the first holder keeps them.
    Shorter repeats (a licence line, a stock phrase) stay.
 
-What is found: every block of ``3 * size - 1`` (29) words or more that one earlier document holds, but for up to ``size`` words at either
-end where the linked documents hold less of it; of shorter blocks those whose hash, alone or with its neighbours,
-appears first in a document that holds the block. Nothing is deleted that no earlier document holds.
+What is found: of every block of ``2 * min_words - size - 1`` (31) words or more that one earlier document holds, all but up to
+``min_words - size`` (12) words at either end, and these too where the linked documents hold them; of shorter blocks those of which a hash,
+alone or with its neighbours, appears first in a document that holds the block. Nothing is deleted that no earlier document holds.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -126,32 +126,33 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def line_keys(w: Words, size: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The chosen places (word numbers), the hash of the ``size`` words there, and 32 bits each of the words behind (high) and before (low).
+    """The chosen places (word numbers), the hash of the ``size`` words there, and 16 bits each of the words behind (high) and before (low).
 
-    A place is chosen if it has the smallest rank of some ``min_words - size + 1`` neighbours; places behind the end of a sentence rank first.
+    A place is chosen if it has the smallest rank of some ``min_words - size + 1`` neighbours; openings of sentences of ``size`` words rank first.
     """
-    n, width = len(w.begin), min_words - size + 1
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    n, near = len(w.begin), min_words - size
     if n < min_words:
-        return none
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
     hashes = Ranges(Ranges(_BYTE[w.raw], _BASE)(w.begin, w.stop), _STEP)
     counts = np.diff(w.first)
     end = np.repeat(w.first[1:], counts)
     at = np.arange(n - size + 1)
     h = hashes(at, at + size)
-    opening = np.zeros(n, bool)
-    opening[1:] = w.ends()[0][:-1]
+    sentence = w.ends()[0]
+    ended = np.append(0, np.cumsum(sentence))
+    opening = np.append(True, sentence[:-1])
     opening[w.first[:-1][counts > 0]] = True
-    rank = (h >> np.uint64(1)) | (~opening[: len(h)]).astype(np.uint64) << np.uint64(63)
-    least = least_of(rank, width)
+    opening = opening[: len(h)] & (ended[at + size - 1] == ended[at])
+    rank = (h >> np.uint64(1)) | (~opening).astype(np.uint64) << np.uint64(63)
+    least = least_of(rank, near + 1)
     whole = np.arange(len(least)) + min_words <= end[: len(least)]
     chosen = np.zeros(len(h), bool)
-    for k in range(width):
+    for k in range(near + 1):
         chosen[k : k + len(least)] |= (rank[k : k + len(least)] == least) & whole
     at = np.flatnonzero(chosen)
-    behind = hashes(at + size, np.minimum(at + 2 * size, end[at]))
-    before = hashes(np.maximum(at - size, np.repeat(w.first[:-1], counts)[at]), at)
-    return at, h[at], behind >> np.uint64(32) << np.uint64(32) | before >> np.uint64(32)
+    behind = hashes(at + size, np.minimum(at + size + near, end[at]))
+    before = hashes(np.maximum(at - near, np.repeat(w.first[:-1], counts)[at]), at)
+    return at, h[at], (behind >> np.uint64(48) << np.uint64(16) | before >> np.uint64(48)).astype(np.uint32).view(np.int32)
 
 
 def rising(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -200,29 +201,31 @@ def patience(pairs: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
     return filled(rising([p[:2] for p in pairs if p[2]]), [(x, [y]) for x, y, unique in pairs if not unique])
 
 
-def aligned_blocks(own: list[bytes], known: dict[int, bytes], anchors: set[tuple[int, int, int]], min_words: int, rare_docs: int, rare_share: float) -> list[tuple[int, int]]:
-    """Runs of at least ``min_words`` of a document's words that stand in a row in one earlier document too, of which ``known`` holds the words around the shared places.
+def aligned_blocks(own: list[bytes], known: dict[int, bytes], shared: set[tuple[int, int, int]], min_words: int, rare_docs: int, rare_share: float) -> list[tuple[int, int]]:
+    """Runs of at least ``min_words`` of a document's words that stand in a row in one earlier document too, of which ``known`` holds the words around the shared runs.
 
-    ``anchors``: place, place in the earlier document, holders of the hash.
+    ``shared``: where a run begins, where it begins in the earlier document, holders of its rarest hash.
     """
-    often = sorted(n for *_, n in anchors)
+    runs = sorted(shared)
+    often = sorted(n for *_, n in runs)
     limit = max(rare_docs, often[min(len(often) - 1, int(rare_share * len(often)))])
-    xs, ys = Counter(x for x, *_ in anchors), Counter(y for _, y, _ in anchors)
-    first = patience([(x, y, n <= limit and xs[x] == ys[y] == 1) for x, y, n in sorted(anchors)])
-    seen = set(first)
-    done: dict[int, list[tuple[int, int]]] = {}
+    xs, ys = Counter(x for x, *_ in runs), Counter(y for _, y, _ in runs)
+    first = patience([(x, y, n <= limit and xs[x] == ys[y] == 1) for x, y, n in runs])
+    aligned = set(first)
+    grown: dict[int, list[tuple[int, int]]] = {}
     out = []
-    for x, y in [*first, *((x, y) for x, y, _ in sorted(anchors) if (x, y) not in seen)]:
-        runs = done.setdefault(x - y, [])
-        k = bisect_right(runs, (x, len(own)))
-        if k and x < runs[k - 1][1] or known.get(y) != own[x]:
+    for x, y in [*first, *((x, y) for x, y, _ in runs if (x, y) not in aligned)]:
+        d = y - x
+        there = grown.setdefault(d, [])
+        k = bisect_right(there, (x, len(own)))
+        if k and x < there[k - 1][1] or known.get(y) != own[x]:
             continue
-        a, b, d = x, x + 1, y - x
+        a, b = x, x + 1
         while a and known.get(a - 1 + d) == own[a - 1]:
             a -= 1
         while b < len(own) and known.get(b + d) == own[b]:
             b += 1
-        runs.insert(k, (a, b))
+        there.insert(k, (a, b))
         if b - a >= min_words:
             out.append((a, b))
     return out
@@ -236,7 +239,7 @@ def line_dedup(docs: DataFrame, min_words: int = 20, rare_docs: int = 64, rare_s
     its id and text: repeated rows are one document and lose the same blocks, different texts under one
     id are two, ordered by a hash. Rows without an id stay whole and delete nothing.
 
-    Of two documents' shared hashes those count as rare that at most ``rare_docs`` places hold, and the rarer
+    Of two documents' shared runs those count as rare that at most ``rare_docs`` places hold, and the rarer
     ``rare_share`` of them. Rarity says where an alignment begins, never what is deleted.
     """
     kept = [c for c in docs.columns if c != out_col]
@@ -244,15 +247,19 @@ def line_dedup(docs: DataFrame, min_words: int = 20, rare_docs: int = 64, rare_s
     text = names[kept.index(text_col)]
     source = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
     source = source.withColumn("own", F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)))
-    size = (min_words + 1) // 2
+    size = max(1, 2 * min_words // 5)
     sought = "doc_id is not null and {0} is not null".format(text)
     texts = source.where(sought)
-    asked = materialize(_asked(_links(_keys(texts, text, size, min_words)), size), "asked")
-    # the words of earlier documents that links ask for, once a document and block
+    pairs = materialize(_pairs(_links(_keys(texts, text, size, min_words)), size), "pairs")
+    near = f"transform(runs, r -> sequence(greatest(r.y - {min_words - size}, 0) div {BLOCK}, (r.y + r.n + {min_words - size} - 1) div {BLOCK}))"
+    # the runs go with one of the pair's blocks
+    asked = pairs.select("doc_id", "own", "a_doc", "a_own", "runs", F.posexplode(F.array_distinct(F.flatten(F.expr(near)))).alias("k", "block"))
+    asked = asked.select("doc_id", "own", "a_doc", "a_own", "block", F.when(F.col("k") == 0, F.col("runs")).alias("runs"))
+    # the words of earlier documents that pairs ask for, once a document and block
     wanted = asked.select("a_doc", "a_own", "block").distinct().groupBy("a_doc", "a_own").agg(F.collect_list("block").alias("blocks"))
     wanted = texts.join(wanted.toDF("doc_id", "own", "blocks"), ["doc_id", "own"]).select(*names, "doc_id", "own", "blocks")
     place = names.index(text)
-    schema = "a_doc long, a_own long, block int, words binary"
+    schema = "a_doc long, a_own long, block long, words binary"
     arrow = arrow_schema(docs.sparkSession, schema)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +273,7 @@ def line_dedup(docs: DataFrame, min_words: int = 20, rare_docs: int = 64, rare_s
                 yield batch_of(out, arrow)
 
     blocks = wanted.mapInArrow(look, schema).dropDuplicates(["a_doc", "a_own", "block"])
-    shared = asked.join(blocks, ["a_doc", "a_own", "block"]).groupBy("doc_id", "own").agg(F.collect_list(F.struct("a_doc", "a_own", "block", "words", "places")).alias("shared"))
+    shared = asked.join(blocks, ["a_doc", "a_own", "block"]).groupBy("doc_id", "own").agg(F.collect_list(F.struct("a_doc", "a_own", "block", "words", "runs")).alias("shared"))
     joined = texts.join(shared, ["doc_id", "own"], "left").select(*names, "shared")
     whole = source.where(f"not ({sought})").select(*names, F.lit(None).cast(joined.schema["shared"].dataType).alias("shared"))
     joined = joined.union(whole)
@@ -288,7 +295,7 @@ def _keys(texts: DataFrame, text: str, size: int, min_words: int) -> DataFrame:
     Combined a batch, a passage that a third of all documents hold is one row a batch before it is shuffled. A place
     is the document's hash (high) and the word number (low).
     """
-    schema = "h long, around long, doc_id long, place long, others array<struct<doc_id: long, place: long>>"
+    schema = "h long, around int, doc_id long, place long, others array<struct<doc_id: long, place: long>>"
     arrow = arrow_schema(texts.sparkSession, schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,13 +306,15 @@ def _keys(texts: DataFrame, text: str, size: int, min_words: int) -> DataFrame:
                 at, h, around = line_keys(w, size, min_words)
                 doc = np.searchsorted(w.first, at, "right") - 1
                 found.append((h, around, ids[first + doc], own[first + doc] << 32 | at - w.first[doc]))
-            h, around, doc, place = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(4))
+            if not found:
+                continue
+            h, around, doc, place = (np.concatenate([f[k] for f in found]) for k in range(4))
             order = np.lexsort((place, doc, around, h))
-            h, around, doc, place = h[order].view(np.int64), around[order].view(np.int64), doc[order], place[order]
+            h, around, doc, place = h[order].view(np.int64), around[order], doc[order], place[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (around[1:] != around[:-1])])[: len(h)]
             others = np.append(0, np.cumsum(~new))[np.append(np.flatnonzero(new), len(h))].astype(np.int32)
             values = pa.StructArray.from_arrays([pa.array(doc[~new]), pa.array(place[~new])], fields=list(arrow.field("others").type.value_type))
-            lists = pa.ListArray.from_arrays(pa.array(others), values, type=arrow.field("others").type)
+            lists = pa.ListArray.from_arrays(pa.array(others), values, type=arrow.field("others").type, mask=pa.array(np.diff(others) == 0))
             yield pa.RecordBatch.from_arrays([*(pa.array(x[new]) for x in (h, around, doc, place)), lists], schema=arrow)
 
     return texts.select("doc_id", "own", F.col(text).cast("binary").alias("body")).mapInArrow(cut, schema)
@@ -324,31 +333,36 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, Words]]:
 
 
 def _links(keys: DataFrame) -> DataFrame:
-    """``doc_id, own, x, a_doc, a_own, y, holders``: later places and the first places with their hash, alone and with the words behind or before."""
-    behind, before = F.shiftright("around", 32), F.col("around").bitwiseAND(F.lit((1 << 32) - 1))
-    hashes = keys.select("*", behind.alias("behind"), before.alias("before"))
-
-    def first(*by: str) -> tuple[Column, Column]:
-        w = Window.partitionBy(*by).orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return F.first(F.struct("doc_id", "place")).over(w), F.sum(F.lit(1) + F.coalesce(F.size("others"), F.lit(0))).over(w)
-
-    target, holders = first("h")
-    shared = hashes.select("*", target.alias("t0"), holders.cast("int").alias("holders")).where("holders > 1")
-    shared = shared.select("*", first("h", "behind")[0].alias("t1")).select("*", first("h", "before")[0].alias("t2"))
-    places = shared.select(F.explode(F.concat(F.array(F.struct("doc_id", "place")), F.coalesce(F.col("others"), F.array()))).alias("c"), F.array_distinct(F.array("t0", "t1", "t2")).alias("t"), "holders")
-    pairs = places.select("c", F.explode("t").alias("a"), "holders")
+    """``doc_id, own, x, a_doc, a_own, y, holders``: later places, and the first places that hold their hash with the words behind or before it, else alone."""
+    hashes = keys.select("*", F.shiftright("around", 16).alias("behind"), F.col("around").bitwiseAND(0xFFFF).alias("before"))
+
+    def whole(*by: str) -> WindowSpec:
+        return Window.partitionBy(*by).orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    place = F.struct("doc_id", "place")
+    held = F.sum(F.lit(1) + F.coalesce(F.size("others"), F.lit(0))).over(whole("h"))
+    shared = hashes.select("*", F.first(place).over(whole("h")).alias("t0"), held.cast("int").alias("holders")).where("holders > 1")
+    shared = shared.select("*", F.first(place).over(whole("h", "behind")).alias("t1")).select("*", F.first(place).over(whole("h", "before")).alias("t2"))
+    later = shared.select(F.explode(F.concat(F.array(place), F.coalesce(F.col("others"), F.array()))).alias("c"), "t0", "t1", "t2", "holders")
     own = lambda c: F.shiftright(f"{c}.place", 32)
     word = lambda c: F.col(f"{c}.place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-    return pairs.select(F.col("c.doc_id").alias("doc_id"), own("c").alias("own"), word("c").alias("x"), F.col("a.doc_id").alias("a_doc"), own("a").alias("a_own"), word("a").alias("y"), "holders").where("a_doc < doc_id or a_doc = doc_id and a_own < own")
+    # a first place is never behind the place itself, so another document is an earlier one
+    other = lambda t: (F.col(f"{t}.doc_id") != F.col("c.doc_id")) | (own(t) != own("c"))
+    best = F.array_distinct(F.filter(F.array(F.when(other("t1"), F.col("t1")), F.when(other("t2"), F.col("t2"))), lambda t: t.isNotNull()))
+    alone = F.when(other("t0"), F.array("t0"))
+    pairs = later.select("c", "holders", F.explode(F.when(F.size(best) > 0, best).otherwise(alone)).alias("a"))
+    return pairs.select(F.col("c.doc_id").alias("doc_id"), own("c").alias("own"), word("c").alias("x"), F.col("a.doc_id").alias("a_doc"), own("a").alias("a_own"), word("a").alias("y"), "holders")
 
 
-def _asked(links: DataFrame, size: int) -> DataFrame:
-    """``doc_id, own, a_doc, a_own, block, places``: the blocks of earlier words around a document's shared places; each place stands with its own block."""
-    last = (F.col("y") / BLOCK).cast("int")
-    near = F.sequence((F.greatest(F.col("y") - size, F.lit(0)) / BLOCK).cast("int"), ((F.col("y") + 2 * size - 1) / BLOCK).cast("int"))
-    # a document's links meet in one task before they are spread over blocks
-    spread = links.repartition("doc_id", "own").select("*", F.explode(near).alias("block"))
-    return spread.groupBy("doc_id", "own", "a_doc", "a_own", "block").agg(F.collect_set(F.when(F.col("block") == last, F.struct("x", "y", "holders"))).alias("places"))
+def _pairs(links: DataFrame, size: int) -> DataFrame:
+    """``doc_id, own, a_doc, a_own, runs``: places of two documents that touch and run side by side are one run: ``x, y, n, holders``."""
+    pair = ["doc_id", "own", "a_doc", "a_own"]
+    line = Window.partitionBy(*pair, "d").orderBy("x")
+    # all of a document's links meet in one task; windows and groups below need no further shuffle
+    met = links.repartition("doc_id", "own").select("*", (F.col("y") - F.col("x")).alias("d"))
+    met = met.select("*", F.coalesce(F.col("x") - F.lag("x").over(line) > size, F.lit(True)).cast("int").alias("new"))
+    runs = met.select("*", F.sum("new").over(line).alias("run")).groupBy(*pair, "d", "run").agg(F.min("x").alias("x"), (F.max("x") - F.min("x") + size).alias("n"), F.min("holders").alias("holders"))
+    return runs.groupBy(*pair).agg(F.collect_list(F.struct("x", (F.col("x") + F.col("d")).alias("y"), "n", "holders")).alias("runs"))
 
 
 def deleted_words(own: list[bytes], shared: list[dict], min_words: int, rare_docs: int, rare_share: float) -> np.ndarray:
@@ -356,13 +370,12 @@ def deleted_words(own: list[bytes], shared: list[dict], min_words: int, rare_doc
     gone = np.zeros(len(own), bool)
     by_earlier: dict[tuple, tuple[dict, set]] = {}
     for s in shared:
-        known, anchors = by_earlier.setdefault((s["a_doc"], s["a_own"]), ({}, set()))
+        known, runs = by_earlier.setdefault((s["a_doc"], s["a_own"]), ({}, set()))
         known.update(enumerate(s["words"].split(), s["block"] * BLOCK))
-        anchors.update((p["x"], p["y"], p["holders"]) for p in s["places"])
-    for known, anchors in by_earlier.values():
-        if anchors:
-            for a, b in aligned_blocks(own, known, anchors, min_words, rare_docs, rare_share):
-                gone[a:b] = True
+        runs.update((r["x"], r["y"], r["holders"]) for r in s["runs"] or [])
+    for known, runs in by_earlier.values():
+        for a, b in aligned_blocks(own, known, runs, min_words, rare_docs, rare_share):
+            gone[a:b] = True
     return gone
 
 
