@@ -132,7 +132,7 @@ def line_keys(w: Words, size: int, min_words: int) -> tuple[np.ndarray, np.ndarr
     """
     n, near = len(w.begin), min_words - size
     if n < min_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     hashes = Ranges(Ranges(_BYTE[w.raw], _BASE)(w.begin, w.stop), _STEP)
     counts = np.diff(w.first)
     end = np.repeat(w.first[1:], counts)
@@ -152,7 +152,7 @@ def line_keys(w: Words, size: int, min_words: int) -> tuple[np.ndarray, np.ndarr
     at = np.flatnonzero(chosen)
     behind = hashes(at + size, np.minimum(at + size + near, end[at]))
     before = hashes(np.maximum(at - near, np.repeat(w.first[:-1], counts)[at]), at)
-    return at, h[at], (behind >> np.uint64(48) << np.uint64(16) | before >> np.uint64(48)).astype(np.uint32).view(np.int32)
+    return at, h[at], (behind >> np.uint64(48) << np.uint64(16) | before >> np.uint64(48)).astype(np.int64)
 
 
 def rising(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -290,32 +290,33 @@ def line_dedup(docs: DataFrame, min_words: int = 20, rare_docs: int = 64, rare_s
 
 
 def _keys(texts: DataFrame, text: str, size: int, min_words: int) -> DataFrame:
-    """One row per hash of a batch: ``h``, ``around``, the first place that holds both, and the batch's other places.
+    """One row per hash of a batch: ``h``, the first place that holds it with the same words around it, and the batch's other places.
 
-    Combined a batch, a passage that a third of all documents hold is one row a batch before it is shuffled. A place
-    is the document's hash (high) and the word number (low).
+    Combined a batch, a passage that a third of all documents hold is one row a batch before it is shuffled. ``mark`` packs
+    the document's hash (high) and the words around (low): rows as short as can be, for they are the largest shuffle but the texts.
     """
-    schema = "h long, around int, doc_id long, place long, others array<struct<doc_id: long, place: long>>"
+    schema = "h long, mark long, at int, doc_id long, others array<struct<doc_id: long, own: long, at: int>>"
     arrow = arrow_schema(texts.sparkSession, schema)
+    lists = arrow.field("others").type
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, own = (batch.column(k).to_numpy() for k in (0, 1))
+            ids, hashes = (batch.column(k).to_numpy() for k in (0, 1))
             found = []
             for first, w in chunks(batch.column(2)):
-                at, h, around = line_keys(w, size, min_words)
-                doc = np.searchsorted(w.first, at, "right") - 1
-                found.append((h, around, ids[first + doc], own[first + doc] << 32 | at - w.first[doc]))
+                word, h, around = line_keys(w, size, min_words)
+                doc = np.searchsorted(w.first, word, "right") - 1
+                found.append((h, around, ids[first + doc], hashes[first + doc], (word - w.first[doc]).astype(np.int32)))
             if not found:
                 continue
-            h, around, doc, place = (np.concatenate([f[k] for f in found]) for k in range(4))
-            order = np.lexsort((place, doc, around, h))
-            h, around, doc, place = h[order].view(np.int64), around[order], doc[order], place[order]
+            h, around, doc, own, at = (np.concatenate([f[k] for f in found]) for k in range(5))
+            order = np.lexsort((at, own, doc, around, h))
+            h, around, doc, own, at = (x[order] for x in (h.view(np.int64), around, doc, own, at))
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (around[1:] != around[:-1])])[: len(h)]
-            others = np.append(0, np.cumsum(~new))[np.append(np.flatnonzero(new), len(h))].astype(np.int32)
-            values = pa.StructArray.from_arrays([pa.array(doc[~new]), pa.array(place[~new])], fields=list(arrow.field("others").type.value_type))
-            lists = pa.ListArray.from_arrays(pa.array(others), values, type=arrow.field("others").type, mask=pa.array(np.diff(others) == 0))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[new]) for x in (h, around, doc, place)), lists], schema=arrow)
+            ends = np.append(0, np.cumsum(~new))[np.append(np.flatnonzero(new), len(h))].astype(np.int32)
+            values = pa.StructArray.from_arrays([pa.array(x[~new]) for x in (doc, own, at)], fields=list(lists.value_type))
+            others = pa.ListArray.from_arrays(pa.array(ends), values, type=lists, mask=pa.array(np.diff(ends) == 0))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[new]) for x in (h, own << 32 | around, at, doc)), others], schema=arrow)
 
     return texts.select("doc_id", "own", F.col(text).cast("binary").alias("body")).mapInArrow(cut, schema)
 
@@ -334,24 +335,23 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, Words]]:
 
 def _links(keys: DataFrame) -> DataFrame:
     """``doc_id, own, x, a_doc, a_own, y, holders``: later places, and the first places that hold their hash with the words behind or before it, else alone."""
-    hashes = keys.select("*", F.shiftright("around", 16).alias("behind"), F.col("around").bitwiseAND(0xFFFF).alias("before"))
 
     def whole(*by: str) -> WindowSpec:
-        return Window.partitionBy(*by).orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return Window.partitionBy(*by).orderBy("doc_id", "mark", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
-    place = F.struct("doc_id", "place")
+    place = F.struct("doc_id", F.shiftright("mark", 32).alias("own"), "at")
     held = F.sum(F.lit(1) + F.coalesce(F.size("others"), F.lit(0))).over(whole("h"))
-    shared = hashes.select("*", F.first(place).over(whole("h")).alias("t0"), held.cast("int").alias("holders")).where("holders > 1")
+    shared = keys.select("*", F.first(place).over(whole("h")).alias("t0"), held.cast("int").alias("holders")).where("holders > 1")
+    # one shuffle by h serves all three windows
+    shared = shared.select("*", F.shiftright("mark", 16).bitwiseAND(F.lit(0xFFFF)).alias("behind"), F.col("mark").bitwiseAND(F.lit(0xFFFF)).alias("before"))
     shared = shared.select("*", F.first(place).over(whole("h", "behind")).alias("t1")).select("*", F.first(place).over(whole("h", "before")).alias("t2"))
     later = shared.select(F.explode(F.concat(F.array(place), F.coalesce(F.col("others"), F.array()))).alias("c"), "t0", "t1", "t2", "holders")
-    own = lambda c: F.shiftright(f"{c}.place", 32)
-    word = lambda c: F.col(f"{c}.place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
     # a first place is never behind the place itself, so another document is an earlier one
-    other = lambda t: (F.col(f"{t}.doc_id") != F.col("c.doc_id")) | (own(t) != own("c"))
+    other = lambda t: (F.col(f"{t}.doc_id") != F.col("c.doc_id")) | (F.col(f"{t}.own") != F.col("c.own"))
     best = F.array_distinct(F.filter(F.array(F.when(other("t1"), F.col("t1")), F.when(other("t2"), F.col("t2"))), lambda t: t.isNotNull()))
     alone = F.when(other("t0"), F.array("t0"))
     pairs = later.select("c", "holders", F.explode(F.when(F.size(best) > 0, best).otherwise(alone)).alias("a"))
-    return pairs.select(F.col("c.doc_id").alias("doc_id"), own("c").alias("own"), word("c").alias("x"), F.col("a.doc_id").alias("a_doc"), own("a").alias("a_own"), word("a").alias("y"), "holders")
+    return pairs.select("c.doc_id", "c.own", F.col("c.at").alias("x"), F.col("a.doc_id").alias("a_doc"), F.col("a.own").alias("a_own"), F.col("a.at").alias("y"), "holders")
 
 
 def _pairs(links: DataFrame, size: int) -> DataFrame:
