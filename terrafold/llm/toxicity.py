@@ -22,7 +22,6 @@ from .common import bucket, keep_rows, materialize, per_document
 
 WINDOW, STRIDE = 48, 24
 HIDDEN, WIDTH, GRAMS, LETTERS = 8, 12, 8192, 20
-LEAST_STEPS = 120
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Words whose input parts a worker remembers.
 MEMO = 100_000
@@ -155,14 +154,17 @@ def parts_of(m: dict, x: np.ndarray) -> np.ndarray:
     return np.concatenate([own, np.zeros((1, own.shape[1]), np.float32)])
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 7, rate: float = 0.015, least: int = 3, seed: int = 7) -> dict:
-    """Weights and vocabulary from labelled texts; one class only: a constant score."""
+def train(texts: list[bytes], labels: list[int], epochs: int | None = None, steps: int = 200, rate: float = 0.015, least: int = 3, seed: int = 7) -> dict:
+    """Weights and vocabulary from labelled texts; one class only: a constant score.
+
+    Adam makes ``steps`` steps of 128 windows, whatever the sample's size (``epochs``: that many passes instead). Every
+    weight begins at random, so all that the network knows comes from its training.
+    """
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return {"m": None, "constant": float(y.mean()) if len(y) else 0.0}
     docs = [words_of(t) for t in texts]
     held = Counter(w for d in docs for w in set(d))
-    bad = Counter(w for d, k in zip(docs, labels, strict=True) if k for w in set(d))
     vocab = sorted(w for w, n in held.items() if n >= least)
     number = {w: i + 1 for i, w in enumerate(vocab)}
     words = sorted(held)
@@ -170,35 +172,25 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 7, rate: float =
     numbers = np.array([number.get(w, 0) for w in words])
     code, real = grams_of(words)
     m = start(vocab, seed)
-    # the first dimension begins at smoothed log odds of the training documents
-    n_bad, n_good = y.sum(), len(y) - y.sum()
-    odds = lambda b, n: np.log((b + 1) / (n_bad + 2)) - np.log((n - b + 1) / (n_good + 2))
-    m["word"][1:, 0] = [0.3 * odds(bad[w], held[w]) for w in vocab]
-    gram_all, gram_bad = np.zeros(GRAMS), np.zeros(GRAMS)
-    for d, k in zip(docs, labels, strict=True):
-        rows = [place[w] for w in set(d)]
-        seen = np.unique(code[rows][real[rows] > 0]) if rows else []
-        gram_all[seen] += 1
-        gram_bad[seen] += k
-    m["gram"][:, 0] = 0.1 * odds(gram_bad, gram_all)
     windows = [cut(np.array([place[w] for w in d], np.int64)) for d in docs]
     flat, owner = np.concatenate(windows), np.repeat(np.arange(len(docs)), list(map(len, windows)))
     r = np.random.default_rng(seed)
     mean, square, t = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
-    # a small sample takes more passes, so that there are LEAST_STEPS steps in any case
-    passes = max(epochs, -(-LEAST_STEPS // max(1, (len(docs) + int((y == 0).sum())) // 128)))
-    for _ in range(passes):
+    places_of = np.split(np.arange(len(flat)), np.cumsum(list(map(len, windows)))[:-1])
+    end = steps if epochs is None else epochs * -(-(len(docs) + int((y == 0).sum())) // 128)
+    while t < end:
         scores = score_windows(m, parts_of(m, inputs(m, numbers, code, real)), flat)
         order = np.lexsort((scores, owner))
         last = np.append(owner[order][1:] != owner[order][:-1], True)
         chosen = order[last]
         # clean documents also learn from one more window
-        more = np.array([np.flatnonzero(owner == k)[r.integers(len(windows[k]))] for k in np.flatnonzero(y == 0)])
+        more = np.array([places_of[k][r.integers(len(places_of[k]))] for k in np.flatnonzero(y == 0)])
         take = r.permutation(np.concatenate([chosen, more]))
-        for at in range(0, len(take), 128):
+        for at in range(0, min(len(take), 128 * (end - t)), 128):
             rows = take[at : at + 128]
             w = flat[rows].T
             used, back = np.unique(w[w >= 0], return_inverse=True)
+            t += 1
             if not len(used):
                 continue
             x = inputs(m, numbers[used], code[used], real[used])
@@ -218,7 +210,6 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 7, rate: float =
             g["gram"] = np.zeros_like(m["gram"])
             rows_, cols = np.nonzero(real[used])
             np.add.at(g["gram"], code[used][rows_, cols], d[rows_])
-            t += 1
             for k, v in m.items():
                 mean[k] = 0.9 * mean[k] + 0.1 * g[k]
                 square[k] = 0.99 * square[k] + 0.01 * g[k] ** 2
@@ -258,13 +249,17 @@ class Scorer:
         return np.where([bool(d) for d in docs], best, 0.0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, bound: int) -> tuple[list[bytes], list[int]]:
-    """At most ``bound`` labelled rows a class, outside the held-out fold, chosen by a hash of the id: (texts, labels)."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, bound: int, longest: int = 1 << 17) -> tuple[list[bytes], list[int]]:
+    """At most ``bound`` labelled rows a class, outside the held-out fold, chosen by a hash of the id: (texts, labels).
+
+    Of several texts under one id the one with the smallest hash counts, and texts of more than ``longest`` bytes aren't learned from,
+    so at most ``2 * bound * longest`` bytes come to the driver.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (bucket("doc_id", folds) != held)).distinct()
     ranked = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for k in (0, 1)]
     chosen = materialize(ranked[0].union(ranked[1]), "sample")  # at most 2 * bound rows of two numbers
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toLocalIterator()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).toLocalIterator()
     rows = sorted((r.doc_id, r.text, r.y) for r in rows)
     return [t.encode() for _, t, _ in rows], [y for *_, y in rows]
 
