@@ -14,8 +14,10 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 import sys
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +29,9 @@ from .common import per_document
 #: Fixed value: the byte-level splitting pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMO = 260_000
+#: Bytes of a text that are encoded together.
+STRETCH = 1 << 16
+_BETWEEN = re.compile(rb"[0-9A-Za-z](?= [0-9A-Za-z])")
 
 
 def newer_letters(path: str) -> str:
@@ -54,6 +59,8 @@ class Bpe:
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]], special: dict[str, int] | None = None, newer: str = ""):
         self.special = special or {}
         self.marks = [t.encode() for t in self.special]
+        #: whether a blank always lies outside of special tokens
+        self.apart = not any(b" " in mark for mark in self.marks)
         self.text_of = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.single = [vocab[bytes([b])] for b in range(256)]
         #: pair of ids -> rank of its merge; the id that the merge makes
@@ -176,7 +183,19 @@ class Bpe:
             return got
 
     def encode(self, data: bytes) -> bytes:
-        """A text's ids as little-endian unsigned 32-bit integers.
+        """A text's ids as little-endian unsigned 32-bit integers."""
+        return b"".join(self.encoded(data))
+
+    def encoded(self, data: bytes) -> Iterator[bytes]:
+        """The ids in parts: stretches of about ``STRETCH`` bytes that end before a blank between ASCII letters or digits, where a piece always begins."""
+        at = 0
+        while len(data) - at > STRETCH and self.apart and (m := _BETWEEN.search(data, at + STRETCH)):
+            yield self.stretch(data[at : m.start() + 1])
+            at = m.start() + 1
+        yield self.stretch(data[at:])
+
+    def stretch(self, data: bytes) -> bytes:
+        """Ids of a stretch.
 
         Where single blanks separate other characters, a piece always begins at the blank; such
         stretches are remembered whole. Texts with other white space runs go piece by piece.
@@ -193,11 +212,14 @@ class Bpe:
 
     def decode(self, ids) -> str:
         """Text of ids: bytes go through an incremental UTF-8 machine, broken sequences become U+FFFD."""
-        machine, out = codecs.getincrementaldecoder("utf-8")("replace"), []
-        table, ids = self.text_of, list(ids)
-        for at in range(0, len(ids), 4096):
-            out.append(machine.decode(b"".join(map(table.__getitem__, ids[at : at + 4096]))))
-        return "".join([*out, machine.decode(b"", True)])
+        return "".join(self.decoded([np.array(list(ids), "<u4").tobytes()]))
+
+    def decoded(self, parts: Iterable[bytes]) -> Iterator[str]:
+        """The text of ids that come in parts, in parts."""
+        machine, table = codecs.getincrementaldecoder("utf-8")("replace"), self.text_of
+        for part in parts:
+            yield machine.decode(b"".join(map(table.__getitem__, np.frombuffer(part, "<u4").tolist())))
+        yield machine.decode(b"", True)
 
 
 @lru_cache(maxsize=2)
@@ -205,24 +227,34 @@ def loaded(path: str) -> Bpe:
     return Bpe.load(path)
 
 
-def bpe_round_trip(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """Per document: ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, on request, ``ids`` (binary, little-endian uint32) and ``decoded``.
 
+    Ids and decoded text pass through the digests in parts; whole ones are held only where they are asked for.
     Null texts count as empty (no ids). Repeated rows give repeated rows.
     """
 
     def make():
         bpe = loaded(tokenizer_path)
 
-        def work(texts: list[bytes]) -> list[list]:
-            out: list[list] = [[], [], [], [], []]
-            for t in texts:
-                ids = bpe.encode(t)
-                text = bpe.decode(np.frombuffer(ids, "<u4").tolist())
-                for column, x in zip(out, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), ids, text), strict=True):
-                    column.append(x)
-            return out if with_ids else out[:3]
+        def one(data: bytes) -> tuple:
+            n, ids, told, kept, text = 0, hashlib.sha256(), hashlib.sha256(), [], []
+
+            def seen() -> Iterator[bytes]:
+                nonlocal n
+                for part in bpe.encoded(data):
+                    n += len(part) // 4
+                    ids.update(part)
+                    if with_ids:
+                        kept.append(part)
+                    yield part
+
+            for part in bpe.decoded(seen()):
+                told.update(part.encode())
+                if with_text:
+                    text.append(part)
+            return n, ids.hexdigest(), told.hexdigest(), *[b"".join(kept)] * with_ids, *["".join(text)] * with_text
 
-        return work
+        return lambda texts: list(map(list, zip(*map(one, texts), strict=True))) or [[]] * (3 + with_ids + with_text)
 
-    return per_document(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids)
+    return per_document(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids + ", decoded string" * with_text)
