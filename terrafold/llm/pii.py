@@ -1,7 +1,7 @@
 """Personal data with DataFrame functions only.
 
-Regular expressions propose spans, validators confirm them (octets, Luhn, digit counts, mod-97), and
-words shortly before a span adjust its score. Places come from two views of the same matches: the
+Regular expressions propose spans, validators confirm them (octets, Luhn, digit counts, mod-97, check letters, variety of
+characters), and words shortly before or behind a span adjust its score. Places come from two views of the same matches: the
 matched strings and the stretches between them, whose lengths add up.
 
 The expressions are linear on long texts: possessive where nothing could be gained by going back,
@@ -38,7 +38,17 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|call|tel|mobile|telefon"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "", 0.8, "iban|account|konto|compte|cuenta", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.4, "ssn|social|security", False),
+    # eight digits and a check letter; a year's digits and a letter may agree by chance (1 in 23)
+    Kind("dni", r"(?<![A-Za-z0-9])[0-9]{8}-?[A-Z](?![A-Za-z0-9])", "", 0.45, "dni|nif|identidad|documento|id", False),
+    # sex, year, month, department, birth number and two check digits
+    Kind("nir", r"(?<![0-9])[12]\x20?[0-9]{2}\x20?[0-9]{2}\x20?[0-9]{2}\x20?[0-9]{3}\x20?[0-9]{3}\x20?[0-9]{2}(?![0-9])", "", 0.55, "nir|sécu|sécurité|sociale|insee", False),
+    # keys in published formats speak for themselves
+    Kind("key", r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[oprsu]_[0-9A-Za-z]{36}|AIza[0-9A-Za-z_-]{35}|xox[abprs]-[0-9A-Za-z-]{10,}|[rs]k_live_[0-9A-Za-z]{16,})(?![A-Za-z0-9_-])", "", 0.9, "key|token", False),
+    # any long run of mixed characters is one where a word beside it says so
+    Kind("secret", r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,}+=*+(?![A-Za-z0-9_+/-])", "", 0.4, r"[a-z_-]*(?:token|secret|passwd|password|apikey|api[_-]key|access[_-]key|private[_-]key|credentials?|bearer)", False),
 )
+#: What a text must hold, besides ``needs``, for a kind to be looked for.
+_RARE = {"dni": "[0-9]{8}-?[A-Z]", "nir": r"[12]\x20?[0-9]{2}\x20?[0-9]{2}", "key": "AKIA|gh[oprsu]_|AIza|xox[abprs]-|[rs]k_live_", "secret": "[A-Za-z0-9_+/-]{20}"}
 
 
 def _digits(value: Column) -> Column:
@@ -64,8 +74,22 @@ def _mod97(value: Column) -> Column:
     return F.length(plain).between(15, 34) & (rest == 1)
 
 
+def _check_letter(value: Column) -> Column:
+    return F.right(value, F.lit(1)) == F.substr(F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), F.substring(value, 1, 8).cast("int") % 23 + 1, F.lit(1))
+
+
+def _check_pair(value: Column) -> Column:
+    digits = _digits(value)
+    return F.substring(digits, 1, 13).cast("long") % 97 + F.right(digits, F.lit(2)).cast("int") == 97
+
+
+def _mixed(value: Column) -> Column:
+    """Letters, two or more digits and ten or more different characters: no word, number or ruler."""
+    return value.rlike("[A-Za-z]") & value.rlike("[0-9].*[0-9]") & (F.size(F.array_distinct(F.split(value, ""))) >= 10)
+
+
 #: Never null, as a span is kept or not.
-_VALID = {"ip": _octets, "card": _luhn, "iban": _mod97, "phone": lambda v: F.length(_digits(v)).between(9, 15)}
+_VALID = {"ip": _octets, "card": _luhn, "iban": _mod97, "phone": lambda v: F.length(_digits(v)).between(9, 15), "dni": _check_letter, "nir": _check_pair, "secret": _mixed}
 
 
 def _measured(kind: Kind) -> Column:
@@ -109,12 +133,21 @@ def _before(values: Column, gaps: Column, i: Column, reach: int) -> Column:
     return end(F.array_join(F.transform(F.sequence(first, i), piece), ""))
 
 
+def _behind(values: Column, gaps: Column, i: Column, reach: int) -> Column:
+    """The first ``reach`` code points behind match ``i``."""
+    last = F.least(F.size(values), i + 1 + (reach + 1) // 2)
+    begin = lambda c: F.substring(c, 1, reach)
+    piece = lambda j: F.concat(begin(F.get(gaps, j)), F.when(j < last, begin(F.get(values, j))).otherwise(""))
+    return begin(F.array_join(F.transform(F.sequence(i + 1, last), piece), ""))
+
+
 def _spans(number: int, kind: Kind, threshold: float, reach: int) -> Column:
     """The confirmed and scored spans of one kind."""
     values, gaps, lengths = F.col(f"v_{kind.name}"), F.col(f"g_{kind.name}"), F.col(f"m_{kind.name}")
 
     def scored(s: Column) -> Column:
-        near = F.lower(_before(values, gaps, s["i"], reach)).rlike(rf"\b(?:{kind.context})\b")
+        beside = F.concat(_before(values, gaps, s["i"], reach), F.lit("\n"), _behind(values, gaps, s["i"], reach))
+        near = F.lower(beside).rlike(rf"\b(?:{kind.context})\b")
         score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, 0.2).otherwise(0.0))
         return F.struct(s["begin"].alias("begin"), F.lit(number).alias("kind"), s["stop"].alias("stop"), score.alias("score"))
 
@@ -132,7 +165,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, reach: int = 40, id_col: s
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     none = F.array().cast("array<string>")
-    possible = {k.name: F.col("text").contains(k.needs) if k.needs else F.col("text").rlike("[0-9]{2}|[0-9][ -][0-9]") for k in KINDS}
+    possible = {k.name: F.col("text").contains(k.needs) if k.needs else F.col("text").rlike(_RARE.get(k.name, "[0-9]{2}|[0-9][ -][0-9]")) for k in KINDS}
     rows = rows.select("doc_id", "text", *(F.when(possible[k.name], F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0))).otherwise(none).alias(f"v_{k.name}") for k in KINDS))
     rows = rows.select("*", *(F.when(F.size(f"v_{k.name}") > 0, F.split("text", k.pattern, -1)).alias(f"g_{k.name}") for k in KINDS)).drop("text")
     rows = rows.select("*", *(_measured(k).alias(f"m_{k.name}") for k in KINDS))
@@ -141,7 +174,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, reach: int = 40, id_col: s
 
 
 def pii_digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds and the joined spans of :func:`find_pii`."""
+    """Counts of the base kinds, the joined spans of :func:`find_pii` and, in their order, their scores in hundredths."""
     names = F.array(*(F.lit(k.name) for k in KINDS))
 
     def told(spans: Column) -> Column:
@@ -154,4 +187,5 @@ def pii_digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", *map(count, base),
         F.sha2(told(F.filter("found", lambda s: s["kind"] <= base[-1])).cast("binary"), 256).alias("base_sha256"), told(F.col("found")).alias("spans"),
+        F.array_join(F.transform("found", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",").alias("scores"),
     )

@@ -60,7 +60,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base kinds of op9 alone, which SQL can express."""
-    return op9_pii(spark, sf_dir).drop("spans")
+    return op9_pii(spark, sf_dir).drop("spans", "scores")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
