@@ -265,3 +265,60 @@ def test_toxicity_reads_long_runs_whole():
     scores = toxicity.Scorer(model)(glued)
     assert scores[0] > scores[1]
     assert toxicity.STRIDE * 2 <= toxicity.WINDOW
+
+
+def test_crf_gradient_is_that_of_the_documents_label():
+    r = np.random.default_rng(3)
+    docs = [r.random((n, quality_crf.OWN)) for n in (5, 1, 3)]
+    likes, shares = [quality_crf.likeness(d) for d in docs], [np.full(len(d), 1 / len(d)) for d in docs]
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([0.2, 0.5, 0.3])
+    w = {"line": r.normal(size=3 * quality_crf.OWN) * 0.2, "pair": np.array([0.4, 0.3])}
+
+    def likelihood():
+        n, e, like = quality_crf.padded(w, docs, likes)
+        s = (quality_crf.forward_backward(n, e, quality_crf.pair_field(w, like))[0] / n).sum(axis=0)
+        return float((weight * np.log(np.where(y > 0, s, 1 - s))).sum())
+
+    docs.sort(key=len, reverse=True)
+    likes, shares = [quality_crf.likeness(d) for d in docs], [np.full(len(d), 1 / len(d)) for d in docs]
+    g = quality_crf.gradient(w, docs, likes, shares, y, weight)
+    for name, at in (("line", 0), ("line", 20), ("line", 40), ("pair", 0), ("pair", 1)):
+        old = w[name][at]
+        w[name][at] = old + 1e-5
+        up = likelihood()
+        w[name][at] = old - 1e-5
+        down = likelihood()
+        w[name][at] = old
+        assert (up - down) / 2e-5 == pytest.approx(g[name][at], rel=1e-3, abs=1e-7)
+
+
+def test_crf_labels_lines_of_one_document_differently():
+    r = random.Random(9)
+    good = lambda: " ".join(r.choice(["the", "house", "stands", "near", "a", "river", "and", "people", "walk"]) for _ in range(12)).capitalize() + "."
+    bad = lambda: " ".join(r.choice(["###", "$$$", "%%", "a1", "||", "***"]) for _ in range(12))
+    made = [("\n".join([good() for _ in range(6)] + [bad()]).encode(), 1) for _ in range(60)] + [("\n".join([bad() for _ in range(6)] + [good()]).encode(), 0) for _ in range(60)]
+    w = quality_crf.train(*map(list, zip(*made, strict=True)))
+    text = "\n".join([good() for _ in range(5)] + [bad() for _ in range(5)]).encode()
+    lines = quality_crf.line_marginals(w, [text])[0][0]
+    assert (lines[:4] > 0.5).all() and (lines[6:] < 0.5).all()
+    alone = quality_crf.line_marginals(w | {"pair": np.zeros(2)}, [text])[0][0]
+    assert np.abs(alone - lines).max() > 0.01
+
+
+def test_crf_batches_are_bounded_by_lines():
+    lengths = [5, 10**6, 3, 20000, 19000, 18000, 1] + [4] * 1000
+    got = quality_crf.batches(lengths)
+    assert sorted(i for part in got for i in part) == list(range(len(lengths)))
+    assert all(len(part) == 1 or len(part) * max(lengths[i] for i in part) <= quality_crf.CELLS for part in got)
+    text = b"\n".join(b"line %d of many" % k for k in range(200_000))
+    assert len(quality_crf.line_marginals({"line": np.zeros(3 * quality_crf.OWN), "pair": np.ones(2)}, [text])[0][0]) == 200_000
+
+
+def test_bpe_in_stretches(byte_bpe, monkeypatch):
+    mine, theirs = byte_bpe
+    monkeypatch.setattr(bpe, "STRETCH", 40)
+    for t in texts():
+        parts = list(mine.encoded(t.encode()))
+        assert np.frombuffer(b"".join(parts), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
+        assert "".join(mine.decoded(parts)) == t
+    assert len(list(mine.encoded(b"some words " * 100))) > 20

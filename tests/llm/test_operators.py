@@ -246,3 +246,68 @@ def test_line_dedup_of_lines_that_most_documents_hold(spark):
     rows = [(k, f"Begin{k}. {line}End{k}.") for k in range(9)]
     got = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), rare_docs=2).collect()}
     assert got == {0: rows[0][1], **{k: f"Begin{k}. End{k}." for k in range(1, 9)}}
+
+
+def test_added_kinds_and_their_context(spark):
+    hexes, key = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "AKIA" + "ABCD1234EFGH5678"
+    nir = "1850575123456" + f"{97 - 1850575123456 % 97:02d}"
+    rows = [
+        ("secret", f'Thst token = "{hexes}" and on', hexes, 60), ("secret", f"{hexes} was the password", hexes, 60), (None, f"commit {hexes} was fine", None, 0), (None, "token " + "a" * 40, None, 0),
+        ("key", f"see {key}.", key, 90), ("dni", "DNI 12345678Z", "12345678Z", 65), (None, "DNI 12345678A", None, 0), (None, "thing 12345678Z", None, 0), ("nir", f"numéro {nir}!", nir, 55), (None, f"numéro {nir[:-1]}{(int(nir[-1]) + 1) % 10}!", None, 0),
+    ]
+    df = spark.createDataFrame([(k, r[1]) for k, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pii_digest(pii.find_pii(df)).collect()}
+    for k, (kind, text, value, score) in enumerate(rows):
+        want = [(f"{kind}:{text.index(value)}:{text.index(value) + len(value)}", str(score))] if kind else []
+        found = [(s, c) for s, c in zip(got[k].spans.split(","), got[k].scores.split(","), strict=True) if s and s.split(":")[0] not in ("card", "phone")]
+        assert found == want, text
+
+
+def _covered(texts):
+    """Words of each text within 20 words that an earlier text holds too."""
+    seen, out = set(), []
+    for t in texts:
+        w = (t or "").encode().split()
+        grams = [tuple(w[k : k + 20]) for k in range(len(w) - 19)]
+        on = np.zeros(len(w), bool)
+        for k, g in enumerate(grams):
+            if g in seen:
+                on[k : k + 20] = True
+        seen.update(grams)
+        out.append((w, on))
+    return out
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """On whole documents: no word goes that no earlier document holds in 20 words in a row, and over 0.99 of those that one holds go."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
+    held = gone = 0
+    for (k, text), (w, on) in zip(rows, _covered([t for _, t in rows]), strict=True):
+        lost = got[k].line_dedup.words_deleted
+        assert lost <= on.sum()
+        assert len((got[k].text or "").split()) == len((text or "").split()) - lost
+        if lost == on.sum():
+            assert [x.encode() for x in (got[k].text or "").split()] == [x for x, o in zip(w, on, strict=True) if not o]
+        held, gone = held + on.sum(), gone + lost
+    assert gone >= 0.99 * held
+
+
+def test_line_dedup_links_beyond_the_first_holder(spark):
+    r = np.random.default_rng(8)
+    x, y, z = (_sentence(r, 13) for _ in range(3))
+    own = lambda k: f"Own{k} words{k} stay{k}. "
+    # C is a copy of B, while all its sentences stand first in A in another order; E joins what stands apart in A and D, so nothing of it is a block
+    rows = [(1, y + own(1) + x), (2, x + y), (3, x + y), (4, z), (5, own(5) + y + z)]
+    got = {q.doc_id: q.text for q in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: "", 4: rows[3][1], 5: rows[4][1]}
+
+
+def test_line_dedup_of_many_copies_under_default_parameters(spark):
+    near = lambda k: PASSAGE.replace("quick", f"quick{k}")
+    rows = [(k, PASSAGE if k % 2 else near(k)) for k in range(400)]
+    got = {r.doc_id: r.line_dedup.words_deleted for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    n = len(PASSAGE.split())
+    # the first loses nothing, its near copies all behind the changed word, exact ones all but the second
+    assert got[0] == 0 and all(got[k] == (n if k % 2 and k > 1 else n - 2) for k in range(1, 400))

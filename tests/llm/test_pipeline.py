@@ -62,3 +62,22 @@ def test_run_equals_the_stages(spark):
     for _, stage in P.STAGES:
         docs = P.materialize(stage(spark, docs, SF), "again")
     assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, P.run(spark, SF).collect()))
+
+
+@pytest.mark.parametrize("name, stage", P.STAGES)
+def test_stages_on_awkward_rows(spark, name, stage):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns, an empty table."""
+    long = " ".join(f"w{k % 997}x{k // 997}" for k in range(20000))
+    rows = [(1, "A first text of some words.", "en", "a", 27), (2, None, None, None, None), (3, "", "en", "a", 0), (4, long, "en", "b", 9), (5, "same text here", "en", "a", 14), (5, "same text here", "en", "a", 14), (None, "no id", "en", "a", 5)]
+    extra = "doc_id long, text string, lang string, source string, n_chars long, row long, lost string, _row long, score double, h long, own long, c0 string"
+    docs = spark.createDataFrame([(*r, 1, "x", 2, 0.5, 3, 4, "y") for r in rows], extra)
+    out = stage(spark, docs, SF)
+    got = out.collect()
+    if name == "encoding":
+        assert len(got) == len(rows) and {r.n_tokens for r in got if r.doc_id in (2, 3)} == {0}
+    else:
+        assert out.columns == docs.columns
+        # of equal texts (null and empty ones count as equal) the near-copy stage keeps one
+        assert len(got) == {"near copies": 5}.get(name, len(rows))
+        assert {(r.row, r.lost, r._row, r.own, r.c0) for r in got} == {(1, "x", 2, 4, "y")}
+    assert stage(spark, docs.where("false"), SF).collect() == []
