@@ -201,29 +201,43 @@ def patience(pairs: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
     return filled(rising([p[:2] for p in pairs if p[2]]), [(x, [y]) for x, y, unique in pairs if not unique])
 
 
-def aligned_blocks(own: list[bytes], known: dict[int, bytes], shared: set[tuple[int, int, int]], min_words: int, rare_docs: int, rare_share: float) -> list[tuple[int, int]]:
-    """Runs of at least ``min_words`` of a document's words that stand in a row in one earlier document too, of which ``known`` holds the words around the shared runs.
+def aligned_blocks(own: list[bytes], known: dict[int, list[bytes]], shared: list[tuple[int, int, int, int]], min_words: int, rare_docs: int, rare_share: float) -> list[tuple[int, int]]:
+    """Runs of at least ``min_words`` of a document's words that stand in a row in one earlier document too.
 
-    ``shared``: where a run begins, where it begins in the earlier document, holders of its rarest hash.
+    ``known`` holds words of the earlier document by the number of a ``BLOCK``. ``shared``: where a run begins, where it begins in the
+    earlier document, its words, holders of its rarest hash.
     """
-    runs = sorted(shared)
+    runs = sorted(set(shared))
     often = sorted(n for *_, n in runs)
     limit = max(rare_docs, often[min(len(often) - 1, int(rare_share * len(often)))])
-    xs, ys = Counter(x for x, *_ in runs), Counter(y for _, y, _ in runs)
-    first = patience([(x, y, n <= limit and xs[x] == ys[y] == 1) for x, y, n in runs])
-    aligned = set(first)
+    xs, ys = Counter(r[0] for r in runs), Counter(r[1] for r in runs)
+    first = patience([(x, y, n <= limit and xs[x] == ys[y] == 1) for x, y, _, n in runs])
+    aligned, length = set(first), {(x, y): n for x, y, n, _ in runs}
+    # blocks side by side are one stretch of words
+    starts: list[int] = []
+    stretches: list[list[bytes]] = []
+    for k in sorted(known):
+        if not starts or starts[-1] + len(stretches[-1]) != k * BLOCK:
+            starts.append(k * BLOCK)
+            stretches.append([])
+        stretches[-1] += known[k]
     grown: dict[int, list[tuple[int, int]]] = {}
     out = []
-    for x, y in [*first, *((x, y) for x, y, _ in runs if (x, y) not in aligned)]:
-        d = y - x
-        there = grown.setdefault(d, [])
+    for x, y in [*first, *(r[:2] for r in runs if r[:2] not in aligned)]:
+        there = grown.setdefault(y - x, [])
         k = bisect_right(there, (x, len(own)))
-        if k and x < there[k - 1][1] or known.get(y) != own[x]:
+        if k and x < there[k - 1][1]:
             continue
+        s = bisect_right(starts, y) - 1
+        if s < 0 or y - starts[s] >= len(stretches[s]) or stretches[s][y - starts[s]] != own[x]:
+            continue
+        words, d = stretches[s], y - x - starts[s]
         a, b = x, x + 1
-        while a and known.get(a - 1 + d) == own[a - 1]:
+        if own[x : x + length[x, y]] == words[x + d : x + d + length[x, y]]:
+            b = x + length[x, y]
+        while a and a + d and own[a - 1] == words[a - 1 + d]:
             a -= 1
-        while b < len(own) and known.get(b + d) == own[b]:
+        while b < len(own) and b + d < len(words) and own[b] == words[b + d]:
             b += 1
         there.insert(k, (a, b))
         if b - a >= min_words:
@@ -316,7 +330,9 @@ def _keys(texts: DataFrame, text: str, size: int, min_words: int) -> DataFrame:
             ends = np.append(0, np.cumsum(~new))[np.append(np.flatnonzero(new), len(h))].astype(np.int32)
             values = pa.StructArray.from_arrays([pa.array(x[~new]) for x in (doc, own, at)], fields=list(lists.value_type))
             others = pa.ListArray.from_arrays(pa.array(ends), values, type=lists, mask=pa.array(np.diff(ends) == 0))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[new]) for x in (h, own << 32 | around, at, doc)), others], schema=arrow)
+            # in the documents' order, so that neighbouring rows are alike and pack well
+            turn = np.argsort(order[new])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[new][turn]) for x in (h, own << 32 | around, at, doc)), others.take(pa.array(turn))], schema=arrow)
 
     return texts.select("doc_id", "own", F.col(text).cast("binary").alias("body")).mapInArrow(cut, schema)
 
@@ -365,43 +381,61 @@ def _pairs(links: DataFrame, size: int) -> DataFrame:
     return runs.groupBy(*pair).agg(F.collect_list(F.struct("x", (F.col("x") + F.col("d")).alias("y"), "n", "holders")).alias("runs"))
 
 
-def deleted_words(own: list[bytes], shared: list[dict], min_words: int, rare_docs: int, rare_share: float) -> np.ndarray:
-    """Which words of a document its aligned blocks cover."""
+def deleted_words(own: list[bytes], shared: list[tuple], min_words: int, rare_docs: int, rare_share: float) -> np.ndarray:
+    """Which words of a document its aligned blocks cover; ``shared``: earlier document, block number, the block's words, runs."""
     gone = np.zeros(len(own), bool)
-    by_earlier: dict[tuple, tuple[dict, set]] = {}
-    for s in shared:
-        known, runs = by_earlier.setdefault((s["a_doc"], s["a_own"]), ({}, set()))
-        known.update(enumerate(s["words"].split(), s["block"] * BLOCK))
-        runs.update((r["x"], r["y"], r["holders"]) for r in s["runs"] or [])
+    by_earlier: dict[tuple, tuple[dict, list]] = {}
+    for earlier, block, words, runs in shared:
+        known, all_runs = by_earlier.setdefault(earlier, ({}, []))
+        known[block] = words.split()
+        all_runs += runs
     for known, runs in by_earlier.values():
         for a, b in aligned_blocks(own, known, runs, min_words, rare_docs, rare_share):
             gone[a:b] = True
     return gone
 
 
+def _told(shared: pa.ListArray) -> tuple[list[int], list[tuple]]:
+    """The links of a batch of documents: where each document's begin, and all of them as :func:`deleted_words` takes them."""
+    begin, links = inner(shared)
+    a_doc, a_own, block, words, runs = (links.field(k) for k in ("a_doc", "a_own", "block", "words", "runs"))
+    ends, parts = inner(runs)
+    places = list(zip(*(parts.field(k).to_pylist() for k in ("x", "y", "n", "holders")), strict=True))
+    earlier = zip(a_doc.to_pylist(), a_own.to_pylist(), strict=True)
+    own = (places[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+    return begin, list(zip(earlier, block.to_pylist(), words.to_pylist(), own, strict=True))
+
+
+def inner(lists: pa.ListArray) -> tuple[list[int], pa.Array]:
+    """Where each list begins, and what they hold."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy()
+    return [0, *np.cumsum(sizes).tolist()], lists.flatten()
+
+
 def _rebuilt(piece: pa.RecordBatch, place: int, names: list[str], deleted) -> pa.RecordBatch:
     """The rows without their deleted words (each with the blanks that follow it), their units, those of them that lost words, words lost."""
     texts = piece.column(place).cast(pa.binary())
-    n_units = np.zeros(len(texts), np.int32)
-    for at, w in chunks(texts.fill_null(b"")):
-        n_units[at : at + len(w.first) - 1] = np.diff(np.append(0, np.cumsum(w.ends()[1]))[w.first])
-    n_deleted, lost = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
-    shared = piece.column(piece.num_columns - 1)
+    n_units, n_deleted, lost = (np.zeros(len(texts), np.int32) for _ in range(3))
+    ends, links = _told(piece.column(piece.num_columns - 1))
     new: dict[int, bytes] = {}
-    for k in np.flatnonzero(shared.is_valid().to_numpy(zero_copy_only=False)).tolist():
-        body = texts[k].as_py()
-        gone = deleted(body.split(), shared[k].as_py())
-        if gone.any():
-            w = one(body)
-            edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-            starts = np.append(w.begin, len(body))
-            kept, at = [], 0
-            for a, b in zip(starts[np.flatnonzero(edge > 0)].tolist(), starts[np.flatnonzero(edge < 0)].tolist(), strict=True):
-                kept.append(body[at:a])
-                at = b
-            new[k] = b"".join([*kept, body[at:]]).rstrip()
-            unit = np.append(0, np.cumsum(w.ends()[1])[:-1])
-            n_deleted[k], lost[k] = len(np.unique(unit[gone])), gone.sum()
+    for at, w in chunks(texts.fill_null(b"")):
+        unit = np.append(0, np.cumsum(w.ends()[1]))
+        n_units[at : at + len(w.first) - 1] = np.diff(unit[w.first])
+        for k in range(at, at + len(w.first) - 1):
+            if ends[k] == ends[k + 1]:
+                continue
+            body = texts[k].as_py()
+            gone = deleted(body.split(), links[ends[k] : ends[k + 1]])
+            if gone.any():
+                a, b = w.first[k - at], w.first[k - at + 1]
+                edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+                starts = np.append(w.begin[a:b] - w.bounds[k - at], len(body))
+                kept, end = [], 0
+                for x, y in zip(starts[np.flatnonzero(edge > 0)].tolist(), starts[np.flatnonzero(edge < 0)].tolist(), strict=True):
+                    kept.append(body[end:x])
+                    end = y
+                new[k] = b"".join([*kept, body[end:]]).rstrip()
+                n_deleted[k], lost[k] = len(np.unique(unit[a:b][gone])), gone.sum()
     columns = piece.columns[:-1]
     if new:
         columns[place] = pa.array([new.get(k, x) for k, x in enumerate(texts.to_pylist())], pa.binary()).cast(pa.string()).cast(piece.schema.field(place).type)
