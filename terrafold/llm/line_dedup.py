@@ -25,6 +25,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,15 +94,16 @@ class Words:
         self.first = np.searchsorted(self.begin, bounds)
         self.raw, self.bounds = raw, bounds
 
-    def ends(self) -> tuple[np.ndarray, np.ndarray]:
-        """Which words end a sentence, and which end a unit: a line, a sentence, the text."""
-        sentence = _END[self.raw[self.stop - 1]]
-        unit = sentence.copy()
-        if len(unit):
-            feeds = np.cumsum(self.raw == 10)
-            unit[:-1] |= feeds[self.begin[1:]] > feeds[self.stop[:-1] - 1]
-            unit[self.first[1:][self.first[1:] > self.first[:-1]] - 1] = True
-        return sentence, unit
+    def sentence_ends(self) -> np.ndarray:
+        return _END[self.raw[self.stop - 1]]
+
+    def unit_ends(self) -> np.ndarray:
+        """Which words end a unit: a line, a sentence, the text."""
+        unit = self.sentence_ends()
+        last = np.searchsorted(self.begin, np.flatnonzero(self.raw == 10)) - 1
+        unit[last[last >= 0]] = True
+        unit[self.first[1:][self.first[1:] > self.first[:-1]] - 1] = True
+        return unit
 
 
 def one(text: bytes) -> Words:
@@ -113,7 +115,7 @@ def units(text: bytes) -> list[tuple[int, int]]:
     if not text:
         return []
     w = one(text)
-    edges = [0, *w.begin[1:][w.ends()[1][:-1]].tolist(), len(text)]
+    edges = [0, *w.begin[1:][w.unit_ends()[:-1]].tolist(), len(text)]
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
@@ -138,7 +140,7 @@ def line_keys(w: Words, size: int, min_words: int) -> tuple[np.ndarray, np.ndarr
     end = np.repeat(w.first[1:], counts)
     at = np.arange(n - size + 1)
     h = hashes(at, at + size)
-    sentence = w.ends()[0]
+    sentence = w.sentence_ends()
     ended = np.append(0, np.cumsum(sentence))
     opening = np.append(True, sentence[:-1])
     opening[w.first[:-1][counts > 0]] = True
@@ -235,9 +237,14 @@ def aligned_blocks(own: list[bytes], known: dict[int, list[bytes]], shared: list
         a, b = x, x + 1
         if own[x : x + length[x, y]] == words[x + d : x + d + length[x, y]]:
             b = x + length[x, y]
-        while a and a + d and own[a - 1] == words[a - 1 + d]:
+        low, high = max(0, -d), min(len(own), len(words) - d)
+        while a - 16 >= low and own[a - 16 : a] == words[a - 16 + d : a + d]:
+            a -= 16
+        while a > low and own[a - 1] == words[a - 1 + d]:
             a -= 1
-        while b < len(own) and b + d < len(words) and own[b] == words[b + d]:
+        while b + 16 <= high and own[b : b + 16] == words[b + d : b + 16 + d]:
+            b += 16
+        while b < high and own[b] == words[b + d]:
             b += 1
         there.insert(k, (a, b))
         if b - a >= min_words:
@@ -324,15 +331,25 @@ def _keys(texts: DataFrame, text: str, size: int, min_words: int) -> DataFrame:
             if not found:
                 continue
             h, around, doc, own, at = (np.concatenate([f[k] for f in found]) for k in range(5))
-            order = np.lexsort((at, own, doc, around, h))
-            h, around, doc, own, at = (x[order] for x in (h.view(np.int64), around, doc, own, at))
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (around[1:] != around[:-1])])[: len(h)]
-            ends = np.append(0, np.cumsum(~new))[np.append(np.flatnonzero(new), len(h))].astype(np.int32)
-            values = pa.StructArray.from_arrays([pa.array(x[~new]) for x in (doc, own, at)], fields=list(lists.value_type))
-            others = pa.ListArray.from_arrays(pa.array(ends), values, type=lists, mask=pa.array(np.diff(ends) == 0))
-            # in the documents' order, so that neighbouring rows are alike and pack well
-            turn = np.argsort(order[new])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[new][turn]) for x in (h, own << 32 | around, at, doc)), others.take(pa.array(turn))], schema=arrow)
+            h = h.view(np.int64)
+            # few hashes stand twice in a batch; the others stay as they are, in the documents' order, in which neighbouring rows are alike and pack well
+            order = np.argsort(h)
+            same = h[order][1:] == h[order][:-1]
+            twice = order[np.append(same, False) | np.append(False, same)] if len(h) else order
+            twice = twice[np.lexsort((at[twice], own[twice], doc[twice], around[twice], h[twice]))]
+            first = np.append(True, (np.diff(h[twice]) != 0) | (np.diff(around[twice]) != 0))[: len(twice)]
+            count = np.zeros(len(h), np.int32)
+            count[twice[first]] = np.diff(np.append(np.flatnonzero(first), len(twice))) - 1
+            kept = np.ones(len(h), bool)
+            kept[twice[~first]] = False
+            rows = np.flatnonzero(kept)
+            # the others of each first place, in the order of those
+            group = np.cumsum(first) - 1
+            others = twice[~first][np.argsort(twice[first][group[~first]], kind="stable")]
+            values = pa.StructArray.from_arrays([pa.array(x[others]) for x in (doc, own, at)], fields=list(lists.value_type))
+            ends = np.append(0, np.cumsum(count[rows])).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends), values, type=lists, mask=pa.array(count[rows] == 0))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[rows]) for x in (h, own << 32 | around, at, doc)), held], schema=arrow)
 
     return texts.select("doc_id", "own", F.col(text).cast("binary").alias("body")).mapInArrow(cut, schema)
 
@@ -349,24 +366,42 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, Words]]:
         at = end
 
 
+def held_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by ``h`` those whose hash another row or several places hold."""
+    waiting, before = None, None
+    for batch in chain((b for b in batches if b.num_rows), [None]):
+        if waiting is not None:
+            h = waiting.column(0).to_numpy()
+            same = h[1:] == h[:-1]
+            ahead = batch is not None and h[-1] == batch.column(0)[0].as_py()
+            keep = np.append(same, ahead) | np.append(h[0] == before, same) | waiting.column(4).is_valid().to_numpy(zero_copy_only=False)
+            yield waiting.filter(pa.array(keep))
+            before = h[-1]
+        waiting = batch
+
+
 def _links(keys: DataFrame) -> DataFrame:
     """``doc_id, own, x, a_doc, a_own, y, holders``: later places, and the first places that hold their hash with the words behind or before it, else alone."""
 
     def whole(*by: str) -> WindowSpec:
         return Window.partitionBy(*by).orderBy("doc_id", "mark", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
+    # most hashes stand alone and go before the windows
+    keys = keys.repartition("h").sortWithinPartitions("h").mapInArrow(held_twice, keys.schema)
+    behind, before = (lambda c: F.shiftright(c, 16).bitwiseAND(F.lit(0xFFFF))), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFF)))
     place = F.struct("doc_id", F.shiftright("mark", 32).alias("own"), "at")
+    target = F.struct("doc_id", F.shiftright("mark", 32).alias("own"), "at", behind("mark").alias("behind"), before("mark").alias("before"))
     held = F.sum(F.lit(1) + F.coalesce(F.size("others"), F.lit(0))).over(whole("h"))
-    shared = keys.select("*", F.first(place).over(whole("h")).alias("t0"), held.cast("int").alias("holders")).where("holders > 1")
     # one shuffle by h serves all three windows
-    shared = shared.select("*", F.shiftright("mark", 16).bitwiseAND(F.lit(0xFFFF)).alias("behind"), F.col("mark").bitwiseAND(F.lit(0xFFFF)).alias("before"))
-    shared = shared.select("*", F.first(place).over(whole("h", "behind")).alias("t1")).select("*", F.first(place).over(whole("h", "before")).alias("t2"))
-    later = shared.select(F.explode(F.concat(F.array(place), F.coalesce(F.col("others"), F.array()))).alias("c"), "t0", "t1", "t2", "holders")
+    shared = keys.select("*", F.first(target).over(whole("h")).alias("t0"), held.cast("int").alias("holders"), behind("mark").alias("behind"), before("mark").alias("before"))
+    shared = shared.select("*", F.first(target).over(whole("h", "behind")).alias("t1")).select("*", F.first(target).over(whole("h", "before")).alias("t2"))
+    later = shared.select(F.explode(F.concat(F.array(place), F.coalesce(F.col("others"), F.array()))).alias("c"), "t0", "t1", "t2", "behind", "before", "holders")
     # a first place is never behind the place itself, so another document is an earlier one
     other = lambda t: (F.col(f"{t}.doc_id") != F.col("c.doc_id")) | (F.col(f"{t}.own") != F.col("c.own"))
-    best = F.array_distinct(F.filter(F.array(F.when(other("t1"), F.col("t1")), F.when(other("t2"), F.col("t2"))), lambda t: t.isNotNull()))
-    alone = F.when(other("t0"), F.array("t0"))
-    pairs = later.select("c", "holders", F.explode(F.when(F.size(best) > 0, best).otherwise(alone)).alias("a"))
+    # a document with the same words on both sides is enough
+    alone = F.when(F.col("t1.before") == F.col("before"), F.array("t1")).when(F.col("t2.behind") == F.col("behind"), F.array("t2")).otherwise(F.array("t1", "t2"))
+    best = F.when(other("t1") & other("t2"), alone).when(other("t1"), F.array("t1")).when(other("t2"), F.array("t2")).when(other("t0"), F.array("t0"))
+    pairs = later.select("c", "holders", F.explode(best).alias("a"))
     return pairs.select("c.doc_id", "c.own", F.col("c.at").alias("x"), F.col("a.doc_id").alias("a_doc"), F.col("a.own").alias("a_own"), F.col("a.at").alias("y"), "holders")
 
 
@@ -419,7 +454,7 @@ def _rebuilt(piece: pa.RecordBatch, place: int, names: list[str], deleted) -> pa
     ends, links = _told(piece.column(piece.num_columns - 1))
     new: dict[int, bytes] = {}
     for at, w in chunks(texts.fill_null(b"")):
-        unit = np.append(0, np.cumsum(w.ends()[1]))
+        unit = np.append(0, np.cumsum(w.unit_ends()))
         n_units[at : at + len(w.first) - 1] = np.diff(unit[w.first])
         for k in range(at, at + len(w.first) - 1):
             if ends[k] == ends[k + 1]:
