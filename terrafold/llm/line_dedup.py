@@ -227,28 +227,32 @@ def aligned_blocks(own: list[bytes], known: dict[int, list[bytes]], shared: list
     out = []
     for x, y in [*first, *(r[:2] for r in runs if r[:2] not in aligned)]:
         there = grown.setdefault(y - x, [])
-        k = bisect_right(there, (x, len(own)))
-        if k and x < there[k - 1][1]:
-            continue
         s = bisect_right(starts, y) - 1
-        if s < 0 or y - starts[s] >= len(stretches[s]) or stretches[s][y - starts[s]] != own[x]:
-            continue
         words, d = stretches[s], y - x - starts[s]
-        a, b = x, x + 1
-        if own[x : x + length[x, y]] == words[x + d : x + d + length[x, y]]:
-            b = x + length[x, y]
         low, high = max(0, -d), min(len(own), len(words) - d)
-        while a - 16 >= low and own[a - 16 : a] == words[a - 16 + d : a + d]:
-            a -= 16
-        while a > low and own[a - 1] == words[a - 1 + d]:
-            a -= 1
-        while b + 16 <= high and own[b : b + 16] == words[b + d : b + 16 + d]:
-            b += 16
-        while b < high and own[b] == words[b + d]:
-            b += 1
-        there.insert(k, (a, b))
-        if b - a >= min_words:
-            out.append((a, b))
+        # a run may hold words that differ between its places
+        end = min(x + length[x, y], high)
+        while x < end:
+            k = bisect_right(there, (x, len(own)))
+            if k and x < there[k - 1][1]:
+                x = there[k - 1][1]
+                continue
+            if own[x] != words[x + d]:
+                x += 1
+                continue
+            a, b = x, x + 1
+            while a - 16 >= low and own[a - 16 : a] == words[a - 16 + d : a + d]:
+                a -= 16
+            while a > low and own[a - 1] == words[a - 1 + d]:
+                a -= 1
+            while b + 16 <= high and own[b : b + 16] == words[b + d : b + 16 + d]:
+                b += 16
+            while b < high and own[b] == words[b + d]:
+                b += 1
+            there.insert(k, (a, b))
+            if b - a >= min_words:
+                out.append((a, b))
+            x = b
     return out
 
 
@@ -271,7 +275,7 @@ def line_dedup(docs: DataFrame, min_words: int = 20, rare_docs: int = 64, rare_s
     size = max(1, 2 * min_words // 5)
     sought = "doc_id is not null and {0} is not null".format(text)
     texts = source.where(sought)
-    pairs = materialize(_pairs(_links(_keys(texts, text, size, min_words)), size), "pairs")
+    pairs = materialize(_pairs(_links(_keys(texts, text, size, min_words)), size, 2 * min_words), "pairs")
     near = f"transform(runs, r -> sequence(greatest(r.y - {min_words - size}, 0) div {BLOCK}, (r.y + r.n + {min_words - size} - 1) div {BLOCK}))"
     # the runs go with one of the pair's blocks
     asked = pairs.select("doc_id", "own", "a_doc", "a_own", "runs", F.posexplode(F.array_distinct(F.flatten(F.expr(near)))).alias("k", "block"))
@@ -405,13 +409,13 @@ def _links(keys: DataFrame) -> DataFrame:
     return pairs.select("c.doc_id", "c.own", F.col("c.at").alias("x"), F.col("a.doc_id").alias("a_doc"), F.col("a.own").alias("a_own"), F.col("a.at").alias("y"), "holders")
 
 
-def _pairs(links: DataFrame, size: int) -> DataFrame:
-    """``doc_id, own, a_doc, a_own, runs``: places of two documents that touch and run side by side are one run: ``x, y, n, holders``."""
+def _pairs(links: DataFrame, size: int, reach: int) -> DataFrame:
+    """``doc_id, own, a_doc, a_own, runs``: places of two documents that go on side by side within ``reach`` words are one run: ``x, y, n, holders``."""
     pair = ["doc_id", "own", "a_doc", "a_own"]
     line = Window.partitionBy(*pair, "d").orderBy("x")
     # all of a document's links meet in one task; windows and groups below need no further shuffle
     met = links.repartition("doc_id", "own").select("*", (F.col("y") - F.col("x")).alias("d"))
-    met = met.select("*", F.coalesce(F.col("x") - F.lag("x").over(line) > size, F.lit(True)).cast("int").alias("new"))
+    met = met.select("*", F.coalesce(F.col("x") - F.lag("x").over(line) > reach, F.lit(True)).cast("int").alias("new"))
     runs = met.select("*", F.sum("new").over(line).alias("run")).groupBy(*pair, "d", "run").agg(F.min("x").alias("x"), (F.max("x") - F.min("x") + size).alias("n"), F.min("holders").alias("holders"))
     return runs.groupBy(*pair).agg(F.collect_list(F.struct("x", (F.col("x") + F.col("d")).alias("y"), "n", "holders")).alias("runs"))
 
