@@ -191,12 +191,11 @@ def flow_chain(spark, sf_dir):
     return at.select("origin", "hops", "last", F.round("value", 4).alias("total"))
 
 
-@query("ev", "SELECT event_id, CAST(trunc((us - 1704067200000000) / 1e6 * 10 + 5e-1) % 255 AS INT) AS label FROM ev WHERE us < 1704067200000000 + 86400000000")
+@query("ev", "SELECT event_id, CAST(trunc((us - 1704067200000000) / 1e6 * 10 + 5e-1) % 255 AS INT) AS label FROM ev")
 def time_label(spark, sf_dir):
     from ..functions.scalars import time_label as label
 
-    ev = V.events(spark, sf_dir).where(F.col("us") < 1_704_067_200_000_000 + 86_400_000_000)
-    return ev.select("event_id", label((F.col("us") - 1_704_067_200_000_000) / 1e6, F.lit(0.0)).alias("label"))
+    return V.events(spark, sf_dir).select("event_id", label((F.col("us") - 1_704_067_200_000_000) / 1e6, F.lit(0.0)).alias("label"))
 
 
 @query("ev", f"SELECT event_id, round(998e-3*value + 2e-3*coalesce(lag(value) OVER {_KEYED}), value), 6) AS blended FROM ev")

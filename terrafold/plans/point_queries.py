@@ -384,11 +384,11 @@ def rect_intersection(spark, sf_dir):
 
 @query()
 def greedy_features(spark, sf_dir):
-    """Occlusion marks, then the greedy picks of each ring (here: the 21 points of a vector)."""
+    """Occlusion marks, then the greedy picks of each ring (here: a turn of some hundred points)."""
     from ..operators.features import greedy_features as pick
     from ..operators.windows import occlusion
 
-    rings = occlusion(V.points(spark, sf_dir).withColumn("turn", F.floor(F.col("pt") / 21)), ["turn"], ["pt"])
+    rings = occlusion(V.turns(V.points(spark, sf_dir)), ["turn"], ["pt"])
     return pick(rings, ["turn"], "pt").select("pt", "turn", "picked", "label")
 
 

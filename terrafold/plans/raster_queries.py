@@ -81,10 +81,10 @@ def texture_gather(spark, sf_dir):
     return d.join(e, ["pu", "pv"], "left").select("u", "v", "depth", "texture")
 
 
-@query("pixels", f"WITH d AS (SELECT u, v, round(depth/1000) AS value FROM ({_DEPTH})), p AS (SELECT (u // 8) * 8 + (v // 8) AS patch, u, v, value FROM d WHERE u < 16 AND v < 16), c AS (SELECT patch, dv, du, sum((p.value-d.value)*(p.value-d.value)) AS cost FROM p, range(4) a(dv), range(4) b(du) JOIN d ON d.u = p.u + du + 1 AND d.v = p.v + dv + 1 GROUP BY 1,2,3) SELECT patch, cost, dv, du FROM (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY cost, dv, du) AS k FROM c) WHERE k = 1")
+@query("pixels", f"WITH d AS (SELECT u, v, round(depth/1000) AS value FROM ({_DEPTH})), p AS (SELECT (u // 8) * 8 + (v // 8) AS patch, u, v, value FROM d), c AS (SELECT patch, dv, du, sum((p.value-d.value)*(p.value-d.value)) AS cost FROM p, range(4) a(dv), range(4) b(du) JOIN d ON d.u = p.u + du + 1 AND d.v = p.v + dv + 1 GROUP BY 1,2,3) SELECT patch, cost, dv, du FROM (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY cost, dv, du) AS k FROM c) WHERE k = 1")
 def template_match(spark, sf_dir):
     d = V.pixels(spark, sf_dir).groupBy("u", "v").agg(F.round(F.min("z") / 1000).alias("value"))
-    patches = d.where("u < 16 and v < 16").select((F.floor(F.col("u") / 8) * 8 + F.floor(F.col("v") / 8)).alias("patch"), (F.col("u") + 1).alias("u"), (F.col("v") + 1).alias("v"), "value")
+    patches = d.select((F.floor(F.col("u") / 8) * 8 + F.floor(F.col("v") / 8)).alias("patch"), (F.col("u") + 1).alias("u"), (F.col("v") + 1).alias("v"), "value")
     offsets = spark.range(4).select(F.col("id").alias("dv")).crossJoin(spark.range(4).select(F.col("id").alias("du")))  # 16 constants
     return raster.template_match(patches, d, offsets, []).select("patch", "cost", "dv", "du")
 
@@ -146,13 +146,14 @@ def candidate_window(spark, sf_dir):
 
 @query()
 def triangulated_fill(spark, sf_dir):
-    """Each vector's 21 samples are triangulated, and pixels inside triangles get their barycentric weights."""
+    """Each vector's 21 samples are triangulated, and pixels inside triangles get their barycentric weights; pixels and sums of weights a triangle."""
     from ..operators import joins
     from ..operators.inpaint import triangulate
 
-    p = V.points(spark, sf_dir).select(F.floor(F.col("pt") / 21).alias("turn"), F.floor(F.col("x") * 2).alias("u"), F.floor(F.col("y") * 2).alias("v"))
+    p = V.points(spark, sf_dir).select(F.floor(F.col("pt") / 21).alias("turn"), F.floor(F.col("x") * 8).alias("u"), F.floor(F.col("y") * 8).alias("v"))
     t = triangulate(p, ["turn"]).withColumn("tri", F.col("turn") * 1000 + F.col("tri"))
-    return rounded(joins.rasterize(t), "w0 w1 w2", 5)
+    # what the raster comes to, a triangle
+    return rounded(joins.rasterize(t).groupBy("tri").agg(F.count("*").alias("n"), *(F.sum(w).alias(w) for w in ("w0", "w1", "w2"))), "w0 w1 w2", 3)
 
 
 @query()

@@ -14,13 +14,12 @@ QUERIES, ORACLES = query.queries, query.oracles
 
 
 def _turns(spark, sf_dir):
-    """Points with the turn they belong to: 21 points of one vector, a group of fixed size."""
-    return V.points(spark, sf_dir).withColumn("turn", F.floor(F.col("pt") / 21))
+    return V.turns(V.points(spark, sf_dir))
 
 
 @query()
 def odometry_gn(spark, sf_dir):
-    """The pose that each turn of 21 points was moved by, found again from its points and planes."""
+    """The pose that each turn was moved by, found again from its points and planes."""
     p = _turns(spark, sf_dir).join(V.poses(spark, sf_dir), "frame")
     q = g.to_map(g.vec())
     axis = F.col("pt") % 3
@@ -53,11 +52,11 @@ def pose_accumulation(spark, sf_dir):
 @query()
 def bp_labels(spark, sf_dir):
     """Belief propagation over a small mask a frame: three candidates a pixel."""
-    cells = V.points(spark, sf_dir).where("pt % 21 < 20").groupBy("frame", (F.col("ring") % 5).alias("v"), F.floor(F.col("ring") / 5).alias("u")).agg(F.avg("x").alias("a"), F.avg("y").alias("b"), F.avg("z").alias("c"))
+    cells = V.points(spark, sf_dir).groupBy("frame", (F.col("ring") % 5).alias("v"), F.floor(F.col("ring") / 5).alias("u")).agg(F.avg("x").alias("a"), F.avg("y").alias("b"), F.avg("z").alias("c"))
     costs = F.array(*(F.abs(F.col(n)) for n in "abc"))
     colour = F.array(*(F.array(F.round(F.col(n) * 10), F.round(F.col(n) * 5), F.lit(0.0)) for n in "abc"))
-    rows = cells.where("u < 4").select("frame", "v", "u", costs.alias("cost"), colour.alias("colour"), F.array(colour, colour, colour, colour).alias("side"))
-    return mrf.label_masks(rows, ["frame"], iterations=10)
+    rows = cells.select("frame", "v", "u", costs.alias("cost"), colour.alias("colour"), F.array(colour, colour, colour, colour).alias("side"))
+    return mrf.label_masks(rows, ["frame"])
 
 
 @query()

@@ -17,6 +17,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("vec_id") * 21 + F.col("i")).alias("pt"), F.col("label").cast("int").alias("frame"), F.col("i").alias("ring"), at(0), at(1), at(2))
 
 
+def turns(points: DataFrame) -> DataFrame:
+    """Points with the turn they belong to: one frame's points among 4,200 neighbours, so some hundreds and never more than those."""
+    return points.withColumn("turn", F.floor(F.col("pt") / 4200) * 1000 + F.col("frame"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id, ring, event_type, value, us``"""
     us = F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
