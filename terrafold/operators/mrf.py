@@ -10,25 +10,33 @@ from pyspark.sql import DataFrame
 SIDES = (("up", -1, 0, 1), ("down", 1, 0, 0), ("left", 0, -1, 3), ("right", 0, 1, 2))
 
 
-def propagate(unary: np.ndarray, colours: np.ndarray, sides: np.ndarray, weight: float = 2.0, iterations: int = 50, damping: float = 0.0, readout: str = "outgoing") -> np.ndarray:
+def propagate(unary: np.ndarray, colours: np.ndarray, sides: np.ndarray, weight: float = 2.0, iterations: int = 50, damping: float = 0.0, readout: str = "outgoing", known: np.ndarray | None = None) -> np.ndarray:
     """Labels of an h x w grid.
 
     ``unary``: h x w x L costs; ``colours``: h x w x L x 3 candidate colours; ``sides``: h x w x 4 x L x 3,
     what each candidate's neighbour looks like on each side. Inner pixels send in a checkerboard
-    order. ``readout`` sums the messages a pixel sent (parity) or those sent to it.
+    order, all of one colour at once, for they hear only from the other; pixels that aren't ``known`` send nothing. ``readout`` sums the
+    messages a pixel sent (parity) or those sent to it.
     """
     h, w, n = unary.shape
     sent = np.zeros((4, h, w, n))
+    inner = np.zeros((h, w), bool)
+    inner[1:-1, 1:-1] = True if known is None else known[1:-1, 1:-1]
+    v, u = np.nonzero(inner)
+    #: what each candidate of a pixel costs beside each of its neighbour's, a side
+    pairs = [
+        weight * (np.abs(colours[v, u][:, :, None] - sides[v + dv, u + du][:, back][:, None]).sum(axis=3) + np.abs(sides[v, u][:, k][:, :, None] - colours[v + dv, u + du][:, None]).sum(axis=3))
+        for k, (_, dv, du, back) in enumerate(SIDES)
+    ]
+    turns = [np.flatnonzero((u - v - t) % 2 == 1) for t in (0, 1)]
     for t in range(iterations):
-        for v in range(1, h - 1):
-            for u in range((v + t) % 2 + 1, w - 1, 2):
-                incoming = [sent[back, v + dv, u + du] for _, dv, du, back in SIDES]
-                for k, (_, dv, du, back) in enumerate(SIDES):
-                    base = unary[v, u] + sum(m for j, m in enumerate(incoming) if j != k)
-                    there = (v + dv, u + du)
-                    pair = np.abs(colours[v, u][:, None] - sides[there][back][None]).sum(axis=2) + np.abs(sides[v, u][k][:, None] - colours[there][None]).sum(axis=2)
-                    m = (base[:, None] + weight * pair).min(axis=0)
-                    sent[k, v, u] = damping * sent[k, v, u] + (1 - damping) * (m - m.mean())
+        some = turns[t % 2]
+        y, x = v[some], u[some]
+        incoming = np.stack([sent[back, y + dv, x + du] for _, dv, du, back in SIDES])
+        base = unary[y, x] + incoming.sum(axis=0) - incoming
+        for k in range(4):
+            m = (base[k][:, :, None] + pairs[k][some]).min(axis=1)
+            sent[k, y, x] = damping * sent[k, y, x] + (1 - damping) * (m - m.mean(axis=1, keepdims=True))
     belief = unary.copy()
     if readout == "outgoing":
         belief += sent.sum(axis=0)
@@ -41,16 +49,23 @@ def propagate(unary: np.ndarray, colours: np.ndarray, sides: np.ndarray, weight:
 
 
 def label_masks(cells: DataFrame, by: list[str], weight: float = 2.0, iterations: int = 50, damping: float = 0.0, readout: str = "outgoing") -> DataFrame:
-    """Rows ``by…, v, u, cost array<double>, colour array<array<double>>, side array<array<array<double>>>`` of full rectangles; returns ``by…, v, u, label``."""
+    """Rows ``by…, v, u, cost array<double>, colour array<array<double>>, side array<array<array<double>>>`` of one mask a group, of any shape; returns ``by…, v, u, label``."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields if f.name in [*by, "v", "u"]) + ", label int"
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values(["v", "u"])
-        h, w = d["v"].nunique(), d["u"].nunique()
-        as_float = lambda c: np.array([_deep(x) for x in d[c]], float)
-        unary, colours, sides = as_float("cost"), as_float("colour"), as_float("side")
-        labels = propagate(unary.reshape(h, w, -1), colours.reshape(h, w, *colours.shape[1:]), sides.reshape(h, w, *sides.shape[1:]), weight, iterations, damping, readout)
-        return d[[*by, "v", "u"]].assign(label=labels.ravel().astype("int32"))
+        v, u = ((d[c] - d[c].min()).to_numpy(int) for c in "vu")
+        known = np.zeros((v.max() + 1, u.max() + 1), bool)
+        known[v, u] = True
+
+        def grid(column: str) -> np.ndarray:
+            x = np.array([_deep(x) for x in d[column]], float)
+            out = np.zeros((*known.shape, *x.shape[1:]))
+            out[v, u] = x
+            return out
+
+        labels = propagate(grid("cost"), grid("colour"), grid("side"), weight, iterations, damping, readout, known)
+        return d[[*by, "v", "u"]].assign(label=labels[v, u].astype("int32"))
 
     return cells.groupBy(*by).applyInPandas(run, schema)
 

@@ -52,7 +52,7 @@ def pose_accumulation(spark, sf_dir):
 @query()
 def bp_labels(spark, sf_dir):
     """Belief propagation over a small mask a frame: three candidates a pixel."""
-    cells = V.points(spark, sf_dir).groupBy("frame", (F.col("ring") % 5).alias("v"), F.floor(F.col("ring") / 5).alias("u")).agg(F.avg("x").alias("a"), F.avg("y").alias("b"), F.avg("z").alias("c"))
+    cells = V.points(spark, sf_dir).groupBy("frame", (F.col("ring") % 7).alias("v"), F.floor(F.col("ring") / 7).alias("u")).agg(F.avg("x").alias("a"), F.avg("y").alias("b"), F.avg("z").alias("c"))
     costs = F.array(*(F.abs(F.col(n)) for n in "abc"))
     colour = F.array(*(F.array(F.round(F.col(n) * 10), F.round(F.col(n) * 5), F.lit(0.0)) for n in "abc"))
     rows = cells.select("frame", "v", "u", costs.alias("cost"), colour.alias("colour"), F.array(colour, colour, colour, colour).alias("side"))
