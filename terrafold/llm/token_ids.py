@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, id_and_bytes, materialize, new_path
 
-#: Entries that a worker's memory of encoded words holds before it starts anew.
-MEMO = 1_000_000
+#: Bytes of words and ids that a worker's memory of encoded words holds before it starts anew, and what an entry takes beside them.
+MEMO = 256 << 20
+ENTRY = 180
 #: Words that go to the tokenizer in one line.
 WORDS = 64
 #: ASCII punctuation but the apostrophe.
@@ -125,6 +126,7 @@ def _word_encoder(path: str):
     tokenizer.no_padding()
     added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
     memo: dict[bytes, bytes] = {}
+    held = 0
     vocab = tokenizer.get_vocab()
     word_end = np.zeros(max(vocab.values(), default=0) + 1, bool)
     word_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -164,8 +166,10 @@ def _word_encoder(path: str):
             memo.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends], ends))
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        if len(memo) > MEMO:
+        nonlocal held
+        if held > MEMO:
             memo.clear()
+            held = 0
         split = [t.split() for t in texts]
         new = {w: take_apart(w) for w in set().union(*split).difference(memo)}
         fresh = list({x for own in new.values() for x in own if x not in memo})
@@ -174,6 +178,7 @@ def _word_encoder(path: str):
         learn([x for x, plain in zip(fresh, letters, strict=True) if not plain])
         for w, own in new.items():
             memo[w] = memo[own[0]] if len(own) == 1 else b"".join(map(memo.__getitem__, own))
+        held += sum(ENTRY + len(x) + len(memo[x]) for x in new.keys() | set(fresh))
         return [b"".join(map(memo.__getitem__, words)) for words in split]
 
     return encode
@@ -213,7 +218,8 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
         if held:
             yield full()
 
-    ordered = id_and_bytes(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # the text's hash deals out an id (or null) that many documents share
+    ordered = id_and_bytes(docs, id_col, text_col).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(encode, BLOCKS).write.parquet(path)
 
 
