@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 
 from .common import per_document
 
+#: Words that a worker remembers before it starts anew, and the longest that it remembers at all: 40 MB or so.
 MEMO = 300_000
+LONGEST = 64
 _FIRST, _NEXT = 0, 1
 
 
@@ -81,9 +83,12 @@ class PieceCounter:
         words, memo = text.split(), self.memo
         if len(memo) > MEMO:
             memo.clear()
+        long: dict[bytes, int] = {}
         for w in set(words).difference(memo):
-            memo[w] = self.count(w)
-        return len(words), sum(map(memo.__getitem__, words))
+            (memo if len(w) <= LONGEST else long)[w] = self.count(w)
+        if not long:
+            return len(words), sum(map(memo.__getitem__, words))
+        return len(words), sum(long[w] if len(w) > LONGEST else memo[w] for w in words)
 
 
 @lru_cache(maxsize=2)
