@@ -30,7 +30,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.toxicity(docs, model).select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return toxicity.toxicity(docs, model).select("doc_id", F.coalesce(bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_crf.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_crf.quality(docs, model).select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return quality_crf.quality(docs, model).select("doc_id", F.coalesce(bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 QUERIES = {f.__name__: f for f in (op1_token_ids, op2_bpe, op3_toxicity, op4_line_dedup, op5_decontamination, op6_simhash, op7_host_rules, op8_token_counts, op9_pii, op10_quality, pii_base)}

@@ -311,3 +311,40 @@ def test_line_dedup_of_many_copies_under_default_parameters(spark):
     n = len(PASSAGE.split())
     # the first loses nothing, its near copies all behind the changed word, exact ones all but the second
     assert got[0] == 0 and all(got[k] == (n if k % 2 and k > 1 else n - 2) for k in range(1, 400))
+
+
+def test_decontamination_index_takes_no_more_than_estimated(spark):
+    import tracemalloc
+
+    r = np.random.default_rng(9)
+    texts = [" ".join(f"w{k}" for k in range(4000)), " ".join(map(str, r.integers(0, 30, 3000))), "ü. " * 500, "A-b" * 700, ""]
+    b = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "item_id string, text string")
+    items, _ = decontaminate._blocks(b, 1 << 40, 13, "item_id", "text")
+    for row in items.collect():
+        words = decontaminate.words_of(bytes(row.text))
+        assert row.cost == len(words) * decontaminate.WINDOW_BYTES + 13 * len(row.text)
+        tracemalloc.start()
+        index = decontaminate.build_index([(row.item, bytes(row.text))], 13, {})
+        used = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        assert len(index) <= len(words) and used <= row.cost + 4096
+
+
+def test_memories_of_words_are_bounded_in_bytes(spark, monkeypatch):
+    pieces = token_counts.PieceCounter([b"a", b"ab"], [b"a", b"b"])
+    long = b"ab" * 5000
+    assert pieces.text(b"ab a " + long + b" ab " + long) == (5, 3 + 2 * pieces.count(long))
+    assert max(map(len, pieces.memo)) <= token_counts.LONGEST
+    path = vocabulary("word_bpe_49k.json")
+    texts = [b"some words and https://example.org/" + str(k).encode() * 50 for k in range(40)]
+    want = token_ids._word_encoder(path)(texts)
+    monkeypatch.setattr(token_ids, "MEMO", 500)
+    small = token_ids._word_encoder(path)
+    assert [small([t])[0] for t in texts] == want
+
+
+def test_one_id_for_many_documents_is_dealt_out(spark):
+    docs = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    out = token_ids.token_ids(docs, vocabulary("word_bpe_49k.json")).orderBy("start").collect()
+    assert len(out) == 400 and out[0].start == 0
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(out, out[1:]))
