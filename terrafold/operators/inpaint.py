@@ -170,19 +170,33 @@ def nearest_field(target: np.ndarray, source: np.ndarray, patch: int = 3, passes
     return field
 
 
-def fill_inward(image: DataFrame, mask: DataFrame, by: list[str], values: list[str], rounds: int = 1000) -> DataFrame:
-    """Fills a mask from its rim: each round, masked pixels with known neighbours take their mean and leave the work list."""
-    known, left = image.select(*by, "v", "u", *values).join(mask, [*by, "v", "u"], "left_anti"), mask.select(*by, "v", "u")
+def fill_inward(image: DataFrame, mask: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """Fills a mask from its rim: each round, masked pixels with known neighbours take their mean and leave the work list.
+
+    Ends when a round fills nothing, however wide the mask is. Only the mask and the known pixels
+    beside it take part in the rounds, and each round is one join and one table. Masked pixels that no known one
+    reaches stay out, as masked pixels do whose image has none.
+    """
     offsets = F.array(*(F.struct(F.lit(dv).alias("dv"), F.lit(du).alias("du")) for dv in (-1, 0, 1) for du in (-1, 0, 1) if dv or du))
-    for _ in range(rounds):
-        near = left.withColumn("_o", F.explode(offsets)).select(*by, "v", "u", (F.col("v") + F.col("_o.dv")).alias("_v"), (F.col("u") + F.col("_o.du")).alias("_u"))
-        seen = near.join(known.select(*by, F.col("v").alias("_v"), F.col("u").alias("_u"), *values), [*by, "_v", "_u"])
-        fresh = written(seen.groupBy(*by, "v", "u").agg(*(F.avg(x).alias(x) for x in values)), "filled")
-        if fresh.isEmpty():
-            break
-        known = written(known.unionByName(fresh), "known")
-        left = written(left.join(fresh, [*by, "v", "u"], "left_anti"), "open")
-    return known
+    cell = [*by, "v", "u"]
+    beside = lambda df: df.withColumn("_o", F.explode(offsets))
+    known, masked = image.select(*cell, *values).join(mask, cell, "left_anti"), mask.select(*cell).distinct()
+    around = beside(masked).select(*by, (F.col("v") + F.col("_o.dv")).alias("v"), (F.col("u") + F.col("_o.du")).alias("u")).distinct()
+    # turn 0: known, null: open, else the round that filled it
+    state = known.join(around, cell, "left_semi").withColumn("_turn", F.lit(0)).unionByName(masked.withColumn("_turn", F.lit(None).cast("int")), allowMissingColumns=True)
+    state, turn = written(state, "fill"), 0
+    while True:
+        turn += 1
+        # only the last round's pixels can bring a new open pixel into reach; all known ones beside it count in its mean
+        front = beside(state.where(F.col("_turn") == turn - 1)).select(*by, (F.col("v") + F.col("_o.dv")).alias("v"), (F.col("u") + F.col("_o.du")).alias("u")).distinct()
+        rim = state.where("_turn is null").select(*cell).join(front, cell, "left_semi")
+        near = beside(rim).select(*cell, (F.col("v") + F.col("_o.dv")).alias("_v"), (F.col("u") + F.col("_o.du")).alias("_u"))
+        seen = near.join(state.where("_turn is not null").select(*by, F.col("v").alias("_v"), F.col("u").alias("_u"), *values), [*by, "_v", "_u"])
+        fresh = seen.groupBy(*cell).agg(*(F.avg(x).alias(f"_new_{x}") for x in values), F.lit(turn).alias("_now"))
+        grown = state.join(fresh, cell, "left").select(*cell, *(F.coalesce(x, f"_new_{x}").alias(x) for x in values), F.coalesce("_turn", "_now").alias("_turn"))
+        state = written(grown, "fill")
+        if state.where(F.col("_turn") == turn).isEmpty():
+            return known.unionByName(state.where("_turn > 0").select(*cell, *values))
 
 
 def multi_scale(unary: np.ndarray, weight: float = 1.0, cut: float = 10.0, levels: int = 5, iterations: int = 5, quadratic: bool = False) -> np.ndarray:

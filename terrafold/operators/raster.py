@@ -47,12 +47,13 @@ def tag_and_blank(projected: DataFrame, mask: DataFrame, on: list[str]) -> DataF
     return rows.select(*(F.when(F.col("_m").isNull(), F.col(c)).alias(c) if c in ("x", "y", "z") else F.col(c) for c in projected.columns), F.col("_m").isNull().alias("linked"))
 
 
-def nearest_known(known: DataFrame, wanted: DataFrame, k: int, by: list[str], start: int = 8, longest: int = 4096) -> DataFrame:
+def nearest_known(known: DataFrame, wanted: DataFrame, k: int, by: list[str], start: int = 8, longest: int | None = None) -> DataFrame:
     """The ``k`` nearest known pixels of each wanted one, exact: ``by, u, v, d2, depth``; fewer where an image has fewer.
 
     A grid of growing cells: a wanted pixel is done once it has ``k`` neighbours within the cell
-    edge. At ``longest``, the largest raster side, the cell holds the whole image, so what is left
-    then has fewer than ``k`` known pixels in all and takes those.
+    edge. An edge over the diagonal of all pixels, known and wanted, reaches the whole image, so what
+    is left then has fewer than ``k`` known pixels in all and takes those. ``longest``: such an edge if
+    the caller knows one, which saves measuring it.
     """
     from ..storage import written
     from .joins import knn_join
@@ -60,6 +61,9 @@ def nearest_known(known: DataFrame, wanted: DataFrame, k: int, by: list[str], st
     ident = F.struct("v", "u").alias("id")
     p = known.select(*by, "u", "v", "depth", ident)
     done, left, edge = None, wanted.select(*by, "u", "v").distinct(), start
+    if longest is None:
+        box = p.select("u", "v").unionByName(left.select("u", "v")).agg(*(F.max(c) - F.min(c) for c in ("u", "v"))).first()
+        longest = max(start, 2 + int(np.hypot(*(x or 0 for x in box))))
     while True:
         near = knn_join(left.select("*", ident), p, k, float(edge * edge), "id", "id", by, "uv")
         near = written(near.select(*by, "u", "v", "d2", F.col("p_depth").alias("depth"), F.count("*").over(Window.partitionBy(*by, "u", "v")).alias("_n")), "nearest")

@@ -180,11 +180,16 @@ def patch_homographies(spark, sf_dir):
     return out.select("patch", *((F.round(F.get("h", F.lit(i)), 4) + 0.0).alias(f"h{i}") for i in range(8)))
 
 
-@query()
+def _inward(rounds: int) -> str:
+    step = "k{n} AS MATERIALIZED (SELECT * FROM k{p} UNION ALL SELECT m.u, m.v, avg(k.depth) AS depth FROM (SELECT u, v FROM d ANTI JOIN k{p} USING (u, v)) m, range(-1, 2) a(i), range(-1, 2) b(j), k{p} k WHERE k.u = m.u + i AND k.v = m.v + j GROUP BY 1, 2)"
+    head = "WITH d AS MATERIALIZED (SELECT u, v, min(z) / 7e2 AS depth FROM pixels GROUP BY 1, 2), k0 AS (SELECT * FROM d WHERE u % 16 NOT BETWEEN 4 AND 11)"
+    return ", ".join([head, *(step.format(n=n, p=n - 1) for n in range(1, rounds + 1))]) + f" SELECT u, v, round(depth, 4) AS depth FROM k{rounds}"
+
+
+@query("pixels", _inward(12))
 def filled_inward(spark, sf_dir):
-    """A block of the raster filled from its rim, round by round."""
+    """Stripes of the raster, eight pixels wide, filled from their rims round by round."""
     from ..operators.inpaint import fill_inward
 
-    d = V.pixels(spark, sf_dir).groupBy("u", "v").agg((F.min("z") / 100).alias("depth"))
-    m = d.where("u between 20 and 25 and v between 20 and 25").select("u", "v")
-    return rounded(fill_inward(d, m, [], ["depth"]), "depth", 4)
+    d = V.pixels(spark, sf_dir).groupBy("u", "v").agg((F.min("z") / 700).alias("depth"))
+    return rounded(fill_inward(d, d.where("u % 16 between 4 and 11").select("u", "v"), [], ["depth"]), "depth", 4)

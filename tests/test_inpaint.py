@@ -60,3 +60,19 @@ def test_costs_and_noise(spark):
     assert [r[0] for r in df.select(cost).collect()] == [7, None]
     noisy = I.add_noise(spark.range(2000).select(F.lit(250.0).alias("x")), "x", 10.0)
     assert noisy.agg(F.max("x")).first()[0] == 255.0
+
+
+def test_nearest_pixels_beyond_4096(spark):
+    from terrafold.operators import raster
+
+    known = spark.createDataFrame([(0, 0, 1.0), (9000, 7000, 2.0)], "u int, v int, depth double")
+    wanted = spark.createDataFrame([(0, 0), (8999, 0)], "u int, v int")
+    out = {(r.u, r.v): r.n for r in raster.nearest_known(known, wanted, 2, []).groupBy("u", "v").agg(F.count("*").alias("n")).collect()}
+    assert out == {(0, 0): 2, (8999, 0): 2}
+
+
+def test_fill_inward_leaves_what_nothing_reaches(spark):
+    image = spark.createDataFrame([(0, 0, 0, 4.0)], "f int, v int, u int, x double")
+    mask = spark.createDataFrame([(0, 0, 1), (0, 0, 2), (0, 0, 5), (1, 0, 0)], "f int, v int, u int")
+    got = {(r.f, r.u): r.x for r in I.fill_inward(image, mask, ["f"], ["x"]).collect()}
+    assert got == {(0, 0): 4.0, (0, 1): 4.0, (0, 2): 4.0}
