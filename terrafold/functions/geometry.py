@@ -132,6 +132,18 @@ def without_gravity(ax: Column, ay: Column, az: Column, roll: Column, pitch: Col
     return ay - F.sin(roll) * F.cos(pitch) * g, az - F.cos(roll) * F.cos(pitch) * g, ax + F.sin(pitch) * g
 
 
+def pair_projection(k: np.ndarray, extrinsic: np.ndarray, from_pose: str = "", to_pose: str = "b_") -> list[Column]:
+    """:func:`projection_matrix` as 12 columns, row-major: the images of the origin and of the three unit vectors."""
+
+    def seen(v: tuple[float, float, float]) -> Vec:
+        return unswap_axes(to_local(to_map(swap_axes(tuple(map(F.lit, v))), from_pose), to_pose))  # type: ignore[arg-type]
+
+    origin = seen((0.0, 0.0, 0.0))
+    axes = [tuple(a - o for a, o in zip(seen(e), origin, strict=True)) for e in ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))]
+    camera, fourth = (np.asarray(k) @ extrinsic)[:, :3], (np.asarray(k) @ extrinsic)[:, 3]
+    return [sum(float(c) * x for c, x in zip(row, column, strict=True)) + (float(last) if j == 3 else 0.0) for row, last in zip(camera, fourth, strict=True) for j, column in enumerate((*axes, origin))]
+
+
 def rot_matrix(axis: str, a: float) -> np.ndarray:
     c, s = math.cos(a), math.sin(a)
     return np.array({"x": [[1, 0, 0], [0, c, -s], [0, s, c]], "y": [[c, 0, s], [0, 1, 0], [-s, 0, c]], "z": [[c, -s, 0], [s, c, 0], [0, 0, 1]]}[axis])

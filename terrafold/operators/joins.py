@@ -129,6 +129,19 @@ def align(left: DataFrame, right: DataFrame, time: str, bound: int, keep: list[s
     return l.join(r, [*by, "_cell"]).where(F.abs(F.col(time) - F.col("r_time")) < bound).drop("_cell")
 
 
+def align_all(base: DataFrame, others: dict[str, DataFrame], time: str, bound: int, keep: list[str], by: list[str]) -> DataFrame:
+    """Base rows for which every other stream has a row less than ``bound`` away (strict), with each stream's newest such row as ``<name>_time`` and ``<name>_*``.
+
+    All joins are on key and time, so the base is shuffled once. Rows of one time: the largest ``keep``.
+    """
+    moments, out = base.select(*by, time).distinct(), base
+    for name, other in others.items():
+        near = align(moments, other, time, bound, keep, by)
+        newest = near.groupBy(*by, time).agg(F.max(F.struct("r_time", *(f"r_{c}" for c in keep))).alias("_m"))
+        out = out.join(newest.select(*by, time, F.col("_m.r_time").alias(f"{name}_time"), *(F.col(f"_m.r_{c}").alias(f"{name}_{c}") for c in keep)), [*by, time])
+    return out
+
+
 def last_value(left: DataFrame, right: DataFrame, time: str, keep: list[str], by: list[str]) -> DataFrame:
     """Each left row with the newest right row at or before it, per key."""
     both = left.unionByName(right.select(*by, time, F.struct(F.col(time).alias("_t"), *keep).alias("_r")), allowMissingColumns=True)

@@ -84,6 +84,15 @@ def align_streams(spark, sf_dir):
     return joins.align(_kind(ev, "click"), _kind(ev, "view"), "us", 7_200_000_000, ["event_id"], ["ring"]).select("event_id", "r_event_id")
 
 
+@query("ev", """WITH n AS (SELECT l.event_id AS e, r.event_type AS t, r.event_id AS r, row_number() OVER (PARTITION BY l.event_id, r.event_type ORDER BY r.us DESC, r.event_id DESC) AS k FROM ev l JOIN ev r ON l.ring = r.ring AND abs(l.us - r.us) < 172800000000 WHERE l.event_type = 'click')
+SELECT v.e AS event_id, v.r AS view_event_id, p.r AS purchase_event_id, s.r AS signup_event_id FROM n v JOIN n p USING (e) JOIN n s USING (e) WHERE v.k = 1 AND p.k = 1 AND s.k = 1 AND v.t = 'view' AND p.t = 'purchase' AND s.t = 'signup'""")
+def align_all_streams(spark, sf_dir):
+    """Clicks with the newest view, purchase and sign-up of their user within two days."""
+    ev = V.events(spark, sf_dir)
+    others = {k: _kind(ev, k) for k in ("view", "purchase", "signup")}
+    return joins.align_all(_kind(ev, "click"), others, "us", 172_800_000_000, ["event_id"], ["ring"]).select("event_id", *(f"{k}_event_id" for k in others))
+
+
 @query("ev", "SELECT l.event_id, (SELECT arg_max(r.event_id, r.us) FROM ev r WHERE r.ring = l.ring AND r.event_type = 'view' AND r.us <= l.us) AS r_event_id FROM ev l WHERE l.event_type = 'click'")
 def last_value_join(spark, sf_dir):
     ev = V.events(spark, sf_dir)

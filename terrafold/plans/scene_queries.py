@@ -1,7 +1,8 @@
-"""Solver and scene queries without a SQL form; the tests hold them to brute force and invariants."""
+"""Solver and scene queries; most have no SQL form."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .. import views as V
@@ -88,20 +89,21 @@ def sweep_shares(spark, sf_dir):
     return rounded(unwrap_sweep(_turns(spark, sf_dir), ["turn"], ["pt"]).select("pt", "sweep_share"), "sweep_share", 5)
 
 
-@query()
-def pose_fusion(spark, sf_dir):
-    """Camera matrices of frame pairs: composed per row with NumPy on Arrow batches."""
-    import numpy as np
+def _pair_sql() -> str:
+    entries = ("cos(ry)*cos(rz)+sin(ry)*sin(rx)*sin(rz)", "sin(ry)*sin(rx)*cos(rz)-cos(ry)*sin(rz)", "sin(ry)*cos(rx)", "cos(rx)*sin(rz)", "cos(rx)*cos(rz)", "-sin(rx)", "cos(ry)*sin(rx)*sin(rz)-sin(ry)*cos(rz)", "sin(ry)*sin(rz)+cos(ry)*sin(rx)*cos(rz)", "cos(ry)*cos(rx)")
+    matrix = ", ".join(f"{e} AS m{k // 3}{k % 3}" for k, e in enumerate(entries))
+    at = lambda i, j: "(" + " + ".join(f"b.m{k}{i}*" + (f"a.m{k}{j}" if j < 3 else f"(a.t{'xyz'[k]}-b.t{'xyz'[k]})") for k in range(3)) + ")"
+    turned = lambda i, j: at((i + 2) % 3, (j + 2) % 3 if j < 3 else 3)
+    rows = [f"5e1*{turned(0, j)} + 32e0*{turned(2, j)}" for j in range(4)] + [f"5e1*{turned(1, j)} + 24e0*{turned(2, j)}" for j in range(4)] + [turned(2, j) for j in range(4)]
+    return f"WITH m AS (SELECT *, {matrix} FROM poses) SELECT a.frame, b.frame AS to_frame, " + ", ".join(f"round({e}, 6) + 0e0 AS p{k}" for k, e in enumerate(rows)) + " FROM m a, m b WHERE abs(a.frame - b.frame) <= 2"
 
+
+@query("poses", _pair_sql())
+def pose_fusion(spark, sf_dir):
+    """Camera matrices of frame pairs, composed in columns."""
     a = V.poses(spark, sf_dir)
     b = a.select(F.col("frame").alias("to_frame"), *(F.col(c).alias(f"b_{c}") for c in ("rx", "ry", "rz", "tx", "ty", "tz")))
     pairs = a.withColumn("to_frame", F.explode(F.sequence(F.col("frame") - 2, F.col("frame") + 2))).join(b, "to_frame")
     k = np.array([[50.0, 0, 32], [0, 50, 24], [0, 0, 1]])
-
-    def run(batches):
-        for d in batches:
-            m = [g.projection_matrix(k, np.eye(4)[:3], g.pose_matrix(*r[:6]), g.pose_matrix(*r[6:])).ravel().round(6).tolist() for r in d[["rx", "ry", "rz", "tx", "ty", "tz", "b_rx", "b_ry", "b_rz", "b_tx", "b_ty", "b_tz"]].to_numpy(float)]
-            yield d[["frame", "to_frame"]].assign(matrix=m)
-
-    return pairs.mapInPandas(run, "frame int, to_frame int, matrix array<double>")
-
+    names = [f"p{i}" for i in range(12)]
+    return rounded(pairs.select("frame", "to_frame", *(c.alias(n) for c, n in zip(g.pair_projection(k, np.eye(4)[:3]), names, strict=True))), " ".join(names))
