@@ -8,15 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, time: str, keep: list[str], by: list[str] | None = None, tolerance: int | None = None, bucket: int = 3_600_000_000) -> DataFrame:
-    """Each left row with the right row nearest in time: columns ``keep`` as ``r_*`` and ``r_time``.
+def _bracketed(left: DataFrame, right: DataFrame, time: str, keep: list[str], by: list[str], bucket: int) -> DataFrame:
+    """Left rows with the right rows at or before (``_p``) and at or behind (``_n``) their time, as structs of ``_t`` and ``keep``.
 
-    Both directions, clamped at the ends, ties to the later row, repeated right times to the largest
-    ``keep``. Rows are dealt out by key and time bucket, so one key may hold any share of them; what
-    reaches over a bucket's edge comes from one summary row a bucket. Rows beyond ``tolerance``
-    (strict) get nulls.
+    Repeated right times count with the largest ``keep``. Rows are dealt out by key and time bucket, so one key may
+    hold any share of them; what reaches over a bucket's edge comes from one summary row a bucket.
     """
-    by = by or []
     cell = F.floor(F.col(time) / bucket).alias("_cell")
     r = right.select(*by, F.struct(F.col(time).alias("_t"), *keep).alias("_r"), cell)
     r = r.groupBy(*by, "_cell", F.col("_r._t").alias("_t")).agg(F.max("_r").alias("_r"))
@@ -27,29 +24,38 @@ def asof_nearest(left: DataFrame, right: DataFrame, time: str, keep: list[str],
     both = left.select("*", cell, F.col(time).alias("_t")).unionByName(r, allowMissingColumns=True)
     inside = Window.partitionBy(*by, "_cell").orderBy("_t")
     both = both.select("*", F.last("_r", True).over(inside.rangeBetween(Window.unboundedPreceding, 0)).alias("_p"), F.first("_r", True).over(inside.rangeBetween(0, Window.unboundedFollowing)).alias("_n"))
-    rows = both.where("_r is null").join(edges, [*by, "_cell"])
-    p, n = F.coalesce("_p", "_before"), F.coalesce("_n", "_after")
-    t = F.col(time)
+    edges = edges.select(*(F.col(c).alias(f"_e_{c}") for c in [*by, "_cell"]), "_before", "_after")
+    same = [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in [*by, "_cell"]]  # null keys form a group of their own
+    rows = both.where("_r is null").join(edges, reduce(Column.__and__, same), "left")
+    return rows.select(*left.columns, F.coalesce("_p", "_before").alias("_p"), F.coalesce("_n", "_after").alias("_n"))
+
+
+def asof_nearest(left: DataFrame, right: DataFrame, time: str, keep: list[str], by: list[str] | None = None, tolerance: int | None = None, bucket: int = 3_600_000_000) -> DataFrame:
+    """Each left row with the right row nearest in time: columns ``keep`` as ``r_*`` and ``r_time``.
+
+    Both directions, clamped at the ends, ties to the later row, repeated right times to the largest
+    ``keep``. Rows beyond ``tolerance`` (strict) get nulls.
+    """
+    rows = _bracketed(left, right, time, keep, by or [], bucket)
+    p, n, t = F.col("_p"), F.col("_n"), F.col(time)
     best = F.when(p.isNull(), n).when(n.isNull(), p).when(n["_t"] - t <= t - p["_t"], n).otherwise(p)
     if tolerance is not None:
         best = F.when(F.abs(best["_t"] - t) < tolerance, best)
     return rows.select(*left.columns, best.alias("_b")).select(*left.columns, F.col("_b._t").alias("r_time"), *(F.col(f"_b.{c}").alias(f"r_{c}") for c in keep))
 
 
-def bracket_interpolate(left: DataFrame, right: DataFrame, time: str, value: str, by: list[str], unwrap: float | None = None) -> DataFrame:
+def bracket_interpolate(left: DataFrame, right: DataFrame, time: str, value: str, by: list[str], unwrap: float | None = None, bucket: int = 3_600_000_000) -> DataFrame:
     """Linear interpolation of ``right``'s value at the left times, per key; beyond the ends: the end value.
 
     ``unwrap``: a period; a step of more than half of it counts as one the other way round.
     """
-    both = left.select("*", F.lit(None).cast("struct<t:bigint,v:double>").alias("_r")).unionByName(right.select(*by, time, F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("v")).alias("_r")), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(time)
-    both = both.select("*", F.last("_r", True).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("_p"), F.first("_r", True).over(w.rangeBetween(0, Window.unboundedFollowing)).alias("_n"))
-    step = F.col("_n.v") - F.col("_p.v")
+    both = _bracketed(left, right.select(*by, time, F.col(value).cast("double").alias("_v")), time, ["_v"], by, bucket)
+    step = F.col("_n._v") - F.col("_p._v")
     if unwrap:
         step = step - F.when(step > unwrap / 2, unwrap).when(step < -unwrap / 2, -unwrap).otherwise(0.0)
-    share = (F.col(time) - F.col("_p.t")) / (F.col("_n.t") - F.col("_p.t"))
-    out = F.when(F.col("_p").isNull(), F.col("_n.v")).when(F.col("_n").isNull() | (F.col("_n.t") == F.col("_p.t")), F.col("_p.v")).otherwise(F.col("_p.v") + share * step)
-    return both.where("_r is null").select(*left.columns, out.alias(f"{value}_at"))
+    share = (F.col(time) - F.col("_p._t")) / (F.col("_n._t") - F.col("_p._t"))
+    out = F.when(F.col("_p").isNull(), F.col("_n._v")).when(F.col("_n").isNull() | (F.col("_n._t") == F.col("_p._t")), F.col("_p._v")).otherwise(F.col("_p._v") + share * step)
+    return both.select(*left.columns, out.alias(f"{value}_at"))
 
 
 def _cells(prefix: str, r: float, dims: str) -> list[Column]:
@@ -142,12 +148,10 @@ def align_all(base: DataFrame, others: dict[str, DataFrame], time: str, bound: i
     return out
 
 
-def last_value(left: DataFrame, right: DataFrame, time: str, keep: list[str], by: list[str]) -> DataFrame:
+def last_value(left: DataFrame, right: DataFrame, time: str, keep: list[str], by: list[str], bucket: int = 3_600_000_000) -> DataFrame:
     """Each left row with the newest right row at or before it, per key."""
-    both = left.unionByName(right.select(*by, time, F.struct(F.col(time).alias("_t"), *keep).alias("_r")), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(time).rangeBetween(Window.unboundedPreceding, 0)
-    both = both.select("*", F.last("_r", True).over(w).alias("_b"))
-    return both.where("_r is null").select(*left.columns, *(F.col(f"_b.{c}").alias(f"r_{c}") for c in keep))
+    rows = _bracketed(left, right, time, keep, by, bucket)
+    return rows.select(*left.columns, *(F.col(f"_p.{c}").alias(f"r_{c}") for c in keep))
 
 
 def ring_neighbours(queries: DataFrame, points: DataFrame, radius_sq: float = 25.0, band: float = 2.5) -> DataFrame:

@@ -202,3 +202,14 @@ def test_params_are_validated():
     with pytest.raises(ValueError):
         RegistrationParams(max_corner_sharp=30)
     assert pd.Series([RegistrationParams().curvature_region]).eq(5).all()
+
+
+def test_last_value_and_interpolation_over_buckets_and_null_keys(spark):
+    from terrafold.operators import joins
+
+    left = spark.createDataFrame([("a", 25), ("a", 5), (None, 12), ("b", 1)], "k string, t long")
+    right = spark.createDataFrame([("a", 10, 1.0), ("a", 40, 4.0), (None, 2, 7.0)], "k string, t long, x double")
+    last = {(r.k, r.t): r.r_x for r in joins.last_value(left, right, "t", ["x"], ["k"], bucket=10).collect()}
+    assert last == {("a", 25): 1.0, ("a", 5): None, (None, 12): 7.0, ("b", 1): None}
+    at = {(r.k, r.t): r.x_at for r in joins.bracket_interpolate(left, right, "t", "x", ["k"], bucket=10).collect()}
+    assert at == {("a", 25): 2.5, ("a", 5): 1.0, (None, 12): 7.0, ("b", 1): None}
