@@ -1,11 +1,11 @@
-"""Queries of the ten operators over the driver's tables, with production parameters."""
+"""Queries of the operators over the driver's tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, host_rules, line_dedup, oracles, pii, quality_crf, simhash, token_counts, token_ids, toxicity
+from . import bpe, decontaminate, hard_negatives, host_rules, line_dedup, oracles, pii, quality_crf, simhash, token_counts, token_ids, toxicity, url_rules, whitening
 from .common import bucket
 
 
@@ -69,5 +69,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.quality(docs, model).select("doc_id", F.coalesce(bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_bpe, op3_toxicity, op4_line_dedup, op5_decontamination, op6_simhash, op7_host_rules, op8_token_counts, op9_pii, op10_quality, pii_base)}
-ORACLES: dict[str, str] = {"op5_decontamination": oracles.DECONTAMINATION, "op7_host_rules": oracles.HOST_RULES, "pii_base": oracles.PII}
+#: Fixed values of the rules: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=4)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_bpe, op3_toxicity, op4_line_dedup, op5_decontamination, op6_simhash, op7_host_rules, op8_token_counts, op9_pii, op10_quality, op11_url_rules, op12_whitening, op13_hard_negatives, pii_base)}
+ORACLES: dict[str, str] = {"op5_decontamination": oracles.DECONTAMINATION, "op7_host_rules": oracles.HOST_RULES, "pii_base": oracles.PII, "op11_url_rules": oracles.url_rules(URL_RULES), "op13_hard_negatives": oracles.HARD_NEGATIVES}
