@@ -5,8 +5,9 @@ routed to its leaf, balls around all rows of a node. The inner product of two ba
 ``a.c ± (ra |c| + rc |a| + ra rc)``, so one interval settles a pair of nodes, whatever they hold. Both trees are walked down
 together, and a pair of nodes goes if no anchor below can use a candidate below; the pairs of leaves that stay are scored exactly.
 
-A search has two rounds: each leaf of anchors meets its most promising leaf of candidates, which sets what the others must reach;
-then all other pairs of leaves that can reach it. The first search finds the positives, which set the bands of the second.
+A search goes in rounds: each leaf of anchors meets its most promising leaf of candidates, then the next 8, the next 64 and
+so on. What a round finds is what later ones must reach, so the trees are walked again before each, and a round hands on at most about 8
+times what is kept. The first search finds the positives, which set the bands of the second.
 Leaves are dealt out in pieces of bounded size. Of candidates with one vector and label only so many of the smallest ids can be
 returned, so only these are searched.
 """
@@ -14,7 +15,7 @@ returned, so only these are searched.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,16 @@ from .common import arrow_schema, materialize
 from .vectors import matrix, whole_vectors
 
 #: Rows that a tree's hyperplanes are fitted on, and its levels at most.
-SAMPLE, LEVELS = 20_000, 11
+SAMPLE, LEVELS = 8_000, 11
+#: Each round meets so many times the leaves of the one before.
+GROWTH = 8
 _FOUND = "anchor long, place int, score long, vec_id long"
 _ENDS = -(1 << 63), (1 << 63) - 1
 
 
 @dataclass(frozen=True)
 class Tree:
-    """A full binary tree in level order: the hyperplane of each inner node, then balls of all nodes; ``count`` 0: an empty node."""
+    """A full binary tree in level order: the hyperplane of each inner node, balls of all nodes (``count`` 0: an empty one), pieces of the leaves."""
 
     levels: int
     direction: np.ndarray
@@ -42,6 +45,7 @@ class Tree:
     centre: np.ndarray | None = None
     radius: np.ndarray | None = None
     count: np.ndarray | None = None
+    pieces: np.ndarray | None = None
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
         at = np.zeros(len(x), np.int64)
@@ -119,7 +123,7 @@ def grown(rows: DataFrame, d: int, leaf_rows: int, name: str) -> tuple[Tree, Dat
     pieces = np.maximum(1, -(-count // leaf_rows))
     sizes = rows.sparkSession.createDataFrame([(k, int(p)) for k, p in enumerate(pieces)], "leaf int, pieces int")
     routed = routed.join(F.broadcast(sizes), "leaf").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int"))
-    return _balls(tree, centre, radius, count), routed
+    return replace(_balls(tree, centre, radius, count), pieces=pieces), routed
 
 
 def _balls(tree: Tree, centre: np.ndarray, radius: np.ndarray, count: np.ndarray) -> Tree:
@@ -181,13 +185,13 @@ def best(score: np.ndarray, ids: np.ndarray, fits: np.ndarray, k: int) -> np.nda
     return at[np.lexsort((ids[at], -score[at]))][:k]
 
 
-def _scored(anchors: DataFrame, candidates: DataFrame, pairs: tuple[np.ndarray, np.ndarray], d: int, same: bool, k: int) -> DataFrame:
-    """Of each pair of leaves' pieces the ``k`` best a band. ``anchors``: pieces with ``bands array<struct<place, low, high>>`` and ``floor``, the score that the band's k-th has already."""
+def _scored(anchors: DataFrame, candidates: DataFrame, pairs: tuple[np.ndarray, ...], d: int, same: bool, k: int) -> DataFrame:
+    """Of each pair of leaves' pieces the ``k`` best a band. ``pairs``: the leaves and their numbers of pieces; a band's ``floor``: the score that its k-th has already."""
     session = anchors.sparkSession
-    leaves = session.createDataFrame(list(zip(*(p.tolist() for p in pairs), strict=True)), "leaf int, c_leaf int")
+    leaves = session.createDataFrame(list(zip(*(p.tolist() for p in pairs), strict=True)), "leaf int, c_leaf int, pieces int, c_pieces int")
     c = candidates.select(F.col("leaf").alias("c_leaf"), F.col("piece").alias("c_piece"), "vec_id", "label", "x")
-    a_pieces, c_pieces = anchors.select("leaf", "piece").distinct(), c.select("c_leaf", "c_piece").distinct()
-    met = leaves.join(a_pieces, "leaf").join(c_pieces, "c_leaf")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    met = leaves.withColumn("piece", each("pieces")).withColumn("c_piece", each("c_pieces")).drop("pieces", "c_pieces")
     key = ["leaf", "piece", "c_leaf", "c_piece"]
     left = anchors.join(met, ["leaf", "piece"]).select(*key, "row", "vec_id", "label", "x", "bands")
     right = c.join(met, ["c_leaf", "c_piece"]).select(*(F.col(k).alias(f"to_{k}") for k in key), *(F.col(n).alias(f"c_{n}") for n in ("vec_id", "label", "x")))
@@ -221,32 +225,34 @@ def search(a: Tree, anchors: DataFrame, c: Tree, candidates: DataFrame, d: int,
     low, high = np.full(2**a.levels, np.inf), np.full(2**a.levels, -np.inf)
     for r in ends:
         low[r.leaf], high[r.leaf] = r.low, r.high
-    i, j = walked(a, c, low, high)
-    if not len(i):
-        return anchors.sparkSession.createDataFrame([], f"{_FOUND}, rank int")
-    # at home: the leaf whose middle comes highest within the bands
     first_a, first_c = 2**a.levels - 1, 2**c.levels - 1
-    middle = (a.centre[first_a + i] * c.centre[first_c + j]).sum(axis=1)
-    order = np.lexsort((-np.minimum(middle, high[i]), i))
-    home = order[np.append(True, i[order][1:] != i[order][:-1])]
-    bare = anchors.withColumn("bands", F.transform("bands", lambda b: F.struct(b["place"], b["low"], b["high"], F.lit(_ENDS[0]).alias("floor"))))
-    found = materialize(_first(_scored(bare, candidates, (i[home], j[home]), d, same, k), k), "home")
-    if len(home) == len(i):
-        return found
-    # what a band has k of already is its floor; a leaf of anchors must reach the lowest of its bands
-    reached = found.where(F.col("rank") == k).groupBy(F.col("anchor").alias("row")).agg(F.map_from_entries(F.collect_list(F.struct("place", "score"))).alias("have"))
-    floor = lambda b: F.coalesce(F.try_element_at("have", b["place"]), F.lit(_ENDS[0])).alias("floor")
-    raised = anchors.join(reached, "row", "left").withColumn("bands", F.transform("bands", lambda b: F.struct(b["place"], b["low"], b["high"], floor(b))))
-    raised = materialize(raised.drop("have"), "raised")
-    for r in raised.select("leaf", F.explode("bands").alias("b")).groupBy("leaf").agg(F.min(F.greatest("b.low", "b.floor")).alias("low")).collect():
-        low[r.leaf] = r.low
-    at_home = set(zip(i[home].tolist(), j[home].tolist(), strict=True))
-    i, j = walked(a, c, low, high)
-    rest = [n for n, pair in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if pair not in at_home]
-    if not rest:
-        return found
-    more = _scored(raised, candidates, (i[rest], j[rest]), d, same, k)
-    return materialize(_first(found.drop("rank").unionByName(more), k), "found")
+    now = anchors.withColumn("bands", F.transform("bands", lambda b: F.struct(b["place"], b["low"], b["high"], F.lit(_ENDS[0]).alias("floor"))))
+    found, done, size = None, np.zeros(0, np.int64), 1
+    while True:
+        i, j = walked(a, c, low, high)
+        left = ~np.isin(i << c.levels | j, done)
+        i, j = i[left], j[left]
+        if not len(i):
+            break
+        # of each leaf of anchors first those whose middle comes highest within the bands
+        middle = (a.centre[first_a + i] * c.centre[first_c + j]).sum(axis=1)
+        order = np.lexsort((-np.minimum(middle, high[i]), i))
+        i, j = i[order], j[order]
+        turn = np.arange(len(i)) - np.searchsorted(i, i)
+        own, other = i[turn < size], j[turn < size]
+        more = _scored(now, candidates, (own, other, a.pieces[own], c.pieces[other]), d, same, k)
+        found = materialize(_first(more if found is None else found.drop("rank").unionByName(more), k), "found")
+        if len(own) == len(i):
+            break
+        done, size = np.append(done, own << c.levels | other), size * GROWTH
+        # what a band has k of already is its floor; a leaf of anchors must reach the lowest of its bands
+        have = found.where(F.col("rank") == k).groupBy(F.col("anchor").alias("row")).agg(F.map_from_entries(F.collect_list(F.struct("place", "score"))).alias("have"))
+        floor = lambda b: F.coalesce(F.try_element_at("have", b["place"]), F.lit(_ENDS[0])).alias("floor")
+        now = anchors.join(have, "row", "left").withColumn("bands", F.transform("bands", lambda b: F.struct(b["place"], b["low"], b["high"], floor(b))))
+        now = materialize(now.drop("have"), "raised")
+        for r in now.select("leaf", F.explode("bands").alias("b")).groupBy("leaf").agg(F.min(F.greatest("b.low", "b.floor")).alias("low")).collect():
+            low[r.leaf] = r.low
+    return found if found is not None else anchors.sparkSession.createDataFrame([], f"{_FOUND}, rank int")
 
 
 def hard_negatives(rows: DataFrame, anchor, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, leaf_rows: int = 1024, anchor_rows: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", label=None) -> DataFrame:
