@@ -8,22 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bracketed(left: DataFrame, right: DataFrame, time: str, keep: list[str], by: list[str], bucket: int) -> DataFrame:
-    """Left rows with the right rows at or before (``_p``) and at or behind (``_n``) their time, as structs of ``_t`` and ``keep``.
+def _bracketed(left: DataFrame, right: DataFrame, time: str, keep: list[str], by: list[str], bucket: int, strict: bool = False) -> DataFrame:
+    """Left rows with the right rows at or before (``_p``) and at or behind (``_n``) their time, as structs of ``_t`` and ``keep``; ``strict``: only those at other (whole) times.
 
     Repeated right times count with the largest ``keep``. Rows are dealt out by key and time bucket, so one key may
-    hold any share of them; what reaches over a bucket's edge comes from one summary row a bucket.
+    hold any share of them; what reaches over a bucket's edge comes from one summary row a bucket. What lies behind is the last
+    row of the falling order: a frame that looks ahead to the end would be gone through again for every row.
     """
     cell = F.floor(F.col(time) / bucket).alias("_cell")
     r = right.select(*by, F.struct(F.col(time).alias("_t"), *keep).alias("_r"), cell)
     r = r.groupBy(*by, "_cell", F.col("_r._t").alias("_t")).agg(F.max("_r").alias("_r"))
     cells = r.groupBy(*by, "_cell").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"))
     cells = cells.unionByName(left.select(*by, cell).distinct(), allowMissingColumns=True).groupBy(*by, "_cell").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    w = Window.partitionBy(*by).orderBy("_cell")
-    edges = cells.select(*by, "_cell", F.last("_hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    other = lambda c, order: F.last(c, True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    edges = cells.select(*by, "_cell", other("_hi", F.asc("_cell")).alias("_before"), other("_lo", F.desc("_cell")).alias("_after"))
     both = left.select("*", cell, F.col(time).alias("_t")).unionByName(r, allowMissingColumns=True)
-    inside = Window.partitionBy(*by, "_cell").orderBy("_t")
-    both = both.select("*", F.last("_r", True).over(inside.rangeBetween(Window.unboundedPreceding, 0)).alias("_p"), F.first("_r", True).over(inside.rangeBetween(0, Window.unboundedFollowing)).alias("_n"))
+    inside = lambda order: F.last("_r", True).over(Window.partitionBy(*by, "_cell").orderBy(order).rangeBetween(Window.unboundedPreceding, -int(strict)))
+    both = both.select("*", inside(F.asc("_t")).alias("_p"), inside(F.desc("_t")).alias("_n"))
     edges = edges.select(*(F.col(c).alias(f"_e_{c}") for c in [*by, "_cell"]), "_before", "_after")
     same = [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in [*by, "_cell"]]  # null keys form a group of their own
     rows = both.where("_r is null").join(edges, reduce(Column.__and__, same), "left")
@@ -106,25 +107,24 @@ def box_anti(points: DataFrame, boxes: DataFrame, frame: str = "frame", min_conf
     return out.join(frames, frame, "left_semi") if missing_labels == "drop" else out
 
 
-def first_match(cells: DataFrame, frames: DataFrame, visible: DataFrame, ident: list[str], at: str, by: list[str], skip_adjacent_backward: bool = True, backward_first: bool = False) -> DataFrame:
+def first_match(cells: DataFrame, frames: DataFrame, visible: DataFrame, ident: list[str], at: str, by: list[str], skip_adjacent_backward: bool = True, backward_first: bool = False, bucket: int = 4096) -> DataFrame:
     """For each cell the first frame along time in which it is visible: column ``source``.
 
     ``by`` names the sequence (one vehicle, one video) and is part of all three tables; ``at`` is an integer. Forward frames come
     first in rising order, then backward ones in falling order (or the other way round); no match
     gives the cell's own frame. The backward search passes over the frame right before the cell's
-    own, as the reference semantics do, unless told not to.
+    own, as the reference semantics do, unless told not to. A cell that all frames see is dealt out by ``bucket`` frames.
     """
     w = Window.partitionBy(*by).orderBy(at)
     near = frames.select(*by, at).distinct().select(*by, at, (F.lag(at).over(w) if skip_adjacent_backward else F.lit(None).cast("long")).alias("_adjacent"))
-    # one ordered pass per cell identity instead of all pairs of frames: the next sighting, and the last one with the one before it
-    seen = visible.select(*by, *ident, at).distinct()
-    seen = seen.select(*by, *ident, at, F.struct(F.col(at).alias("at"), F.lag(at).over(Window.partitionBy(*by, *ident).orderBy(at)).alias("before")).alias("_v"))
-    both = cells.join(near, [*by, at], "left").unionByName(seen, allowMissingColumns=True)
-    order = Window.partitionBy(*by, *ident).orderBy(at)
-    both = both.select("*", F.first("_v", True).over(order.rangeBetween(1, Window.unboundedFollowing)).alias("_n"), F.last("_v", True).over(order.rangeBetween(Window.unboundedPreceding, -1)).alias("_p"))
-    back = F.when(F.col("_p.at") == F.col("_adjacent"), F.col("_p.before")).otherwise(F.col("_p.at"))
-    found = (back, F.col("_n.at")) if backward_first else (F.col("_n.at"), back)
-    return both.where("_v is null").select(*cells.columns, F.coalesce(*found, F.col(at)).alias("source"))
+    key = [*by, *ident]
+    seen = visible.select(*key, at).distinct()
+    # each sighting with the one before it, then each cell with the sightings on both sides
+    seen = _bracketed(seen, seen, at, [], key, bucket, True).select(*key, at, F.col("_p._t").alias("_earlier"))
+    both = _bracketed(cells.join(near, [*by, at], "left"), seen, at, ["_earlier"], key, bucket, True)
+    back = F.when(F.col("_p._t") == F.col("_adjacent"), F.col("_p._earlier")).otherwise(F.col("_p._t"))
+    found = (back, F.col("_n._t")) if backward_first else (F.col("_n._t"), back)
+    return both.select(*cells.columns, F.coalesce(*found, F.col(at)).alias("source"))
 
 
 def align(left: DataFrame, right: DataFrame, time: str, bound: int, keep: list[str], by: list[str]) -> DataFrame:

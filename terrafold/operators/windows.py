@@ -62,9 +62,9 @@ def region_split(df: DataFrame, by: list[str], order: list[str], regions: int =
 
 def gap_fill(df: DataFrame, value: str, position: str, by: list[str]) -> DataFrame:
     """Linear fill between the nearest known values on both sides; the ends stay null: column ``filled``."""
-    w = _w(by, [position])
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(position).alias("p"), F.col(value).alias("v")))
-    a, b = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # what lies ahead is the last one of the falling order: frames that reach to the end are gone through again for every row
+    a, b = (F.last(known, True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) for order in (F.asc(position), F.desc(position)))
     rows = df.select("*", a.alias("_a"), b.alias("_b"))
     share = (F.col(position) - F.col("_a.p")) / (F.col("_b.p") - F.col("_a.p"))
     return rows.select(*df.columns, F.coalesce(F.col(value), F.col("_a.v") + share * (F.col("_b.v") - F.col("_a.v"))).alias("filled"))
