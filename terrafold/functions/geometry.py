@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vec = tuple[Column, Column, Column]
@@ -132,16 +132,30 @@ def without_gravity(ax: Column, ay: Column, az: Column, roll: Column, pitch: Col
     return ay - F.sin(roll) * F.cos(pitch) * g, az - F.cos(roll) * F.cos(pitch) * g, ax + F.sin(pitch) * g
 
 
-def pair_projection(k: np.ndarray, extrinsic: np.ndarray, from_pose: str = "", to_pose: str = "b_") -> list[Column]:
-    """:func:`projection_matrix` as 12 columns, row-major: the images of the origin and of the three unit vectors."""
+def rotation_entries(rx: Column, ry: Column, rz: Column) -> list[Column]:
+    """Row-major Ry Rx Rz, the rotation of :func:`to_map`."""
+    cx, sx, cy, sy, cz, sz = F.cos(rx), F.sin(rx), F.cos(ry), F.sin(ry), F.cos(rz), F.sin(rz)
+    return [cy * cz + sy * sx * sz, sy * sx * cz - cy * sz, sy * cx, cx * sz, cx * cz, -sx, cy * sx * sz - sy * cz, sy * sz + cy * sx * cz, cy * cx]
+
 
-    def seen(v: tuple[float, float, float]) -> Vec:
-        return unswap_axes(to_local(to_map(swap_axes(tuple(map(F.lit, v))), from_pose), to_pose))  # type: ignore[arg-type]
+def with_entries(poses: DataFrame) -> DataFrame:
+    """Poses with the nine entries ``m0 … m8`` of their rotation, so that pairs of them multiply numbers and no angles."""
+    return poses.select("*", *(e.alias(f"m{k}") for k, e in enumerate(rotation_entries(*vec("r")))))
 
-    origin = seen((0.0, 0.0, 0.0))
-    axes = [tuple(a - o for a, o in zip(seen(e), origin, strict=True)) for e in ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))]
-    camera, fourth = (np.asarray(k) @ extrinsic)[:, :3], (np.asarray(k) @ extrinsic)[:, 3]
-    return [sum(float(c) * x for c, x in zip(row, column, strict=True)) + (float(last) if j == 3 else 0.0) for row, last in zip(camera, fourth, strict=True) for j, column in enumerate((*axes, origin))]
+
+def pair_projection(k: np.ndarray, extrinsic: np.ndarray, from_pose: str = "", to_pose: str = "b_") -> list[Column]:
+    """:func:`projection_matrix` as 12 columns, row-major, of two poses from :func:`with_entries`."""
+    m, n = ([F.col(f"{p}m{i}") for i in range(9)] for p in (from_pose, to_pose))
+    apart = [F.col(f"{from_pose}t{c}") - F.col(f"{to_pose}t{c}") for c in "xyz"]
+
+    def moved(i: int, j: int) -> Column:
+        """Entry of the inverse of the second pose times the first; column 3: the shift."""
+        return sum((n[3 * r + i] * (m[3 * r + j] if j < 3 else apart[r]) for r in range(1, 3)), n[i] * (m[j] if j < 3 else apart[0]))
+
+    # pipeline axes to sensor axes on both sides
+    turned = [[moved((i + 2) % 3, (j + 2) % 3 if j < 3 else 3) for j in range(4)] for i in range(3)]
+    camera = np.asarray(k, float) @ extrinsic
+    return [sum((float(c) * turned[i][j] for i, c in enumerate(row[:3]) if c), F.lit(float(row[3]) if j == 3 else 0.0)) for row in camera for j in range(4)]
 
 
 def rot_matrix(axis: str, a: float) -> np.ndarray:

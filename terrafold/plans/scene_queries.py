@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..functions import geometry as g
-from ..operators import aggs, joins, mrf, optimize, raster
+from ..operators import aggs, dense_map, joins, mrf, optimize, raster
 from .registry import Registry, rounded
 
 query = Registry()
@@ -60,25 +60,82 @@ def bp_labels(spark, sf_dir):
     return mrf.label_masks(rows, ["frame"])
 
 
-@query()
+#: Row-major Ry Rx Rz of a pose, in SQL.
+_ROTATION_SQL = ", ".join(f"{e} AS m{k // 3}{k % 3}" for k, e in enumerate(("cos(ry)*cos(rz)+sin(ry)*sin(rx)*sin(rz)", "sin(ry)*sin(rx)*cos(rz)-cos(ry)*sin(rz)", "sin(ry)*cos(rx)", "cos(rx)*sin(rz)", "cos(rx)*cos(rz)", "-sin(rx)", "cos(ry)*sin(rx)*sin(rz)-sin(ry)*cos(rz)", "sin(ry)*sin(rz)+cos(ry)*sin(rx)*cos(rz)", "cos(ry)*cos(rx)")))
+
+
+def _pair_entries(k: tuple[str, str, str] = ("5e1", "32e0", "24e0")) -> list[str]:
+    at = lambda i, j: "(" + " + ".join(f"b.m{k}{i}*" + (f"a.m{k}{j}" if j < 3 else f"(a.t{'xyz'[k]}-b.t{'xyz'[k]})") for k in range(3)) + ")"
+    turned = lambda i, j: at((i + 2) % 3, (j + 2) % 3 if j < 3 else 3)
+    focal, middle_u, middle_v = k
+    return [f"{focal}*{turned(0, j)} + {middle_u}*{turned(2, j)}" for j in range(4)] + [f"{focal}*{turned(1, j)} + {middle_v}*{turned(2, j)}" for j in range(4)] + [turned(2, j) for j in range(4)]
+
+
+def _pair_sql() -> str:
+    return f"WITH m AS (SELECT *, {_ROTATION_SQL} FROM poses) SELECT a.frame, b.frame AS to_frame, " + ", ".join(f"round({e}, 6) + 0e0 AS p{k}" for k, e in enumerate(_pair_entries())) + " FROM m a, m b WHERE abs(a.frame - b.frame) <= 2"
+
+
+#: The camera of the scene queries: 32 x 24 pixels, eight units behind the sensor.
+CAMERA, SHIFT, WIDE, HIGH = np.array([[25.0, 0, 16], [0, 25, 12], [0, 0, 1]]), np.array([0.0, 0, 8]), 32, 24
+
+
+def _scene(spark, sf_dir):
+    """Points in the image with their pixels, those of them in boxes (what has to go), and the masks of all frames."""
+    seen = raster.project_points(V.points(spark, sf_dir), (CAMERA @ np.c_[np.eye(3), SHIFT]).ravel().tolist(), WIDE, HIGH)
+    boxes = V.boxes(spark, sf_dir).withColumnRenamed("frame", "_f")
+    boxed = seen.join(boxes, (F.col("frame") == F.col("_f")) & joins.contains(), "left_semi")
+    masks = raster.dilate(boxed.select("frame", "u", "v"), 1, 1, ["frame"]).where(f"u between 0 and {WIDE - 1} and v between 0 and {HIGH - 1}")
+    return seen, boxed, masks
+
+
+def _dense_fill(spark, sf_dir, order):
+    seen, boxed, masks = _scene(spark, sf_dir)
+    left = seen.join(boxed.select("frame", "pt"), ["frame", "pt"], "left_anti")
+    depth = raster.local_depth(left.select("frame", "u", "v", "z_cam", F.col("pt").alias("key")), masks, ["frame"], 10)
+    at = g.back_project(F.col("u"), F.col("v"), F.col("depth"), np.linalg.inv(CAMERA), np.eye(3), SHIFT.tolist())
+    wanted = depth.select("frame", "u", "v", "depth", *(c.alias(n) for c, n in zip(at, "xyz", strict=True)))
+    image = aggs.zbuffer(seen.withColumn("key", F.struct("pt", "ring")), ["frame", "u", "v"], "z_cam", "key")
+    image = image.select("frame", "u", "v", F.col("key.ring").alias("colour"))
+    out = dense_map.fill(wanted, V.poses(spark, sf_dir), masks, image, CAMERA, np.c_[np.eye(3), SHIFT], WIDE, HIGH, order=order)
+    return out.select("frame", "u", "v", "source", "colour", "label")
+
+
+def _dense_sql(rank: str) -> str:
+    inside = f"u BETWEEN 0 AND {WIDE - 1} AND v BETWEEN 0 AND {HIGH - 1}"
+    entries = _pair_entries(("25e0", "16e0", "12e0"))
+    projection = ", ".join(f"{e} + {(128, 96, 8)[k // 4] if k % 4 == 3 else 0}e0 AS p{k}" for k, e in enumerate(entries))
+    return f"""WITH c AS (SELECT frame, pt, ring, x, y, z, CAST(trunc((25e0*x + 16e0*z + 128)/(z + 8) + 5e-1) AS INT) AS u, CAST(trunc((25e0*y + 12e0*z + 96)/(z + 8) + 5e-1) AS INT) AS v, z + 8 AS w FROM points),
+seen AS MATERIALIZED (SELECT * FROM c WHERE w > 0 AND {inside}),
+boxed AS MATERIALIZED (SELECT DISTINCT frame, pt, u, v FROM seen JOIN boxes b USING (frame) WHERE abs(x - cx) <= hx AND abs(y - cy) <= hy AND abs(z - cz) <= hz),
+masks AS MATERIALIZED (SELECT DISTINCT frame, CAST(u + i AS INT) AS u, CAST(v + j AS INT) AS v FROM boxed, range(-1, 2) a(i), range(-1, 2) b(j) WHERE u + i BETWEEN 0 AND {WIDE - 1} AND v + j BETWEEN 0 AND {HIGH - 1}),
+known AS MATERIALIZED (SELECT frame, u, v, min(w) AS depth FROM seen ANTI JOIN boxed USING (frame, pt) GROUP BY 1, 2, 3),
+near AS (SELECT m.frame, m.u, m.v, k.depth, sqrt(CAST((m.u-k.u)*(m.u-k.u) + (m.v-k.v)*(m.v-k.v) AS DOUBLE)) AS d FROM masks m JOIN known k USING (frame) QUALIFY row_number() OVER (PARTITION BY m.frame, m.u, m.v ORDER BY (m.u-k.u)*(m.u-k.u) + (m.v-k.v)*(m.v-k.v), k.v, k.u) <= 10),
+filled AS MATERIALIZED (SELECT frame, u, v, coalesce(avg(CASE WHEN d = 0 THEN depth END), sum(CASE WHEN d > 0 THEN depth / d END) / sum(CASE WHEN d > 0 THEN 1 / d END)) AS depth FROM near GROUP BY 1, 2, 3),
+smooth AS (SELECT a.frame, a.u, a.v, median(b.depth) AS d FROM filled a JOIN filled b ON a.frame = b.frame AND abs(a.u-b.u) <= 2 AND abs(a.v-b.v) <= 2 GROUP BY 1, 2, 3),
+wanted AS MATERIALIZED (SELECT frame, u, v, (u - 16e0)/25*d AS x, (v - 12e0)/25*d AS y, d - 8 AS z FROM smooth),
+m AS (SELECT *, {_ROTATION_SQL} FROM poses),
+pairs AS (SELECT a.frame, b.frame AS source, {projection} FROM m a, m b),
+hits AS (SELECT frame, u, v, source, CAST(trunc((p0*x+p1*y+p2*z+p3)/(p8*x+p9*y+p10*z+p11) + 5e-1) AS INT) AS su, CAST(trunc((p4*x+p5*y+p6*z+p7)/(p8*x+p9*y+p10*z+p11) + 5e-1) AS INT) AS sv, {rank} AS rank FROM wanted JOIN pairs USING (frame) WHERE p8*x+p9*y+p10*z+p11 > 0 AND {rank} IS NOT NULL),
+first AS (SELECT frame, u, v, arg_min(struct_pack(source := source, su := su, sv := sv), rank) AS s FROM hits ANTI JOIN masks q ON q.frame = source AND q.u = su AND q.v = sv WHERE su BETWEEN 0 AND {WIDE - 1} AND sv BETWEEN 0 AND {HIGH - 1} GROUP BY 1, 2, 3),
+img AS (SELECT frame, u, v, arg_min(ring, struct_pack(w := w, pt := pt)) AS colour FROM seen GROUP BY 1, 2, 3),
+o AS (SELECT frame, u, v, coalesce(s.source, frame) AS source, coalesce(s.su, u) AS su, coalesce(s.sv, v) AS sv FROM wanted LEFT JOIN first USING (frame, u, v))
+SELECT o.frame, o.u, o.v, source, colour, CAST((source - (SELECT min(frame) FROM poses)) % 255 AS INT) AS label FROM o LEFT JOIN img ON img.frame = source AND img.u = su AND img.v = sv"""
+
+
+@query("points boxes poses", _dense_sql("CASE WHEN source > frame THEN source - frame WHEN source < frame - 1 THEN 1000 + frame - source END"))
 def dense_fill(spark, sf_dir):
-    """Flagship fill: depth for the masked pixels of each frame, back-projection, first frame along time that sees the point, its colour."""
-    matrix = [50.0, 0.0, 32.0, 10.0, 0.0, 50.0, 24.0, 5.0, 0.0, 0.0, 1.0, 8.0]
-    seen = raster.project_points(V.points(spark, sf_dir), matrix, 96, 72).withColumn("key", F.col("pt"))
-    wanted = spark.range(12 * 10).select((F.col("id") % 12 + 40).cast("int").alias("u"), (F.floor(F.col("id") / 12) + 30).cast("int").alias("v"))
-    masked = V.poses(spark, sf_dir).select("frame").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(119)))).select("frame", (F.col("_k") % 12 + 40).alias("u"), (F.floor(F.col("_k") / 12) + 30).cast("int").alias("v"))
-    depth = raster.local_depth(seen.select("frame", "u", "v", "z_cam", "key"), masked, ["frame"], 10)
-    target = depth.select(F.lit(0).alias("video"), F.col("frame").cast("long").alias("frame"), "u", "v", "depth")
-    visible = seen.select(F.lit(0).alias("video"), F.col("frame").cast("long").alias("frame"), "u", "v", "ring")
-    visible = visible.join(F.broadcast(wanted), ["u", "v"], "left_anti").select("video", "frame", F.floor(F.col("u") / 24).alias("cu"), F.floor(F.col("v") / 24).alias("cv")).distinct()
-    cells = target.withColumn("cu", F.floor(F.col("u") / 24)).withColumn("cv", F.floor(F.col("v") / 24))
-    return rounded(_filled(cells, visible), "depth", 4)
+    """Flagship fill: depth at the masked pixels of each frame, back-projection, the first frame along time that sees the point unmasked, its colour."""
+    return _dense_fill(spark, sf_dir, "forward")
 
 
-def _filled(cells, visible):
-    places = cells.select("video", "frame", "cu", "cv").distinct()
-    found = joins.first_match(places, visible, visible, ["cu", "cv"], "frame", ["video"])
-    return cells.join(found, ["video", "frame", "cu", "cv"]).select("frame", "u", "v", "depth", "source", ((F.col("source") - F.col("frame")) * 10 % 255).alias("label"))
+@query("points boxes poses", _dense_sql("CASE WHEN source > frame THEN 1000 + source - frame WHEN source < frame - 1 THEN frame - source END"))
+def dense_fill_backward(spark, sf_dir):
+    return _dense_fill(spark, sf_dir, "backward")
+
+
+@query("points boxes poses", _dense_sql("CASE WHEN source > frame THEN 2 * (source - frame) WHEN source < frame - 1 THEN 2 * (frame - source - 1) + 1 END"))
+def dense_fill_interleaved(spark, sf_dir):
+    return _dense_fill(spark, sf_dir, "interleaved")
 
 
 @query()
@@ -89,20 +146,11 @@ def sweep_shares(spark, sf_dir):
     return rounded(unwrap_sweep(_turns(spark, sf_dir), ["turn"], ["pt"]).select("pt", "sweep_share"), "sweep_share", 5)
 
 
-def _pair_sql() -> str:
-    entries = ("cos(ry)*cos(rz)+sin(ry)*sin(rx)*sin(rz)", "sin(ry)*sin(rx)*cos(rz)-cos(ry)*sin(rz)", "sin(ry)*cos(rx)", "cos(rx)*sin(rz)", "cos(rx)*cos(rz)", "-sin(rx)", "cos(ry)*sin(rx)*sin(rz)-sin(ry)*cos(rz)", "sin(ry)*sin(rz)+cos(ry)*sin(rx)*cos(rz)", "cos(ry)*cos(rx)")
-    matrix = ", ".join(f"{e} AS m{k // 3}{k % 3}" for k, e in enumerate(entries))
-    at = lambda i, j: "(" + " + ".join(f"b.m{k}{i}*" + (f"a.m{k}{j}" if j < 3 else f"(a.t{'xyz'[k]}-b.t{'xyz'[k]})") for k in range(3)) + ")"
-    turned = lambda i, j: at((i + 2) % 3, (j + 2) % 3 if j < 3 else 3)
-    rows = [f"5e1*{turned(0, j)} + 32e0*{turned(2, j)}" for j in range(4)] + [f"5e1*{turned(1, j)} + 24e0*{turned(2, j)}" for j in range(4)] + [turned(2, j) for j in range(4)]
-    return f"WITH m AS (SELECT *, {matrix} FROM poses) SELECT a.frame, b.frame AS to_frame, " + ", ".join(f"round({e}, 6) + 0e0 AS p{k}" for k, e in enumerate(rows)) + " FROM m a, m b WHERE abs(a.frame - b.frame) <= 2"
-
-
 @query("poses", _pair_sql())
 def pose_fusion(spark, sf_dir):
     """Camera matrices of frame pairs, composed in columns."""
-    a = V.poses(spark, sf_dir)
-    b = a.select(F.col("frame").alias("to_frame"), *(F.col(c).alias(f"b_{c}") for c in ("rx", "ry", "rz", "tx", "ty", "tz")))
+    a = g.with_entries(V.poses(spark, sf_dir))
+    b = a.select(F.col("frame").alias("to_frame"), *(F.col(c).alias(f"b_{c}") for c in a.columns if c != "frame"))
     pairs = a.withColumn("to_frame", F.explode(F.sequence(F.col("frame") - 2, F.col("frame") + 2))).join(b, "to_frame")
     k = np.array([[50.0, 0, 32], [0, 50, 24], [0, 0, 1]])
     names = [f"p{i}" for i in range(12)]
