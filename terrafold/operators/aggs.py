@@ -34,10 +34,10 @@ def positive_mean(df: DataFrame, by: list[str], cost: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(F.when(F.col(cost) > 0, F.col(cost))).alias("mean_cost"))
 
 
-def normal_equations(rows: DataFrame, a: list[str], b: str, by: list[str] | None = None) -> DataFrame:
-    """Upper triangle of A'A and A'b in one aggregation."""
+def normal_equations(rows: DataFrame, a: list[str], b: str, by: list[str] | None = None, counted: str = "*") -> DataFrame:
+    """Upper triangle of A'A and A'b in one aggregation; ``n`` counts the rows where ``counted`` isn't null."""
     sums = [F.sum(F.col(x) * F.col(y)).alias(f"a{i}{j}") for i, x in enumerate(a) for j, y in enumerate(a) if i <= j]
-    return rows.groupBy(*(by or [])).agg(*sums, *(F.sum(F.col(x) * F.col(b)).alias(f"b{i}") for i, x in enumerate(a)), F.count("*").alias("n"))
+    return rows.groupBy(*(by or [])).agg(*sums, *(F.sum(F.col(x) * F.col(b)).alias(f"b{i}") for i, x in enumerate(a)), F.count(counted).alias("n"))
 
 
 def covariance(rows: DataFrame, by: list[str], dims: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import views as V
 from ..functions import geometry as g
 from ..functions import scalars as sc
-from ..operators import aggs, joins, optimize, raster
+from ..operators import aggs, joins, optimize, raster, registration
 from .registry import Registry, rounded
 
 query = Registry()
@@ -220,10 +220,35 @@ def neighbor_covariance(spark, sf_dir):
     return rounded(aggs.covariance(pairs, ["frame", "pt"], ["p_x", "p_y", "p_z"]), "m0 m1 m2 c00 c01 c02 c11 c12 c22")
 
 
-@query()
+#: Eigenvalues of covariances c00 … c22 from a table ``c``, in closed form.
+_EIGEN = """q AS (SELECT *, (c00+c11+c22)/3 AS q FROM c), p AS (SELECT *, sqrt(((c00-q)*(c00-q)+(c11-q)*(c11-q)+(c22-q)*(c22-q)+2*(c01*c01+c02*c02+c12*c12))/6) AS p, (c00-q)*((c11-q)*(c22-q)-c12*c12) - c01*(c01*(c22-q)-c12*c02) + c02*(c01*c12-(c11-q)*c02) AS det FROM q),
+f AS (SELECT *, acos(greatest(-1e0, least(1e0, CASE WHEN p > 0 THEN det/(2*p*p*p) ELSE 1e0 END)))/3 AS f FROM p), e AS (SELECT *, q + 2*p*cos(f) AS e2, q + 2*p*cos(f + 2*pi()/3) AS e0 FROM f), eigen AS (SELECT *, 3*q - e2 - e0 AS e1 FROM e)"""
+_COVARIANCES = ", ".join(f"covar_pop(p{a},p{b}) AS c{i}{j}" for i, a in enumerate("xyz") for j, b in enumerate("xyz") if i <= j)
+
+
+@query("points", f"WITH c AS (SELECT frame, pt, {_COVARIANCES} FROM ({_PAIRS} 4e0) GROUP BY 1, 2), {_EIGEN} SELECT frame, pt, round(e0,5)+0e0 AS e0, round(e1,5)+0e0 AS e1, round(e2,5)+0e0 AS e2, e2 > 3*e1 AS line FROM eigen")
 def neighbor_eigen(spark, sf_dir):
     pairs = joins.radius_join(_queries(spark, sf_dir), V.points(spark, sf_dir), 4.0, ["frame"])
-    return rounded(optimize.eigen(aggs.covariance(pairs, ["frame", "pt"], ["p_x", "p_y", "p_z"]), ["frame", "pt"]).drop("ax", "ay", "az"), "e0 e1 e2", 5)
+    out = registration.with_eigen(aggs.covariance(pairs, ["frame", "pt"], ["p_x", "p_y", "p_z"]))
+    return rounded(out.select("frame", "pt", "e0", "e1", "e2", registration.is_line(F.col("e1"), F.col("e2")).alias("line")), "e0 e1 e2", 5)
+
+
+def _fit_sql() -> str:
+    sums = ", ".join([f"sum(p{i}*p{j}) AS s{i}{j}" for i, j in ("xx", "xy", "xz", "yy", "yz", "zz")] + [f"-sum(p{c}) AS s{c}" for c in "xyz"])
+    minors = "syy*szz-syz*syz AS m00, sxz*syz-sxy*szz AS m01, sxy*syz-sxz*syy AS m02, sxx*szz-sxz*sxz AS m11, sxy*sxz-sxx*syz AS m12, sxx*syy-sxy*sxy AS m22"
+    return f"""WITH five AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, pt ORDER BY d2, p_pt) AS k, count(*) OVER (PARTITION BY frame, pt) AS n FROM ({_PAIRS} 1e0)) WHERE k <= 5 AND n >= 5),
+c AS (SELECT frame, pt, {_COVARIANCES}, {sums} FROM five GROUP BY 1, 2), {_EIGEN}, m AS (SELECT *, {minors} FROM eigen), d AS (SELECT *, sxx*m00 + sxy*m01 + sxz*m02 AS dd FROM m),
+w AS (SELECT *, CASE WHEN abs(dd) > 1e-12 THEN (m00*sx+m01*sy+m02*sz)/dd END AS wx, CASE WHEN abs(dd) > 1e-12 THEN (m01*sx+m11*sy+m12*sz)/dd END AS wy, CASE WHEN abs(dd) > 1e-12 THEN (m02*sx+m12*sy+m22*sz)/dd END AS wz FROM d),
+far AS (SELECT frame, pt, max(abs((wx*px+wy*py+wz*pz+1)/sqrt(wx*wx+wy*wy+wz*wz))) AS worst FROM five JOIN w USING (frame, pt) GROUP BY 1, 2)
+SELECT frame, pt, round(e2,5)+0e0 AS e2, e2 > 3*e1 AS line, round(worst,4)+0e0 AS worst, coalesce(worst <= 2e-1, false) AS plane FROM w JOIN far USING (frame, pt)"""
+
+
+@query("points", _fit_sql())
+def line_plane_tests(spark, sf_dir):
+    """Whether the five nearest points of each query point lie on a line or a plane."""
+    q = _queries(spark, sf_dir).select("frame", F.col("pt").alias("id"), "x", "y", "z")
+    near = registration.five_nearest(q, V.points(spark, sf_dir).select("frame", "pt", "x", "y", "z"), ["frame"], "id", ["frame", "id"])
+    return rounded(registration.map_fits(near).select("frame", F.col("id").alias("pt"), "e2", "line", F.col("_worst").alias("worst"), "plane"), "e2", 5).withColumn("worst", F.round("worst", 4) + 0.0)
 
 
 @query("points", "SELECT frame, round(sum(x*x),4) AS a00, round(sum(x*y),4)+0e0 AS a01, round(sum(x*z),4)+0e0 AS a02, round(sum(y*y),4) AS a11, round(sum(y*z),4)+0e0 AS a12, round(sum(z*z),4) AS a22, round(sum(x*ring),4)+0e0 AS b0, round(sum(y*ring),4)+0e0 AS b1, round(sum(z*ring),4)+0e0 AS b2, count(*) AS n FROM points GROUP BY 1")
@@ -316,6 +341,36 @@ def quaternion_round_trip(spark, sf_dir):
     return rounded(q.select("pt", *(c.alias(n) for c, n in zip(back, ("roll", "pitch", "yaw"), strict=True)), "ax"), "roll pitch yaw ax", 5)
 
 
+_ANGLES = "SELECT pt, x, y, z, x/5e0 AS rx, CASE WHEN ring = 0 THEN sign(y)*pi()/2 ELSE y/8e0 END AS ry, z/5e0 AS rz FROM points"
+_EULER = ("cos(rz)*cos(ry)", "cos(rz)*sin(ry)*sin(rx)-sin(rz)*cos(rx)", "cos(rz)*sin(ry)*cos(rx)+sin(rz)*sin(rx)", "sin(rz)*cos(ry)", "sin(rz)*sin(ry)*sin(rx)+cos(rz)*cos(rx)", "sin(rz)*sin(ry)*cos(rx)-cos(rz)*sin(rx)", "-sin(ry)", "cos(ry)*sin(rx)", "cos(ry)*cos(rx)")
+
+
+def _angles(spark, sf_dir):
+    """An orientation a point; those of ring 0 look straight up or down."""
+    ry = F.when(F.col("ring") == 0, F.signum("y") * F.pi() / 2).otherwise(F.col("y") / 8)
+    return V.points(spark, sf_dir).select("pt", "x", "y", "z", (F.col("x") / 5).alias("rx"), ry.alias("ry"), (F.col("z") / 5).alias("rz"))
+
+
+@query("points", f"""WITH m AS (SELECT pt, {", ".join(f"{e} AS m{k}" for k, e in enumerate(_EULER))} FROM ({_ANGLES})), l AS (SELECT *, sqrt(m0*m0 + m3*m3) < 1e-6 AS l FROM m)
+SELECT pt, {", ".join(f"round(m{k}, 6) + 0e0 AS m{k}" for k in range(9))}, round(CASE WHEN l THEN atan2(-m5, m4) ELSE atan2(m7, m8) END, 6) + 0e0 AS ex, round(atan2(-m6, sqrt(m0*m0 + m3*m3)), 6) + 0e0 AS ey, round(CASE WHEN l THEN 0e0 ELSE atan2(m3, m0) END, 6) + 0e0 AS ez FROM l""")
+def euler_matrix(spark, sf_dir):
+    """Rotation matrices of angles, entry by entry, and the angles read back, gimbal lock included."""
+    m = _angles(spark, sf_dir).select("pt", *(c.alias(f"m{k}") for k, c in enumerate(g.euler_to_matrix(F.col("rx"), F.col("ry"), F.col("rz")))))
+    back = g.matrix_to_euler([F.col(f"m{k}") for k in range(9)])
+    return rounded(m.select("*", *(c.alias(n) for c, n in zip(back, ("ex", "ey", "ez"), strict=True))), " ".join(c for c in [*(f"m{k}" for k in range(9)), "ex", "ey", "ez"]))
+
+
+@query("points", f"""WITH a AS (SELECT *, cos(rx/2) AS cr, sin(rx/2) AS sr, cos(ry/2) AS cp, sin(ry/2) AS sp, cos(rz/2) AS cy, sin(rz/2) AS sy FROM ({_ANGLES}))
+SELECT pt, round(sr*cp*cy - cr*sp*sy, 6) + 0e0 AS qx, round(cr*sp*cy + sr*cp*sy, 6) + 0e0 AS qy, round(cr*cp*sy - sr*sp*cy, 6) + 0e0 AS qz, round(cr*cp*cy + sr*sp*sy, 6) + 0e0 AS qw,
+round(y - sin(rx)*cos(ry)*981e-2, 5) + 0e0 AS ax, round(z - cos(rx)*cos(ry)*981e-2, 5) + 0e0 AS ay, round(x + sin(ry)*981e-2, 5) + 0e0 AS az FROM a""")
+def quaternion_parts(spark, sf_dir):
+    """Quaternions of angles, part by part, and accelerations without gravity on all axes."""
+    rows = _angles(spark, sf_dir)
+    q = g.rpy_to_quaternion(F.col("rx"), F.col("ry"), F.col("rz"))
+    out = rows.select("pt", *(c.alias(n) for c, n in zip(q, ("qx", "qy", "qz", "qw"), strict=True)), *(c.alias(n) for c, n in zip(g.without_gravity(F.col("x"), F.col("y"), F.col("z"), F.col("rx"), F.col("ry")), ("ax", "ay", "az"), strict=True)))
+    return rounded(rounded(out, "qx qy qz qw"), "ax ay az", 5)
+
+
 @query("points", "SELECT pt, CAST(round(255*greatest(0e0,1-2*s)) AS DOUBLE) AS b, CAST(round(255*(1-abs(2*s-1))) AS DOUBLE) AS g, CAST(round(255*greatest(0e0,2*s-1)) AS DOUBLE) AS r FROM (SELECT pt, (least(greatest(round(sqrt(x*x+y*y+z*z)*5, 3), 5e0), 50e0) - 5)/45 AS s FROM points)")
 def depth_colour(spark, sf_dir):
     d = F.round(F.sqrt(sc.norm2(g.vec())) * 5, 3)
