@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import event_queries, point_queries, raster_queries, scene_queries
+from .plans import event_queries, point_queries, raster_queries, scene_queries, source_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (point_queries, event_queries, raster_queries, scene_queries):
+for _module in (point_queries, event_queries, raster_queries, scene_queries, source_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bz2
 import io
 import re
 import struct
@@ -162,7 +161,7 @@ def read_boxes(text: str) -> Iterator[dict]:
         yield {"type": words[0], "conf": float(words[1]), "heading": float(words[2]), "centre": corners.mean(axis=0).tolist(), "axes": axes.ravel().tolist(), "half": (length / 2).tolist(), "corners": corners.ravel().tolist()}
 
 
-def _fields(data: bytes) -> dict[bytes, bytes]:
+def bag_fields(data: bytes) -> dict[bytes, bytes]:
     out, at = {}, 0
     while at < len(data):
         (n,) = struct.unpack_from("<I", data, at)
@@ -172,41 +171,16 @@ def _fields(data: bytes) -> dict[bytes, bytes]:
     return out
 
 
-def _records(data: bytes, at: int = 0) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
+def bag_records(data: bytes, at: int = 0) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
     while at + 8 <= len(data):
         (n,) = struct.unpack_from("<I", data, at)
-        head = _fields(data[at + 4 : at + 4 + n])
+        head = bag_fields(data[at + 4 : at + 4 + n])
         at += 4 + n
         (n,) = struct.unpack_from("<I", data, at)
         yield head, data[at + 4 : at + 4 + n]
         at += 4 + n
 
 
-def read_bag(data: bytes, topics: set[str] | None = None) -> Iterator[tuple[str, str, int, bytes]]:
-    """Messages of a version 2.0 bag: topic, type, time in nanoseconds, payload. Chunks may be plain or bz2."""
-    if not data.startswith(b"#ROSBAG V2.0\n"):
-        raise ValueError("not a version 2.0 bag")
-    known: dict[bytes, tuple[str, str]] = {}
-
-    def walk(records):
-        for head, body in records:
-            op = head[b"op"][0]
-            if op == 5:
-                kind = head[b"compression"]
-                if kind not in (b"none", b"bz2"):
-                    raise ValueError(f"chunk compression {kind!r}")
-                yield from walk(_records(bz2.decompress(body) if kind == b"bz2" else body))
-            elif op == 7:
-                known[head[b"conn"]] = head[b"topic"].decode(), _fields(body).get(b"type", b"").decode()
-            elif op == 2:
-                topic, kind = known[head[b"conn"]]
-                if topics is None or topic in topics:
-                    sec, nsec = struct.unpack("<II", head[b"time"])
-                    yield topic, kind, sec * 10**9 + nsec, body
-
-    yield from walk(_records(data, 13))
-
-
 def read_point_cloud(message: bytes) -> tuple[int, str, np.ndarray]:
     """A point-cloud message: stamp in nanoseconds, frame id, structured points by field name."""
     at = 4
@@ -227,3 +201,34 @@ def read_point_cloud(message: bytes) -> tuple[int, str, np.ndarray]:
     _big, step, _row, n = struct.unpack_from("<BIII", message, at)
     kind = np.dtype({"names": names, "formats": formats, "offsets": offsets, "itemsize": step})
     return sec * 10**9 + nsec, frame, np.frombuffer(message, kind, height * width, at + 13)
+
+
+def write_point_cloud(ns: int, frame: str, points: np.ndarray) -> bytes:
+    """A point-cloud message of structured points of 32-bit floats, as :func:`read_point_cloud` reads it."""
+    names, name = points.dtype.names, frame.encode()
+    fields = b"".join(struct.pack("<I", len(f)) + f.encode() + struct.pack("<IBI", points.dtype.fields[f][1], 7, 1) for f in names)
+    size = points.dtype.itemsize * len(points)
+    return struct.pack("<III", 0, *divmod(ns, 10**9)) + struct.pack("<I", len(name)) + name + struct.pack("<III", 1, len(points), len(names)) + fields + struct.pack("<BIII", 0, points.dtype.itemsize, size, size) + points.tobytes() + b"\1"
+
+
+def read_image_message(message: bytes) -> tuple[int, str, np.ndarray]:
+    """A raw image message: stamp in nanoseconds, frame id, height x width x 3 bytes in the order blue, green, red."""
+    at = 4
+    sec, nsec, n = struct.unpack_from("<III", message, at)
+    frame = message[at + 12 : at + 12 + n].decode()
+    at += 12 + n
+    height, width, n = struct.unpack_from("<III", message, at)
+    kind = message[at + 12 : at + 12 + n].decode()
+    at += 12 + n
+    _big, step, _size = struct.unpack_from("<BII", message, at)
+    channels = {"bgr8": 3, "rgb8": 3, "8UC3": 3, "mono8": 1, "8UC1": 1}.get(kind)
+    if channels is None:
+        raise ValueError(f"image encoding {kind!r}")
+    rows = np.frombuffer(message, np.uint8, height * step, at + 9).reshape(height, step)[:, : width * channels].reshape(height, width, channels)
+    rows = np.repeat(rows, 3, axis=2) if channels == 1 else rows[..., ::-1] if kind == "rgb8" else rows
+    return sec * 10**9 + nsec, frame, rows
+
+
+def write_image_message(ns: int, frame: str, bgr: np.ndarray) -> bytes:
+    name, (height, width, _) = frame.encode(), bgr.shape
+    return struct.pack("<III", 0, *divmod(ns, 10**9)) + struct.pack("<I", len(name)) + name + struct.pack("<III", height, width, 4) + b"bgr8" + struct.pack("<BII", 0, 3 * width, bgr.size) + bgr.astype(np.uint8).tobytes()

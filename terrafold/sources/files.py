@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from . import codecs
+from . import bags, codecs
 
 ROWS = 100_000
 POINTS = "path string, idx long, x float, y float, z float, intensity float"
@@ -143,19 +143,8 @@ def write_poses(poses: DataFrame, path: str) -> None:
 
 
 def read_bag(spark: SparkSession, path: str, topics: list[str] | None = None) -> DataFrame:
-    """Messages ``topic, type, ts_ns, payload``; a topic list is applied while reading."""
-    wanted = set(topics) if topics else None
-
-    def decode(_: str, content: bytes) -> Iterator[pd.DataFrame]:
-        rows: list = []
-        for row in codecs.read_bag(content, wanted):
-            rows.append(row)
-            if len(rows) == 256:
-                yield pd.DataFrame(rows, columns=["topic", "type", "ts_ns", "payload"])
-                rows = []
-        yield pd.DataFrame(rows, columns=["topic", "type", "ts_ns", "payload"])
-
-    return decoded(spark, path, "*.bag", decode, "path string, topic string, type string, ts_ns long, payload binary")
+    """Messages of bags, read chunk by chunk: see :func:`terrafold.sources.bags.read_bag`."""
+    return bags.read_bag(spark, path, topics)
 
 
 def explode_clouds(messages: DataFrame) -> DataFrame:
