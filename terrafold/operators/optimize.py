@@ -102,3 +102,40 @@ def rotation_search(df: DataFrame, cost: Column, step: float, by: list[str], rea
     scored = rotation_candidates(df, step, reach).withColumn("_c", cost)
     mean = scored.groupBy(*by, "candidate", "ax", "ay").agg(F.avg(F.when(F.col("_c") > 0, F.col("_c"))).alias("mean_cost")).where("mean_cost is not null")
     return mean.groupBy(*by).agg(F.min(F.struct(F.round("mean_cost", 9).alias("mean_cost"), "candidate", "ax", "ay")).alias("m")).select(*by, "m.*")
+
+
+def projected_search(points: DataFrame, image: DataFrame, start: DataFrame, k: np.ndarray, shift: list[float], width: int, height: int, by: list[str], colours: list[str], step: float, reach: int = 10, counted: Column | None = None) -> DataFrame:
+    """The rotation about x and y, among ``(2 reach + 1)^2`` around each group's own ``ax, ay, az``, under which its points' colours differ least from the image.
+
+    Every candidate has a z-buffer of its own: of the points in a pixel the nearest counts (then the smallest ``pt``), where ``counted`` (of
+    ``u, v``) holds. A pixel's cost is the mean of its channels' differences, black where the image has none; a candidate's is the mean of
+    the positive costs, and of equal ones the first candidate stays. ``by, mean_cost, candidate, ax, ay, az``; matrices are made once a group and candidate.
+    """
+    turned = rotation_candidates(start, step, reach).select(*by, "candidate", *(c.alias(n) for c, n in ((F.col("i") * step, "_da"), (F.col("j") * step, "_db")))).join(start.select(*by, *(F.col(c).alias(f"_{c}") for c in ("ax", "ay", "az"))), by)
+    turned = turned.select(*by, "candidate", (F.col("_ax") + F.col("_da")).alias("ax"), (F.col("_ay") + F.col("_db")).alias("ay"), F.col("_az").alias("az"))
+    turned = turned.select("*", *(c.alias(f"_m{n}") for n, c in enumerate(g.euler_to_matrix(F.col("ax"), F.col("ay"), F.col("az")))))
+    rows = points.join(turned, by)
+    cam = [sum((F.col(f"_m{3 * i + j}") * F.col("xyz"[j]) for j in (1, 2)), F.col(f"_m{3 * i}") * F.col("x")) + shift[i] for i in range(3)]
+    rows = rows.select(*by, "candidate", "pt", *colours, *(c.alias(f"_{n}") for c, n in zip(cam, "xyz", strict=True)))
+    at = lambda row: g.pixel(sum((float(c) * F.col(f"_{n}") for c, n in zip(row[1:], "yz", strict=True)), float(row[0]) * F.col("_x")) / F.col("_z"))
+    rows = rows.select(*by, "candidate", "pt", *colours, at(k[0]).alias("u"), at(k[1]).alias("v"), F.col("_z").alias("z"))
+    rows = rows.where(g.in_image(F.col("u"), F.col("v"), F.col("z"), width, height))
+    key = [*by, "candidate"]
+    nearest = rows.groupBy(*key, "u", "v").agg(F.min(F.struct("z", "pt", *colours)).alias("_n"))
+    if counted is not None:
+        nearest = nearest.where(counted)
+    seen = nearest.join(image.select(*by, "u", "v", *(F.col(c).alias(f"_i{c}") for c in colours)), [*by, "u", "v"], "left")
+    cost = sum((F.abs(F.coalesce(F.col(f"_i{c}"), F.lit(0)) - F.col(f"_n.{c}")) for c in colours), F.lit(0.0)) / len(colours)
+    mean = seen.withColumn("_c", cost).groupBy(*key).agg(F.avg(F.when(F.col("_c") > 0, F.col("_c"))).alias("mean_cost")).where("mean_cost is not null")
+    best = mean.groupBy(*by).agg(F.min(F.struct(F.round("mean_cost", 9).alias("mean_cost"), "candidate")).alias("m")).select(*by, "m.*")
+    return best.join(turned.select(*key, "ax", "ay", "az"), key)
+
+
+def two_stage_search(points: DataFrame, image: DataFrame, start: DataFrame, *camera, steps: tuple[float, ...] = (1e-3, 1e-4), **settings) -> DataFrame:
+    """:func:`projected_search` with finer and finer steps, each around what the one before found; groups without any cost drop out."""
+    from ..storage import written
+
+    for step in steps:
+        found = written(projected_search(points, image, start, *camera, step=step, **settings), "rotation")
+        start = found.select(*(c for c in start.columns))
+    return found

@@ -271,6 +271,39 @@ def rotation_grid(spark, sf_dir):
     return rounded(out.select("frame", "mean_cost", F.col("candidate").cast("int"), "ax", "ay"), "mean_cost ax ay")
 
 
+_SNAPS = "SELECT *, pt * 37 % 251 + 1 AS colour FROM points"
+
+
+def _search_sql() -> str:
+    turned = "cos(ay)*x + sin(ay)*sin(ax)*y + sin(ay)*cos(ax)*z AS cx, cos(ax)*y - sin(ax)*z AS cy, -sin(ay)*x + cos(ay)*sin(ax)*y + cos(ay)*cos(ax)*z + 8 AS cz"
+    pixel = "CAST(trunc((2e3*cx + 1280*cz)/cz + 5e-1) AS INT) AS u, CAST(trunc((2e3*cy + 960*cz)/cz + 5e-1) AS INT) AS v"
+    inside = "cz > 0 AND u BETWEEN 0 AND 2559 AND v BETWEEN 0 AND 1919"
+    stage = lambda n, start, step: f"""t{n} AS (SELECT p.frame, pt, colour, candidate, ax, ay, {turned} FROM p JOIN (SELECT frame, (i+3)*7 + j+3 AS candidate, ax + i*{step} AS ax, ay + j*{step} AS ay FROM {start}, range(-3,4) a(i), range(-3,4) b(j)) c USING (frame)),
+n{n} AS (SELECT frame, candidate, ax, ay, u, v, arg_min(colour, struct_pack(z := cz, pt := pt)) AS colour FROM (SELECT *, {pixel} FROM t{n}) WHERE {inside} GROUP BY 1,2,3,4,5,6),
+m{n} AS (SELECT frame, candidate, ax, ay, round(avg(c) FILTER (c > 0), 9) AS mean_cost FROM (SELECT n.frame, candidate, ax, ay, CAST(abs(coalesce(i.colour, 0) - n.colour) AS DOUBLE) AS c FROM n{n} n LEFT JOIN img i USING (frame, u, v)) GROUP BY 1,2,3,4),
+s{n} AS MATERIALIZED (SELECT * FROM m{n} WHERE mean_cost IS NOT NULL QUALIFY row_number() OVER (PARTITION BY frame ORDER BY mean_cost, candidate) = 1)"""
+    return f"""WITH p AS MATERIALIZED ({_SNAPS}), f AS (SELECT DISTINCT frame, (1 + frame % 3)*1e-3 + 1e-4 AS ax, -(1 + frame % 2)*1e-3 - 1e-4 AS ay FROM p),
+img AS MATERIALIZED (SELECT frame, u, v, arg_min(colour, struct_pack(z := cz, pt := pt)) AS colour FROM (SELECT *, {pixel} FROM (SELECT p.frame, pt, colour, {turned} FROM p JOIN f USING (frame))) WHERE {inside} GROUP BY 1,2,3),
+z AS (SELECT DISTINCT frame, 0e0 AS ax, 0e0 AS ay FROM p), {stage(1, "z", "1e-3")}, {stage(2, "s1", "1e-4")}
+SELECT frame, round(mean_cost, 6) AS mean_cost, CAST(candidate AS INT) AS candidate, round(ax, 6) + 0e0 AS ax, round(ay, 6) + 0e0 AS ay FROM s2"""
+
+
+@query("points", _search_sql())
+def rotation_two_stage(spark, sf_dir):
+    """The turn of each frame's camera, found again from its image: steps of a thousandth, then of a tenth of that around each frame's own minimum, with a z-buffer a candidate."""
+    p = V.points(spark, sf_dir).withColumn("colour", F.col("pt") * 37 % 251 + 1)
+    k, shift, size = [[2000.0, 0.0, 1280.0], [0.0, 2000.0, 960.0]], [0.0, 0.0, 8.0], (2560, 1920)
+    frames = p.select("frame").distinct()
+    ax, ay = (1 + F.col("frame") % 3) * 1e-3 + 1e-4, -(1 + F.col("frame") % 2) * 1e-3 - 1e-4
+    x, y, z = g.rot_y(g.rot_x(g.vec(), F.col("ax")), F.col("ay"))
+    shot = p.join(frames.select("frame", ax.alias("ax"), ay.alias("ay")), "frame").select("frame", "pt", "colour", x.alias("x"), y.alias("y"), z.alias("z"))
+    matrix = [2000.0, 0.0, 1280.0, 1280.0 * 8, 0.0, 2000.0, 960.0, 960.0 * 8, 0.0, 0.0, 1.0, 8.0]
+    image = aggs.zbuffer(raster.project_points(shot, matrix, *size).withColumn("key", F.struct("pt", "colour")), ["frame", "u", "v"], "z_cam", "key").select("frame", "u", "v", "key.colour")
+    start = frames.select("frame", *(F.lit(0.0).alias(c) for c in ("ax", "ay", "az")))
+    out = optimize.two_stage_search(p, image, start, k, shift, *size, by=["frame"], colours=["colour"], reach=3)
+    return rounded(out.select("frame", "mean_cost", F.col("candidate").cast("int"), "ax", "ay"), "mean_cost ax ay")
+
+
 @query("points", "SELECT CAST(floor((20*x+25)/50) AS BIGINT) AS i, CAST(floor((20*y+25)/50) AS BIGINT) AS j, CAST(floor((20*z+25)/50) AS BIGINT) AS k, count(*) AS n FROM points GROUP BY 1,2,3")
 def cube_index(spark, sf_dir):
     return V.points(spark, sf_dir).groupBy(*(sc.cube(20 * F.col(c)).alias(n) for c, n in zip("xyz", "ijk", strict=True))).agg(F.count("*").alias("n"))
@@ -447,6 +480,24 @@ def greedy_features(spark, sf_dir):
     return pick(rings, ["turn"], "pt").select("pt", "turn", "picked", "label")
 
 
+def _occlusion_sql() -> str:
+    d = lambda a, b, s="": "(" + " + ".join(f"({a}{c} - {b}{c}{s})*({a}{c} - {b}{c}{s})" for c in "xyz") + ")"
+    return f"""WITH t AS (SELECT *, (pt // 4200) * 1000 + frame AS turn FROM points), n AS (SELECT turn, pt, x, y, z, lead(x) OVER w AS ax, lead(y) OVER w AS ay, lead(z) OVER w AS az, lag(x) OVER w AS qx, lag(y) OVER w AS qy, lag(z) OVER w AS qz FROM t WINDOW w AS (PARTITION BY turn ORDER BY pt)),
+r AS (SELECT *, sqrt(x*x+y*y+z*z) AS d, sqrt(ax*ax+ay*ay+az*az) AS dn FROM n),
+j AS (SELECT *, {d("a", "")} AS gap, {d("", "q")} AS back FROM r),
+f AS (SELECT *, coalesce(gap > 1e-1 AND d > dn AND sqrt({d("a", "", "*dn/d")})/dn < 1e-1, false) AS far,
+coalesce(gap > 1e-1 AND d <= dn AND sqrt({d("", "a", "*d/dn")})/d < 1e-1, false) AS near, coalesce(gap > 2e-4*d*d AND back > 2e-4*d*d, false) AS flat FROM j)
+SELECT turn, pt, coalesce(max(CAST(far AS INT)) OVER (v ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING), 0) + coalesce(max(CAST(near AS INT)) OVER (v ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 0) > 0 OR (flat AND NOT far) AS picked FROM f WINDOW v AS (PARTITION BY turn ORDER BY pt)"""
+
+
+@query("points", _occlusion_sql())
+def occlusion_marks(spark, sf_dir):
+    """Points at depth jumps and on surfaces almost parallel to the beam, with their neighbours."""
+    from ..operators.windows import occlusion
+
+    return occlusion(V.turns(V.points(spark, sf_dir)), ["turn"], ["pt"]).select("turn", "pt", "picked")
+
+
 @query("points", "SELECT frame, ring, pt, round((first(z) OVER w), 6)+0e0 AS first_z, round((last(z) OVER w), 6)+0e0 AS last_z FROM points WINDOW w AS (PARTITION BY frame, ring ORDER BY pt ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def sweep_ends(spark, sf_dir):
     w = Window.partitionBy("frame", "ring").orderBy("pt").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -144,28 +144,51 @@ def candidate_window(spark, sf_dir):
     return rows.join(d.select(F.col("u").alias("cu"), F.col("v").alias("cv"), "depth"), ["cu", "cv"]).select("u", "v", "label", "depth")
 
 
+def _field_sql(rounds: int) -> str:
+    draw = lambda n, c: f"coalesce(s{c}, {c}) - r + CAST('0x' || substr(md5('0:{n}:' || r || ':{c}:' || v || ':' || u), 1, 8) AS BIGINT) % (2*r + 1) AS s{c}"
+    parts = [
+        "t AS MATERIALIZED (SELECT u, v, round(min(z)/1000) AS x FROM pixels GROUP BY 1, 2), s AS MATERIALIZED (SELECT u, v, round(max(z)/1000) AS x FROM pixels GROUP BY 1, 2)",
+        "radii(r) AS (SELECT greatest(max(v) - min(v), max(u) - min(u)) FROM s UNION ALL SELECT r // 2 FROM radii WHERE r >= 1), f0 AS (SELECT u, v, CAST(NULL AS BIGINT) AS sv, CAST(NULL AS BIGINT) AS su, CAST(NULL AS DOUBLE) AS cost FROM t)",
+    ]
+    for n in range(rounds):
+        parts.append(f"""c{n} AS (SELECT DISTINCT v, u, sv, su FROM (SELECT v, u, {draw(n, "v")}, {draw(n, "u")} FROM f{n}, radii UNION ALL SELECT v + dv, u + du, sv + dv, su + du FROM f{n}, (SELECT d * i AS dv, d * j AS du FROM (VALUES (1), (4), (16)) d(d), (VALUES (-1, 0), (0, -1), (0, 1), (1, 0)) o(i, j)) WHERE sv IS NOT NULL) SEMI JOIN t USING (u, v)),
+d{n} AS (SELECT c.v, c.u, c.sv, c.su, avg((a.x - b.x) * (a.x - b.x)) AS cost FROM c{n} c JOIN s m ON m.u = c.su AND m.v = c.sv, range(-1, 2) i(i), range(-1, 2) j(j) JOIN t a ON a.v = c.v + i AND a.u = c.u + j JOIN s b ON b.v = c.sv + i AND b.u = c.su + j GROUP BY 1, 2, 3, 4),
+f{n + 1} AS MATERIALIZED (SELECT t.u, t.v, m.sv, m.su, m.cost FROM t LEFT JOIN (SELECT v, u, arg_min(struct_pack(sv := sv, su := su, cost := cost), struct_pack(cost := cost, sv := sv, su := su)) AS m FROM (SELECT v, u, sv, su, cost FROM d{n} UNION ALL SELECT v, u, sv, su, cost FROM f{n} WHERE sv IS NOT NULL) GROUP BY 1, 2) USING (v, u))""")
+    return "WITH " + ", ".join(parts) + f" SELECT v, u, sv, su, round(cost, 6) AS cost FROM f{rounds}"
+
+
+@query("pixels", _field_sql(3))
+def nearest_field(spark, sf_dir):
+    """For each patch of one raster a place in another one that looks alike: three rounds of propagation and random search."""
+    from ..operators import patchmatch
+
+    p = V.pixels(spark, sf_dir).groupBy("u", "v")
+    target, source = (p.agg(F.round(f("z") / 1000).alias("x")) for f in (F.min, F.max))
+    return rounded(patchmatch.nearest_field(target, source, ["x"], rounds=3), "cost")
+
+
 @query()
 def triangulated_fill(spark, sf_dir):
-    """Each vector's 21 samples are triangulated, and pixels inside triangles get their barycentric weights; pixels and sums of weights a triangle."""
+    """Each vector's 21 samples are triangulated, and the pixels inside triangles get their barycentric weights."""
     from ..operators import joins
     from ..operators.inpaint import triangulate
 
     p = V.points(spark, sf_dir).select(F.floor(F.col("pt") / 21).alias("turn"), F.floor(F.col("x") * 8).alias("u"), F.floor(F.col("y") * 8).alias("v"))
     t = triangulate(p, ["turn"]).withColumn("tri", F.col("turn") * 1000 + F.col("tri"))
-    # what the raster comes to, a triangle
-    return rounded(joins.rasterize(t).groupBy("tri").agg(F.count("*").alias("n"), *(F.sum(w).alias(w) for w in ("w0", "w1", "w2"))), "w0 w1 w2", 3)
+    return rounded(joins.rasterize(t).select("tri", "u", "v", "w0", "w1", "w2"), "w0 w1 w2", 5)
 
 
-@query()
+@query("pixels", f"""WITH d AS (SELECT u, v, depth/100 AS depth, floor(depth/100) AS value FROM ({_DEPTH})), w AS (SELECT CAST(trunc((5e1*((u+i/2e0-24e0)/50*depth + 1) + 24*depth)/depth + 5e-1) AS INT) AS pu, CAST(trunc((5e1*((v+j/2e0-32e0)/50*depth + 3e-1) + 32*depth)/depth + 5e-1) AS INT) AS pv, depth, value, u, v FROM d, range(2) a(i), range(2) b(j))
+SELECT pu AS u, pv AS v, round(arg_min(depth, (depth, v, u)), 4) AS depth, round(arg_min(value, (depth, v, u)), 4) AS value FROM w WHERE depth > 0 AND pu BETWEEN 0 AND 47 AND pv BETWEEN 0 AND 63 GROUP BY 1, 2""")
 def warped_depth(spark, sf_dir):
     """The depth raster seen from a camera that stands aside."""
     import numpy as np
 
     from ..operators.inpaint import warp_by_depth
 
-    d = V.pixels(spark, sf_dir).groupBy("u", "v").agg((F.min("z") / 100).alias("depth")).withColumn("value", F.round("depth", 2))
+    d = V.pixels(spark, sf_dir).groupBy("u", "v").agg((F.min("z") / 100).alias("depth")).withColumn("value", F.floor("depth").cast("double"))
     k = np.array([[50.0, 0, 24], [0, 50, 32], [0, 0, 1]])
-    m = (k @ np.c_[np.eye(3), [1.0, 0, 0]]).ravel().tolist()
+    m = (k @ np.c_[np.eye(3), [1.0, 0.3, 0]]).ravel().tolist()  # off the pixels' middles in both directions
     return rounded(warp_by_depth(d, np.linalg.inv(k), m, 48, 64, []), "depth value", 4)
 
 

@@ -227,7 +227,11 @@ def dense_fill_interleaved(spark, sf_dir):
     return _dense_fill(spark, sf_dir, "interleaved")
 
 
-@query()
+@query("points", """WITH t AS (SELECT pt, (pt // 4200) * 1000 + frame AS turn, -atan2(y, x) AS o FROM points), s AS (SELECT *, first(o) OVER w AS s, last(o) OVER w + 2*pi() AS e0 FROM t WINDOW w AS (PARTITION BY turn ORDER BY pt ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, CASE WHEN e0 - s > 3*pi() THEN e0 - 2*pi() WHEN e0 - s < pi() THEN e0 + 2*pi() ELSE e0 END AS e, CASE WHEN o < s - pi()/2 THEN o + 2*pi() WHEN o > s + pi()*3/2 THEN o - 2*pi() ELSE o END AS a FROM s),
+h AS (SELECT *, coalesce(max(CASE WHEN a - s > pi() THEN 1 ELSE 0 END) OVER (PARTITION BY turn ORDER BY pt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS half, o + 2*pi() AS o2 FROM e),
+u AS (SELECT *, CASE WHEN NOT half THEN a WHEN o2 < e - pi()*3/2 THEN o2 + 2*pi() WHEN o2 > e + pi()/2 THEN o2 - 2*pi() ELSE o2 END AS b FROM h)
+SELECT pt, round((b - s)/(e - s), 5) + 0e0 AS sweep_share FROM u""")
 def sweep_shares(spark, sf_dir):
     """Share of the sweep at each point of a turn."""
     from ..operators.windows import unwrap_sweep
