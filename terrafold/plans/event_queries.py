@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import views as V
-from ..operators import aggs, joins, windows
+from ..operators import imu, aggs, joins, windows
 from .registry import Registry, rounded
 
 query = Registry()
@@ -220,3 +220,68 @@ def pose_blend(spark, sf_dir):
 def text_and_time_functions(spark, sf_dir):
     e = V.table(spark, sf_dir, "events")
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.get(F.split("event_type", "i"), F.lit(0)).alias("head"))
+
+
+#: Inertial states made of the events of one kind: angles, velocity, position.
+_STATES = {"roll": "value/1e3", "pitch": "value/2e3", "yaw": "(event_id % 63)/1e1 - 314e-2", "vx": "value/1e2", "vy": "(event_id % 7)/1e1", "vz": "1e-1", "px": "value/1e1", "py": "(event_id % 11)*1e0", "pz": "value/5e1"}
+_SHORT = "(n.yaw - p.yaw - CASE WHEN n.yaw - p.yaw > pi() THEN 2*pi() WHEN n.yaw - p.yaw < -pi() THEN -2*pi() ELSE 0e0 END)"
+
+
+def _at_sql(name: str, source: str, keep: str, prefix: str) -> str:
+    """States at the times ``us`` of ``source``."""
+    value = lambda c: f"CASE WHEN p.us IS NULL THEN n.{c} WHEN n.us IS NULL OR n.us = p.us THEN p.{c} ELSE p.{c} + (q.us - p.us)/CAST(n.us - p.us AS DOUBLE)*{_SHORT if c == 'yaw' else f'(n.{c} - p.{c})'} END AS {prefix}{c}"
+    return f"{name} AS (SELECT {keep}, {', '.join(value(c) for c in _STATES)} FROM {source} q ASOF LEFT JOIN st p ON q.ring = p.ring AND q.us >= p.us ASOF LEFT JOIN st n ON q.ring = n.ring AND q.us <= n.us)"
+
+
+def _back_sql(x: str, y: str, z: str, p: str) -> list[str]:
+    """The vector turned by -yaw about y, -pitch about x, -roll about z."""
+    a = (f"(cos({p}yaw)*({x}) - sin({p}yaw)*({z}))", f"({y})", f"(cos({p}yaw)*({z}) + sin({p}yaw)*({x}))")
+    b = (a[0], f"(cos({p}pitch)*{a[1]} + sin({p}pitch)*{a[2]})", f"(cos({p}pitch)*{a[2]} - sin({p}pitch)*{a[1]})")
+    return [f"(cos({p}roll)*{b[0]} + sin({p}roll)*{b[1]})", f"(cos({p}roll)*{b[1]} - sin({p}roll)*{b[0]})", b[2]]
+
+
+_SWEEPS = f"""st AS (SELECT ring, us, {", ".join(f"{e} AS {c}" for c, e in _STATES.items())} FROM ev WHERE event_type = 'view'), sw AS (SELECT ring, us // 86400000000 AS day, min(us) AS first, max(us) AS final FROM ev GROUP BY 1, 2),
+{_at_sql("b", "(SELECT *, first AS us FROM sw)", "q.ring, q.day, q.first, q.final", "s_")}, {_at_sql("e", "(SELECT *, final AS us FROM sw)", "q.ring, q.day", "e_")}, sweep AS (SELECT *, (final - first)/1e6 AS took FROM b JOIN e USING (ring, day))"""
+
+
+def _imu_sql() -> str:
+    shift = _back_sql(*(f"e_p{c} - s_p{c} - s_v{c}*took" for c in "xyz"), "s_")
+    velo = _back_sql(*(f"e_v{c} - s_v{c}" for c in "xyz"), "s_")
+    told = ["s_pitch", "s_yaw", "s_roll", "e_pitch", "e_yaw", "e_roll", *(f"{e} AS {n}_{c}" for n, v in (("shift", shift), ("velo", velo)) for c, e in zip("xyz", v, strict=True))]
+    names = [x.split(" AS ")[-1] for x in told]
+    return f"WITH {_SWEEPS}, o AS (SELECT ring, day, {', '.join(told)} FROM sweep) SELECT ring, day, {', '.join(f'round({n}, 6) + 0e0 AS {n}' for n in names)} FROM o"
+
+
+def _start_sql() -> str:
+    turn = ("cos(c_roll)*x - sin(c_roll)*y", "sin(c_roll)*x + cos(c_roll)*y", "z")
+    pitch = ("kx", "cos(c_pitch)*ky - sin(c_pitch)*kz", "sin(c_pitch)*ky + cos(c_pitch)*kz")
+    yaw = ("cos(c_yaw)*lx + sin(c_yaw)*lz", "ly", "cos(c_yaw)*lz - sin(c_yaw)*lx")
+    step = lambda name, source, v, n: f"{name} AS (SELECT *, {', '.join(f'{e} AS {n}{c}' for c, e in zip('xyz', v, strict=True))} FROM {source})"
+    moved = tuple(f"y{c} + c_p{c} - s_p{c} - s_v{c}*gone" for c in "xyz")
+    out = _back_sql("mx", "my", "mz", "s_")
+    return f"""WITH {_SWEEPS}, pts AS (SELECT event_id, ring, us, us // 86400000000 AS day, value/1e1 AS x, value/2e1 AS y, 1e0 AS z FROM ev WHERE event_type = 'click'), {_at_sql("c", "pts", "q.event_id, q.ring, q.us, q.day, q.x, q.y, q.z", "c_")},
+j AS (SELECT c.*, {", ".join(f"s_{n}" for n in _STATES)}, (us - first)/1e6 AS gone FROM c JOIN b USING (ring, day)), {step("k1", "j", turn, "k")}, {step("k2", "k1", pitch, "l")}, {step("k3", "k2", yaw, "y")}, {step("k4", "k3", moved, "m")}
+SELECT event_id, {", ".join(f"round(coalesce({e}, {c}), 4) + 0e0 AS {c}" for c, e in zip("xyz", out, strict=True))} FROM k4"""
+
+
+def _imu(spark, sf_dir):
+    ev = V.events(spark, sf_dir)
+    states = ev.where("event_type = 'view'").select("ring", "us", *(F.expr(e).cast("double").alias(c) for c, e in _STATES.items()))
+    ev = ev.withColumn("day", F.floor(F.col("us") / 86_400_000_000))
+    sweeps = ev.groupBy("ring", "day").agg(F.min("us").alias("begin"), F.max("us").alias("end"))
+    return ev, states, imu.sweep_states(sweeps, states, "us", ["ring"])
+
+
+@query("ev", _imu_sql())
+def sweep_imu_states(spark, sf_dir):
+    """The inertial state of each sweep (a user's day): angles at both ends, shift and change of velocity in the axes of its begin."""
+    names = [f"{p}_{a}" for p in "se" for a in ("pitch", "yaw", "roll")] + [f"{n}_{c}" for n in ("shift", "velo") for c in "xyz"]
+    return rounded(_imu(spark, sf_dir)[2].select("ring", "day", *names), " ".join(names))
+
+
+@query("ev", _start_sql())
+def imu_to_sweep_start(spark, sf_dir):
+    """Points moved to their sweep's start by the inertial states at their own times."""
+    ev, states, sweeps = _imu(spark, sf_dir)
+    points = ev.where("event_type = 'click'").select("event_id", "ring", "day", "us", (F.col("value") / 10).alias("x"), (F.col("value") / 20).alias("y"), F.lit(1.0).alias("z"))
+    return rounded(imu.to_sweep_start(points, sweeps, states, "us", ["ring"], ["day"]).select("event_id", "x", "y", "z"), "x y z", 4)
