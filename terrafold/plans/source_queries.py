@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import views as V
-from ..sources import bags, files
+from ..functions import geometry as g
+from ..sources import bags, files, sinks
 from ..storage import shared_dir
 from .registry import Registry
 
@@ -75,3 +76,51 @@ def pose_text_round_trip(spark, sf_dir):
     folder = _folder(spark, "poses")
     files.write_poses(V.poses(spark, sf_dir).withColumn("name", F.col("frame").cast("string")), folder)
     return files.read_poses(spark, folder).select("name", "rx", "ry", "rz", "tx", "ty", "tz")
+
+
+_RASTER = "SELECT l_linenumber AS line, l_partkey % 64 AS v, l_suppkey % 48 AS u, max(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2, 3"
+
+
+def _raster(spark, sf_dir):
+    place = (F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 64).alias("v"), (F.col("l_suppkey") % 48).alias("u"))
+    return V.table(spark, sf_dir, "lineitem").groupBy(*place).agg(F.max("l_extendedprice").cast("double").alias("value"))
+
+
+@query("", f"WITH r AS ({_RASTER}) SELECT CAST(line AS VARCHAR) AS line, CAST(v AS INT) AS v, CAST(u AS INT) AS u, CAST(CAST(value AS FLOAT) AS DOUBLE) AS depth FROM r")
+def depth_round_trip(spark, sf_dir):
+    """Raw depth rasters, written with a commit step and read back; cells without depth stay out."""
+    folder = _folder(spark, "depth")
+    sinks.write_named(sinks.encode_depth(_raster(spark, sf_dir), "line", 48), folder)
+    back = files.read_depth(spark, folder, 48).where("value is not null")
+    return back.select(F.regexp_extract("path", r"(\d+)_depth", 1).alias("line"), "v", "u", F.col("value").alias("depth"))
+
+
+_FLAT = f"""r AS ({_RASTER}), n AS (SELECT line, max(v) + 1 AS h, max(u) + 1 AS w FROM r GROUP BY 1), f AS (SELECT line, w, unnest(range(h*w)) AS idx FROM n), d AS (SELECT f.line, idx, coalesce(CAST(value AS DOUBLE), 0e0) AS value FROM f LEFT JOIN r ON r.line = f.line AND r.v = idx // w AND r.u = idx % w)"""
+
+
+@query("", f"WITH {_FLAT} SELECT CAST(line AS VARCHAR) AS line, idx, value FROM d")
+def npy_round_trip(spark, sf_dir):
+    """One array a line number; its header holds the sizes that its rows turn out to have."""
+    folder = _folder(spark, "npy")
+    sinks.write_named(sinks.encode_npy(_raster(spark, sf_dir), "line", ["v", "u"], "value"), folder)
+    return sinks.explode_arrays(files.read_npy(spark, folder)).select(F.regexp_extract("path", r"(\d+)\.npy", 1).alias("line"), "idx", "value")
+
+
+@query("", f"WITH {_FLAT} SELECT CAST(line % 2 AS VARCHAR) AS archive, CAST(line AS VARCHAR) AS name, idx, value FROM d")
+def npz_append_round_trip(spark, sf_dir):
+    """Two archives of arrays, written in two goes: the second one adds to them."""
+    folder = _folder(spark, "npz")
+    rows = _raster(spark, sf_dir).withColumn("archive", F.col("line") % 2)
+    for part in (rows.where("line <= 3"), rows.where("line > 3")):
+        sinks.append_npz(sinks.encode_npz(part, "archive", "line", ["v", "u"], "value"), folder)
+    return sinks.explode_arrays(files.read_npz(spark, folder)).select(F.regexp_extract("path", r"(\d+)\.npz", 1).alias("archive"), "name", "idx", "value")
+
+
+@query("poses", "SELECT CAST(frame AS VARCHAR) AS frame, round(cos(rz)*cos(ry), 9) + 0e0 AS r0, round(sin(rz)*cos(ry), 9) + 0e0 AS r3, round(-sin(ry), 9) + 0e0 AS r6, round(cos(ry)*sin(rx), 9) + 0e0 AS r7 FROM poses")
+def rotation_cache_round_trip(spark, sf_dir):
+    """A rotation cache a frame, written and read back."""
+    folder = _folder(spark, "rotations")
+    m = V.poses(spark, sf_dir).select("frame", *(c.alias(f"m{k}") for k, c in enumerate(g.euler_to_matrix(F.col("rx"), F.col("ry"), F.col("rz")))))
+    sinks.write_named(sinks.encode_rotations(m, "frame", [f"m{k}" for k in range(9)]), folder)
+    back = files.read_rotation(spark, folder)
+    return back.select(F.regexp_extract("path", r"(\d+)\.xml", 1).alias("frame"), *((F.round(F.get("r", F.lit(k)), 9) + 0.0).alias(f"r{k}") for k in (0, 3, 6, 7)))

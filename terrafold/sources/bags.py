@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from . import codecs
+from .stores import located
 
 MAGIC = b"#ROSBAG V2.0\n"
 MESSAGES = "path string, topic string, type string, ts_ns long, payload binary"
@@ -25,12 +26,8 @@ BATCH, BATCH_BYTES = 256, 16 << 20
 
 
 def _opened(path: str):
-    """A file that can be read from anywhere within: any store that pyarrow knows."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    store, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    """A file that can be read from anywhere within."""
+    store, place = located(path)
     return store.open_input_file(place)
 
 
