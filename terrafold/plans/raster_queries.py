@@ -144,6 +144,16 @@ def candidate_window(spark, sf_dir):
     return rows.join(d.select(F.col("u").alias("cu"), F.col("v").alias("cv"), "depth"), ["cu", "cv"]).select("u", "v", "label", "depth")
 
 
+@query()
+def multi_scale_labels(spark, sf_dir):
+    """Depth in sixteen steps, smoothed by belief propagation from coarse to fine, a tile a task; its labels are held to the kernel over the whole raster in the tests."""
+    from ..operators.tiled import multi_scale_labels as labels
+
+    d = V.table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") % 4).alias("camera"), (F.col("l_partkey") % 96).alias("v"), (F.col("l_suppkey") % 96).alias("u")).agg((F.avg("l_extendedprice") / 6500).alias("d"))
+    costs = d.select("camera", "v", "u", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.least(F.abs(F.col("d") - k), F.lit(4.0))).alias("cost"))
+    return labels(costs, ["camera"], weight=0.5, cut=4.0)
+
+
 def _field_sql(rounds: int) -> str:
     draw = lambda n, c: f"coalesce(s{c}, {c}) - r + CAST('0x' || substr(md5('0:{n}:' || r || ':{c}:' || v || ':' || u), 1, 8) AS BIGINT) % (2*r + 1) AS s{c}"
     parts = [
