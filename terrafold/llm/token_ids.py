@@ -4,12 +4,12 @@ File format (one Parquet row is one block; ascending in ``part``, ``block``, doc
 
 * ``part``, ``block``: place of the block, ``n_tokens``: ids in it, ``width``: bytes an id takes (2 or 4),
 * ``before``: ids in the part's earlier blocks,
-* ``doc_ids``: the ids of its documents in order,
+* ``doc_ids``: the ids of its documents in order, less ``first_id``, Elias-Fano coded; ``nulls`` documents without an id come before them,
 * ``bounds``: the documents' end offsets within the block, Elias-Fano coded,
 * ``ids``: all token ids, little-endian.
 
 Global offsets are never stored: a part's start is a prefix sum over the parts' sizes, a block's that
-plus ``before``, a document's that plus one ``select`` in ``bounds``.
+plus ``before``, a document's that plus one ``select`` in ``bounds``. The reader goes forward from one select by as many documents as it takes at once.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ WORDS = 64
 _PUNCTUATION = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Parts whose starts are broadcast (16 bytes each).
 FEW_PARTS = 200_000
-BLOCKS = "part int, block int, n_tokens long, before long, width int, doc_ids array<long>, bounds binary, ids binary"
+BLOCKS = "part int, block int, n_tokens long, before long, width int, nulls int, first_id long, doc_ids binary, bounds binary, ids binary"
 
 
 class EliasFano:
@@ -78,33 +78,97 @@ class EliasFano:
         body = np.frombuffer(data, np.uint8)
         return cls(bits, n, top, body[at : at + n_low], body[at + n_low : at + n_low + n_high], np.frombuffer(data, "<u4", offset=at + n_low + n_high))
 
-    def _low(self, i: int) -> int:
-        first, last = i * self.low_bits // 8, ((i + 1) * self.low_bits + 7) // 8
-        return int.from_bytes(self.low[first:last].tobytes(), "little") >> (i * self.low_bits % 8) & ((1 << self.low_bits) - 1)
-
-    def select(self, i: int) -> int:
-        """Value ``i``, without decoding the others."""
-        if not 0 <= i < self.n:
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        """The packed low bits of values ``i``: nine bytes hold any of them, wherever it begins."""
+        if not self.low_bits:
+            return np.zeros(len(i), np.uint64)
+        padded = np.concatenate([self.low, np.zeros(9, np.uint8)])
+        at = i * self.low_bits
+        bytes_ = padded[(at // 8)[:, None] + np.arange(9)].astype(np.uint64)
+        shift = (at % 8).astype(np.uint64)
+        word = (bytes_[:, :8] << np.arange(0, 64, 8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) >> shift
+        word |= np.where(shift > 0, bytes_[:, 8] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        return word & np.uint64((1 << self.low_bits) - 1)
+
+    def select(self, i) -> np.ndarray:
+        """Values ``i`` (numbers from 0, in any order), without decoding the others: a sampled mark, a walk over the set bits of the bytes behind it, its low bits."""
+        i = np.atleast_1d(np.asarray(i, np.int64))
+        if len(i) and not (0 <= i.min() and i.max() < self.n):
             raise IndexError(i)
-        at, left = int(self.marks[i // self.SAMPLE]), i % self.SAMPLE
-        byte = at // 8
-        ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + 16], bitorder="little"))
-        ones = ones[ones >= at % 8]
-        step = 16
-        while len(ones) <= left:  # sparse stretch: look further
-            left -= len(ones)
-            byte += step
-            step *= 2
-            ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + step], bitorder="little"))
-        return (byte * 8 + int(ones[left]) - i) << self.low_bits | self._low(i)
+        out = np.empty(len(i), np.uint64)
+        for mark in np.unique(i // self.SAMPLE):
+            own = np.flatnonzero(i // self.SAMPLE == mark) if len(i) > 1 else np.zeros(1, np.int64)
+            first = int(self.marks[mark])
+            end = int(self.marks[mark + 1]) if mark + 1 < len(self.marks) else 8 * len(self.high)
+            ones = np.flatnonzero(np.unpackbits(self.high[first // 8 : (end + 7) // 8], bitorder="little"))
+            ones = ones[ones >= first % 8]
+            place = ones[i[own] - mark * self.SAMPLE] + first // 8 * 8
+            out[own] = (place - i[own]).astype(np.uint64) << np.uint64(self.low_bits)
+        return out | self._low(i)
+
+    def run(self, first: int, count: int) -> np.ndarray:
+        """``count`` values from ``first`` on: one select finds the first set bit, and the bits behind it give the others in order."""
+        if not count:
+            return np.zeros(0, np.uint64)
+        if first < 0 or first + count > self.n:
+            raise IndexError((first, count))
+        mark, last = first // self.SAMPLE, (first + count - 1) // self.SAMPLE
+        begin = int(self.marks[mark])
+        end = int(self.marks[last + 1]) if last + 1 < len(self.marks) else 8 * len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin // 8 : (end + 7) // 8], bitorder="little"))
+        ones = ones[ones >= begin % 8][first - mark * self.SAMPLE :][:count]
+        i = np.arange(first, first + count)
+        return (ones + begin // 8 * 8 - i).astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)
+
+    def at_most(self, value: int) -> int:
+        """How many values are ``value`` or less: a binary search by selects."""
+        low, high = 0, self.n
+        while low < high:
+            mid = (low + high) // 2
+            if int(self.select(mid)[0]) <= value:
+                low = mid + 1
+            else:
+                high = mid
+        return low
 
     def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            out |= (low.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return out
+        return self.run(0, self.n)
+
+
+class Block:
+    """The documents of one block: where each begins and ends, and its id, by selects in two coded sequences."""
+
+    def __init__(self, nulls: int, first_id: int | None, doc_ids: bytes, bounds: bytes):
+        self.nulls, self.first_id = nulls, first_id
+        self.coded, self.bounds = EliasFano.from_bytes(doc_ids), EliasFano.from_bytes(bounds)
+
+    @staticmethod
+    def packed(ids: list[int | None], sizes: list[int]) -> tuple[int, int | None, bytes, bytes]:
+        """From ids in rising order, nulls first, and the documents' numbers of tokens."""
+        nulls = sum(i is None for i in ids)
+        first = ids[nulls] if nulls < len(ids) else None
+        coded = EliasFano.build(np.array([i - first for i in ids[nulls:]], np.uint64))
+        return nulls, first, coded.to_bytes(), EliasFano.build(np.cumsum(sizes)).to_bytes()
+
+    def __len__(self) -> int:
+        return self.bounds.n
+
+    def offsets(self, rank: int, count: int = 1) -> np.ndarray:
+        """Begins of ``count`` documents from ``rank`` on, and the end of the last."""
+        ends = self.bounds.run(max(rank - 1, 0), count + (rank > 0))
+        return np.concatenate([np.zeros(0 if rank else 1, np.uint64), ends]).astype(np.int64)
+
+    def document_at(self, offset: int) -> int:
+        """The rank of the document that holds the token at ``offset``."""
+        return self.bounds.at_most(offset)
+
+    def ids(self, rank: int, count: int = 1) -> list[int | None]:
+        nulls = min(max(self.nulls - rank, 0), count)
+        return [None] * nulls + [self.first_id + int(v) for v in self.coded.run(max(rank - self.nulls, 0), count - nulls)]
+
+
+#: Documents of a block that are read together.
+FORWARD = 4096
 
 
 @lru_cache(maxsize=2)
@@ -202,8 +266,8 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
         def full() -> pa.RecordBatch:
             data = np.frombuffer(b"".join(held), "<u4")
             width = 2 if not len(data) or data.max() < 1 << 16 else 4
-            bounds = EliasFano.build(np.cumsum([len(x) // 4 for x in held])).to_bytes()
-            return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "n_tokens": [len(data)], "before": [before], "width": [width], "doc_ids": [ids], "bounds": [bounds], "ids": [data.astype(f"<u{width}").tobytes()]}, schema=schema)
+            nulls, first, coded, bounds = Block.packed(ids, [len(x) // 4 for x in held])
+            return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "n_tokens": [len(data)], "before": [before], "width": [width], "nulls": [nulls], "first_id": [first], "doc_ids": [coded], "bounds": [bounds], "ids": [data.astype(f"<u{width}").tobytes()]}, schema=schema)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -218,8 +282,9 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
         if held:
             yield full()
 
-    # the text's hash deals out an id (or null) that many documents share
-    ordered = id_and_bytes(docs, id_col, text_col).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # the text's hash and the row's place deal out an id (or null) that many documents or repeated rows share
+    placed = id_and_bytes(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange("doc_id", F.xxhash64("text"), "row").sortWithinPartitions("doc_id", F.xxhash64("text")).drop("row")
     ordered.mapInArrow(encode, BLOCKS).write.parquet(path)
 
 
@@ -241,14 +306,17 @@ def read_token_ids(spark: SparkSession, path: str, with_ids: bool = False) -> Da
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
-                ends = EliasFano.from_bytes(row["bounds"]).values().astype(np.int64)
-                begins = np.concatenate([[0], ends[:-1]])
-                out = {"doc_id": row["doc_ids"], "start": row["base"] + begins, "n_tokens": ends - begins, "ids_crc32": [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins, ends, strict=True)]}
-                if with_ids:
-                    out["ids"] = [ids[a:b].astype(np.int64) for a, b in zip(begins, ends, strict=True)]
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    return blocks.join(parts, "part").select("doc_ids", "bounds", "ids", "width", (F.col("start") + F.col("before")).alias("base")).mapInArrow(decode, columns)
+                block = Block(row["nulls"], row["first_id"], row["doc_ids"], row["bounds"])
+                for rank in range(0, len(block), FORWARD):
+                    count = min(FORWARD, len(block) - rank)
+                    offsets = block.offsets(rank, count)
+                    begins, ends = offsets[:-1], offsets[1:]
+                    out = {"doc_id": block.ids(rank, count), "start": row["base"] + begins, "n_tokens": ends - begins, "ids_crc32": [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins, ends, strict=True)]}
+                    if with_ids:
+                        out["ids"] = [ids[a:b].astype(np.int64) for a, b in zip(begins, ends, strict=True)]
+                    yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    return blocks.join(parts, "part").select("nulls", "first_id", "doc_ids", "bounds", "ids", "width", (F.col("start") + F.col("before")).alias("base")).mapInArrow(decode, columns)
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:

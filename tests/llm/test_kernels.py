@@ -70,13 +70,40 @@ def test_elias_fano():
     for k in range(60):
         v = np.sort(r.integers(0, [1, 70, 10**5, 10**11][k % 4], r.integers(0, 400)))
         e = token_ids.EliasFano.from_bytes(token_ids.EliasFano.build(v).to_bytes())
-        assert e.values().tolist() == v.tolist() and [e.select(i) for i in range(len(v))] == v.tolist()
+        assert e.values().tolist() == v.tolist() and [int(e.select(i)[0]) for i in range(len(v))] == v.tolist() and e.select(np.arange(len(v))[::-1]).tolist() == v.tolist()[::-1]
     v = np.arange(0, 10**6, 100)
     assert len(token_ids.EliasFano.build(v).to_bytes()) < 1.4 * len(v)  # a table of 64-bit offsets takes 8 bytes each
     with pytest.raises(IndexError):
         e.select(len(e.values()))
 
 
+def test_blocks_find_offsets_and_documents_by_select():
+    r = np.random.default_rng(7)
+    for n, nulls, far in ((1, 0, 1), (3, 3, 1), (1000, 5, 50), (5000, 0, 1 << 60), (300, 10, 0)):
+        ids = [None] * nulls + sorted((int(r.integers(0, far + 1)) - (1 << 40) for _ in range(n - nulls)))
+        sizes = r.integers(1, 900, n).tolist()
+        sizes[n // 2] = 10**7
+        ends = np.cumsum(sizes)
+        block = token_ids.Block(*token_ids.Block.packed(ids, sizes))
+        assert len(block) == n and block.ids(0, n) == ids
+        assert block.offsets(0, n).tolist() == [0, *ends.tolist()]
+        for rank in {0, n - 1, n // 2, n // 3}:
+            assert block.offsets(rank).tolist() == [int(ends[rank]) - sizes[rank], int(ends[rank])] and block.ids(rank) == [ids[rank]]
+            assert block.document_at(int(ends[rank]) - 1) == rank == block.document_at(int(ends[rank]) - sizes[rank])
+
+
+def test_offsets_come_through_the_coded_bounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "word " * (k % 5)) for k in range(50)], "doc_id long, text string")
+    from terrafold.llm import common
+    from terrafold.llm.queries import vocabulary
+
+    path = common.new_path(spark, "tokens")
+    token_ids.write_token_ids(docs, vocabulary("word_bpe_49k.json"), path, block_tokens=32)
+    assert "array" not in dict(spark.read.parquet(path).dtypes)["doc_ids"]
+    got = token_ids.read_token_ids(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == list(range(50)) and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
 def brute_fingerprint(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
