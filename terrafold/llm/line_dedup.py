@@ -10,7 +10,8 @@
    linear in the places: no group of copies, however large, needs a cap.
 3. A document is aligned with each document it is linked to by patience diff over the shared places, which neighbours
    unite to runs: runs that are unique in both and rare are ordered by the longest increasing subsequence, others fill the gaps, and what the
-   first alignment leaves (moved and repeated passages) is aligned run by run. Runs grow word by
+   first alignment leaves (moved and repeated passages) is aligned run by run, so in the end every run is aligned: what is deleted is where
+   aligning the rest again and again comes to, and no order or rarity changes it, only the order of the work. Runs grow word by
    word over the earlier document's own words, so no hash is trusted. At least ``min_words`` words that stand in a row in both
    are a block; blocks are deleted from the later document and the first holder keeps them.
    Shorter repeats (a licence line, a stock phrase) stay.

@@ -349,3 +349,42 @@ def test_bpe_in_stretches(byte_bpe, monkeypatch):
         assert np.frombuffer(b"".join(parts), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
         assert "".join(mine.decoded(parts)) == t
     assert len(list(mine.encoded(b"some words " * 100))) > 20
+
+
+def aligned_again_and_again(own, other, runs, min_words):
+    """Patience alignment, blocks of its chain deleted, and again over the runs that are left, until none is."""
+    gone, left = np.zeros(len(own), bool), sorted(set(runs))
+    while left:
+        chain = line_dedup.patience([(x, y, [r[0] for r in left].count(x) == [r[1] for r in left].count(y) == 1) for x, y, *_ in left])
+        assert chain  # every round settles some runs
+        done = set(chain)
+        for x, y, n, _ in (r for r in left if r[:2] in done):
+            for at in range(n):
+                if x + at < len(own) and y + at < len(other) and own[x + at] == other[y + at]:
+                    a = b = at
+                    while x + a > 0 and y + a > 0 and own[x + a - 1] == other[y + a - 1]:
+                        a -= 1
+                    while x + b < len(own) and y + b < len(other) and own[x + b] == other[y + b]:
+                        b += 1
+                    if b - a >= min_words:
+                        gone[x + a : x + b] = True
+        left = [r for r in left if r[:2] not in done]
+    return gone
+
+
+def test_aligned_blocks_are_the_fixed_point_of_repeated_alignment():
+    """What aligned_blocks deletes is where aligning, deleting and aligning the rest comes to: every run joins a chain in some round."""
+    r = np.random.default_rng(9)
+    for _ in range(60):
+        passages = [[b"p%d-%d" % (k, i) for i in range(r.integers(6, 14))] for k in range(5)]
+        build = lambda: [w for k in r.integers(0, 5, 6) for w in [*passages[k], b"own%d" % r.integers(0, 10**9)]]
+        own, other = build(), build()
+        # runs of three words wherever both have them, some united
+        runs = [(x, y, 3, int(r.integers(2, 100))) for x in range(len(own) - 2) for y in range(len(other) - 2) if own[x : x + 3] == other[y : y + 3] and r.random() < 0.6]
+        if not runs:
+            continue
+        known = {k: other[k * line_dedup.BLOCK : (k + 1) * line_dedup.BLOCK] for k in range(-(-len(other) // line_dedup.BLOCK))}
+        got = np.zeros(len(own), bool)
+        for a, b in line_dedup.aligned_blocks(own, known, runs, 8, 64, 0.5):
+            got[a:b] = True
+        assert (got == aligned_again_and_again(own, other, runs, 8)).all()
