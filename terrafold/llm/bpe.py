@@ -5,7 +5,11 @@ priority that take its right part away, those only through merges of still highe
 on; every link of such a chain reaches at most one token further. :meth:`Bpe.lookahead` is the
 longest reach of any chain, found in one pass over the merge list. A token that ends that far before
 the end of what has been read can never change. So long pieces are read in windows, stable tokens go
-out, and the next window starts at the end of the last one that went out: memory stays constant.
+out, and the next window starts at the end of the last one that went out.
+
+Texts are read in stretches of about ``STRETCH`` bytes that end where a piece begins whatever stands
+around it: before white space, or where letters, numbers and other characters change. Beside the text
+itself, memory holds one stretch and its ids; where a single piece is longer, a copy of that piece.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import regex
@@ -32,6 +37,8 @@ MEMO = 260_000
 #: Bytes of a text that are encoded together.
 STRETCH = 1 << 16
 _BETWEEN = re.compile(rb"[0-9A-Za-z](?= [0-9A-Za-z])")
+#: Where a piece begins and no piece before depends on what follows: before white space, at a change of class, but not from an apostrophe to a letter.
+_BEGINS = regex.compile(r"(?<=\S)(?=\s)|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 def newer_letters(path: str) -> str:
@@ -59,8 +66,6 @@ class Bpe:
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]], special: dict[str, int] | None = None, newer: str = ""):
         self.special = special or {}
         self.marks = [t.encode() for t in self.special]
-        #: whether a blank always lies outside of special tokens
-        self.apart = not any(b" " in mark for mark in self.marks)
         self.text_of = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.single = [vocab[bytes([b])] for b in range(256)]
         #: pair of ids -> rank of its merge; the id that the merge makes
@@ -164,9 +169,11 @@ class Bpe:
                 self.pieces[text] = got
         return got
 
+    def splitter(self, text: str) -> regex.Pattern:
+        return self.split if text.isascii() or self.newer.isdisjoint(text) else self.careful
+
     def plain(self, text: str) -> bytes:
-        split = self.split if text.isascii() or self.newer.isdisjoint(text) else self.careful
-        return b"".join(map(self.piece, split.findall(text)))
+        return b"".join(map(self.piece, self.splitter(text).findall(text)))
 
     def chunk(self, data: bytes) -> bytes | None:
         """Ids of a stretch between single blanks, or None if white space at its ends would join with the blank beside it."""
@@ -187,12 +194,63 @@ class Bpe:
         return b"".join(self.encoded(data))
 
     def encoded(self, data: bytes) -> Iterator[bytes]:
-        """The ids in parts: stretches of about ``STRETCH`` bytes that end before a blank between ASCII letters or digits, where a piece always begins."""
+        """The ids in parts, a stretch or ``STRETCH`` ids of a longer piece at a time."""
+        for part in self.stretches(data):
+            if len(part) <= 2 * STRETCH:
+                yield self.stretch(part)
+            else:
+                yield from self.long(part)
+
+    def stretches(self, data: bytes) -> Iterator[bytes]:
+        """The text in stretches that can be encoded by themselves; only a piece or a run of special tokens that is longer than ``STRETCH`` makes one over twice that."""
         at = 0
-        while len(data) - at > STRETCH and self.apart and (m := _BETWEEN.search(data, at + STRETCH)):
-            yield self.stretch(data[at : m.start() + 1])
-            at = m.start() + 1
-        yield self.stretch(data[at:])
+        while len(data) - at > STRETCH and (end := self.edge(data, at + STRETCH)) is not None:
+            yield data[at:end]
+            at = end
+        yield data[at:]
+
+    def edge(self, data: bytes, at: int) -> int | None:
+        """The first place from ``at`` on, found block by block, where a piece begins whatever stands around it and no special token is cut."""
+        if (m := _BETWEEN.search(data, at, at + 256)) and not self.inside(data, m.end()):
+            return m.end()
+        while at < len(data):
+            at, end = self.letter(data, at), self.letter(data, at + STRETCH)
+            text = data[at:end].decode()
+            for m in _BEGINS.finditer(text):
+                # of the newer letters it isn't asked on which side they stand
+                if self.newer.isdisjoint(text[m.start() - 1 : m.start() + 1]):
+                    place = at + len(text[: m.start()].encode())
+                    if not self.inside(data, place):
+                        return place
+            if end >= len(data):
+                return None
+            # the last character is read again, as the first one of the next block
+            at = max(at + 1, end - len(text[-1].encode()))
+        return None
+
+    @staticmethod
+    def letter(data: bytes, at: int) -> int:
+        """The first place from ``at`` on where a character begins."""
+        while at < len(data) and data[at] & 0xC0 == 0x80:
+            at += 1
+        return min(at, len(data))
+
+    def inside(self, data: bytes, at: int) -> bool:
+        """Whether a special token stands across ``at``."""
+        return any(data.find(mark, max(0, at - len(mark) + 1), at + len(mark) - 1) >= 0 for mark in self.marks)
+
+    def long(self, data: bytes) -> Iterator[bytes]:
+        """Ids of a stretch that is longer than the others, piece by piece, a long piece in parts."""
+        text, at = data.decode(), 0
+        for m in chain(self.cut.finditer(text) if self.cut else (), [None]):
+            plain = text[at : m.start() if m else len(text)]
+            for p in self.splitter(plain).finditer(plain):
+                ids = self.stream(p.group().encode())
+                while part := np.fromiter(islice(ids, STRETCH), "<u4").tobytes():
+                    yield part
+            if m:
+                at = m.end()
+                yield np.array([self.special[m.group()]], "<u4").tobytes()
 
     def stretch(self, data: bytes) -> bytes:
         """Ids of a stretch.
@@ -207,7 +265,7 @@ class Bpe:
                 at = m.end()
             return b"".join([*out, self.plain(text[at:])])
         first, *rest = data.split(b" ")
-        parts = [self.chunk(first), *map(self.chunk, [b" " + x for x in rest])]
+        parts = [*([self.chunk(first)] if first else []), *map(self.chunk, [b" " + x for x in rest])]
         return self.plain(data.decode()) if None in parts else b"".join(parts)
 
     def decode(self, ids) -> str:

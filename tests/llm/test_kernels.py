@@ -351,6 +351,39 @@ def test_bpe_in_stretches(byte_bpe, monkeypatch):
     assert len(list(mine.encoded(b"some words " * 100))) > 20
 
 
+@pytest.mark.parametrize("unit", ["слово ещё, ", "你好世界。", "很好", "日本語テキスト「です」", "a\t", "one  two  ", "  ", "x1", "don't 's", "!?'a", "<|endoftext|>", "a\u00a0b\u3000", "é're\n\n", "12345 "])
+def test_bpe_stretches_of_every_script(byte_bpe, monkeypatch, unit):
+    """No stretch of a text of many pieces is over twice the bound, no part of one piece has more ids than it, and the ids are the library's."""
+    mine, theirs = byte_bpe
+    monkeypatch.setattr(bpe, "STRETCH", 64)
+    text = unit * (3000 // len(unit))
+    parts = list(mine.encoded(text.encode()))
+    assert np.frombuffer(b"".join(parts), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert "".join(mine.decoded(parts)) == text
+    assert max(map(len, parts)) <= 4 * 2 * bpe.STRETCH
+    if unit not in ("很好", "  ", "<|endoftext|>"):  # one piece, or one run of special tokens
+        assert max(map(len, mine.stretches(text.encode()))) <= 2 * bpe.STRETCH
+
+
+def test_bpe_long_texts_in_stretches(byte_bpe):
+    mine, _ = byte_bpe
+    for unit in ("слово ещё ", "你好世界。", "tab\tbed ", "one  two  "):
+        text = (unit * (2_000_000 // len(unit.encode()))).encode()
+        assert max(map(len, mine.stretches(text))) <= 2 * bpe.STRETCH
+        assert b"".join(mine.stretches(text)) == text
+
+
+def test_bpe_random_characters_in_stretches(byte_bpe, monkeypatch):
+    mine, theirs = byte_bpe
+    monkeypatch.setattr(bpe, "STRETCH", 16)
+    r = random.Random(9)
+    letters = [*"aZé'世 \t\n\u00a0\u3000\x1c\x85 !'1²(", "'re", "<|endoftext|>", *sorted(mine.newer)[:5]]
+    for _ in range(400):
+        text = "".join(r.choice(letters) * r.randint(1, 4) for _ in range(r.randint(0, 60)))
+        ids = np.frombuffer(b"".join(mine.encoded(text.encode())), "<u4").tolist()
+        assert ids == theirs.encode(text, add_special_tokens=False).ids, text
+
+
 def aligned_again_and_again(own, other, runs, min_words):
     """Patience alignment, blocks of its chain deleted, and again over the runs that are left, until none is."""
     gone, left = np.zeros(len(own), bool), sorted(set(runs))
