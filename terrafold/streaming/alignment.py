@@ -20,11 +20,10 @@ def _order(row: tuple) -> list[tuple]:
 
 
 class Aligner(StatefulProcessor):
-    """A key's rows of all streams in cells as wide as the bound.
+    """The rows of all streams that base rows of one key and cell can meet; a cell is as wide as the bound.
 
-    A base cell is certain once the watermark is a whole cell past its end; the cell before, itself and the
-    one after hold all its partners. A timer a cell gives out the base rows and clears what nothing can need any more, so
-    state holds the rows of the watermark's delay and about three cells, and a timer reads three cells only.
+    A cell is certain once the watermark is a whole cell past its end. Its timer gives the base rows out and clears
+    it, so state holds the rows of the watermark's delay and about three cells, and rows are only ever appended.
     """
 
     def __init__(self, names: list[str], keep: list[str], fields: str, out: list[str], bound_ms: int):
@@ -33,39 +32,24 @@ class Aligner(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cells = handle.getMapState("cells", "stream string, cell long", f"rows array<struct<{self.fields}>>")
-
-    def rows(self, stream: str, cell: int) -> list[tuple]:
-        place = (stream, cell)
-        return [tuple(r) for r in self.cells.getValue(place)[0]] if self.cells.containsKey(place) else []
+        self.held = handle.getListState("held", f"_stream string, {self.fields}")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        fresh = defaultdict(list)
-        for row in rows:
-            fresh[row["_stream"], row["_us"] // self.bound].append((row["_us"], *(row[c] for c in self.keep)))
-        for (stream, cell), added in fresh.items():
-            self.cells.updateValue((stream, cell), ([*self.rows(stream, cell), *added],))
-            self.handle.registerTimer((cell + (2 if stream == BASE else 3)) * self.bound_ms)
+        self.held.appendList([(row["_stream"], row["_us"], *(row[c] for c in self.keep)) for row in rows])
+        self.handle.registerTimer((key[1] + 2) * self.bound_ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        end = expiredTimerInfo.getExpiryTimeInMs() // self.bound_ms
-        # the cells that the cleared one has partners in, whatever the order of timers
-        for cell in range(end - 4, end - 1):
-            if base := self.rows(BASE, cell):
-                yield from (self.out(*key, *row) for row in self.aligned(base, cell))
-                self.cells.removeKey((BASE, cell))
-        for name in self.names:
-            if self.cells.containsKey((name, end - 3)):
-                self.cells.removeKey((name, end - 3))
-
-    def aligned(self, base: list[tuple], cell: int) -> Iterator[tuple]:
-        near = [sorted((r for c in (cell - 1, cell, cell + 1) for r in self.rows(name, c)), key=_order) for name in self.names]
-        times = [[r[0] for r in rows] for rows in near]
-        for row in base:
+        rows = defaultdict(list)
+        for stream, *row in self.held.get():
+            rows[stream].append(row)
+        self.held.clear()
+        near = [sorted(rows[name], key=_order) for name in self.names]
+        times = [[r[0] for r in n] for n in near]
+        for row in rows[BASE]:
             newest = [bisect_left(t, row[0] + self.bound) - 1 for t in times]
             if all(i >= 0 and t[i] > row[0] - self.bound for i, t in zip(newest, times, strict=True)):
-                yield *row, *(v for i, rows in zip(newest, near, strict=True) for v in rows[i])
+                yield self.out(key[0], *row, *(v for i, n in zip(newest, near, strict=True) for v in n[i]))
 
     def close(self) -> None:
         pass
@@ -76,20 +60,23 @@ def align_all(base: DataFrame, others: dict[str, DataFrame], key: str, keep: lis
 
     All streams have ``key``, an event time ``ts`` and the columns ``keep``, of one type each. Every stream has its own watermark and the slowest one
     counts, so a stream that lags behind loses nothing. Rows of one time: the largest ``keep``; repeated base rows stay repeated. Rows without key
-    or time have no partners. One shuffle by key for all streams; needs the RocksDB state store.
+    or time have no partners. One shuffle by key *and* time cell for all streams, to which the other streams' rows go three times, so a key
+    that holds a third of all rows is dealt out; needs the RocksDB state store.
     """
     if BASE in others:
         raise ValueError("streams need names")
     type_of = lambda c: base.schema[c].dataType.simpleString()
+    us, cell = F.unix_micros("ts"), F.floor(F.unix_micros("ts") / (1000 * bound_ms))
     streams = [
-        df.withWatermark("ts", delay).where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, "ts", F.lit(name).alias("_stream"), F.unix_micros("ts").alias("_us"), *keep)
+        df.withWatermark("ts", delay).where(F.col(key).isNotNull() & F.col("ts").isNotNull())
+        .select(key, "ts", F.lit(name).alias("_stream"), us.alias("_us"), *keep, (cell if name == BASE else F.explode(F.sequence(cell - 1, cell + 1))).alias("_cell"))
         for name, df in {BASE: base, **others}.items()
     ]
     rows = streams[0]
     for other in streams[1:]:
         rows = rows.unionByName(other)
-    fields = ", ".join(["_us: bigint", *(f"`{c}`: {type_of(c)}" for c in keep)])
+    fields = ", ".join(["_us bigint", *(f"`{c}` {type_of(c)}" for c in keep)])
     out = {f"{n}_{c}" if n else c: c for n in (BASE, *others) for c in ("ts", *keep)}
     schema = ", ".join([f"`{key}` {type_of(key)}", *(f"`{name}` {'bigint' if c == 'ts' else type_of(c)}" for name, c in out.items())])
-    found = rows.groupBy(key).transformWithState(Aligner(list(others), keep, fields, [key, *out], bound_ms), schema, "append", "eventTime")
+    found = rows.groupBy(key, "_cell").transformWithState(Aligner(list(others), keep, fields, [key, *out], bound_ms), schema, "append", "eventTime")
     return found.withColumns({name: F.timestamp_micros(f"`{name}`") for name, c in out.items() if c == "ts"})
