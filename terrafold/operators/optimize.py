@@ -117,7 +117,7 @@ def projected_search(points: DataFrame, image: DataFrame, start: DataFrame, k: n
     rows = points.join(turned, by)
     cam = [sum((F.col(f"_m{3 * i + j}") * F.col("xyz"[j]) for j in (1, 2)), F.col(f"_m{3 * i}") * F.col("x")) + shift[i] for i in range(3)]
     rows = rows.select(*by, "candidate", "pt", *colours, *(c.alias(f"_{n}") for c, n in zip(cam, "xyz", strict=True)))
-    at = lambda row: g.pixel(sum((float(c) * F.col(f"_{n}") for c, n in zip(row[1:], "yz", strict=True)), float(row[0]) * F.col("_x")) / F.col("_z"))
+    at = lambda row: g.pixel(F.try_divide(sum((float(c) * F.col(f"_{n}") for c, n in zip(row[1:], "yz", strict=True)), float(row[0]) * F.col("_x")), F.col("_z")))
     rows = rows.select(*by, "candidate", "pt", *colours, at(k[0]).alias("u"), at(k[1]).alias("v"), F.col("_z").alias("z"))
     rows = rows.where(g.in_image(F.col("u"), F.col("v"), F.col("z"), width, height))
     key = [*by, "candidate"]
