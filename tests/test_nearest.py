@@ -25,7 +25,7 @@ def test_grown_search_is_brute_force_with_copies_and_outliers(spark):
             assert [(k, n) for k, _, n in sorted(got.get(q, []))] == [(k, n) for k, _, n in want]
 
 
-@pytest.mark.parametrize("name", ["knn1"])
+@pytest.mark.parametrize("name", ["knn1", "ring_neighbor"])
 def test_searches_see_few_pairs_a_query(spark, monkeypatch, name):
     pairs, whole = [], joins.radius_join
     monkeypatch.setattr(joins, "radius_join", lambda *a, **k: pairs.append(whole(*a, **k)) or pairs[-1])
