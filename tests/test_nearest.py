@@ -32,3 +32,13 @@ def test_searches_see_few_pairs_a_query(spark, monkeypatch, name):
     n = catalog.QUERIES[name](spark, SF).count()
     # all pairs within the radius are 237,339 (knn1) and 23,846 (ring_neighbor)
     assert sum(p.count() for p in pairs) < 40 * n
+
+
+def test_line_plane_tests_see_few_pairs_a_query(spark, monkeypatch):
+    from terrafold import views as V
+
+    pairs, whole, points = [], joins.radius_join, V.points
+    monkeypatch.setattr(joins, "radius_join", lambda *a, **k: pairs.append(whole(*a, **k)) or pairs[-1])
+    monkeypatch.setattr(V, "points", lambda *a: points(*a).withColumns({c: F.col(c) / 5 for c in "xyz"}))  # 125 times as dense
+    n = catalog.QUERIES["line_plane_tests"](spark, SF).count()
+    assert n > 400 and sum(p.count() for p in pairs) < 60 * n
