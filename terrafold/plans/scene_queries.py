@@ -75,7 +75,7 @@ SELECT turn, {sums}, count(*) AS n FROM r GROUP BY 1"""
 def odometry_sums(spark, sf_dir):
     """The first iteration of the above: correspondences by rings, residuals, weights and the 28 sums of each turn."""
     points, last = _moved_turns(spark, sf_dir)
-    matched = points.join(registration.ring_matches(points, last, ["turn", "kind"]), ["turn", "kind", "pt"])
+    matched = registration.ring_matches(points, last, ["turn", "kind"])
     still = matched.select("*", *(F.lit(0.0).alias(c) for c in registration.POSE))
     sums = aggs.normal_equations(registration.sweep_residuals(still, False), [f"a{k}" for k in range(6)], "b", ["turn"], "b")
     return rounded(sums.where("n > 0"), " ".join(c for c in sums.columns if c not in ("turn", "n")), 3)
