@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -103,22 +105,23 @@ def delaunay(points: np.ndarray) -> list[tuple[int, int, int]]:
     if n < 3:
         return []
     low, span = points.min(axis=0), max(np.ptp(points, axis=0).max(), 1.0)
-    all_points = np.vstack([points, low + span * np.array([[-30, -30], [60, -30], [-30, 60]])]).astype(float)
+    # plain floats: three points at a time are too few for arrays
+    all_points = np.vstack([points, low + span * np.array([[-30, -30], [60, -30], [-30, 60]])]).astype(float).tolist()
 
     def around(t):
-        (ax, ay), (bx, by), (cx, cy) = all_points[list(t)]
+        (ax, ay), (bx, by), (cx, cy) = (all_points[k] for k in t)
         d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
         if abs(d) < 1e-12:
-            return np.array([np.inf, np.inf, np.inf])
+            return math.inf, math.inf, math.inf
         a, b, c = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
         x, y = (a * (by - cy) + b * (cy - ay) + c * (ay - by)) / d, (a * (cx - bx) + b * (ax - cx) + c * (bx - ax)) / d
-        return np.array([x, y, (x - ax) ** 2 + (y - ay) ** 2])
+        return x, y, (x - ax) * (x - ax) + (y - ay) * (y - ay)
 
     first = (n, n + 1, n + 2)
     circles = {first: around(first)}
     for i in range(n):
         x, y = all_points[i]
-        gone = [t for t, (cx, cy, r) in circles.items() if not np.isfinite(r) or (x - cx) ** 2 + (y - cy) ** 2 < r - 1e-12]
+        gone = [t for t, (cx, cy, r) in circles.items() if not math.isfinite(r) or (x - cx) * (x - cx) + (y - cy) * (y - cy) < r - 1e-12]
         edges: dict[tuple[int, int], int] = {}
         for t in gone:
             del circles[t]
@@ -140,7 +143,9 @@ def triangulate(points: DataFrame, by: list[str]) -> DataFrame:
         rows = [[*key, k, *p[list(t)].ravel()] for k, t in enumerate(delaunay(p))]
         return pd.DataFrame(rows, columns=[*by, "tri", "ax", "ay", "bx", "by", "cx", "cy"])
 
-    return points.groupBy(*by).applyInPandas(run, schema)
+    # the work lies in the triangles and not in the bytes, by which partitions would be merged
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return points.repartition(parts, *by).groupBy(*by).applyInPandas(run, schema)
 
 
 def nearest_field(target: np.ndarray, source: np.ndarray, patch: int = 3, passes: int = 10, seed: int = 0) -> np.ndarray:
