@@ -93,12 +93,16 @@ def _walls(points):
 
 @query("points poses", f"SELECT turn, {_KNOWN} FROM (SELECT turn, frame, count(*) FILTER (ring % 3 = 0) > 10 AND count(*) FILTER (ring % 3 > 0) > 100 AS enough FROM (SELECT *, (pt // 10500) * 1000 + frame AS turn FROM points) GROUP BY 1, 2) JOIN ({_SMALL}) USING (frame)")
 def map_match_gn(spark, sf_dir):
-    """The pose of each turn in a map of walls and edges, from its points alone: lines and planes through the five nearest map points. SQL has the pose that was put in."""
+    """The pose of each turn in a map of walls and edges, from its points alone: lines and planes through the five nearest map points. SQL has the pose that was put in.
+
+    A direction's eigenvalue is at most the number of rows that fix it: below one, not even one row does. The operator's own floor of 100 is made for whole
+    sweeps and leaves out, in turns of a few hundred rows, directions that these do fix.
+    """
     world = _walls(V.points(spark, sf_dir))
     local = world.join(_small_poses(spark, sf_dir), "frame")
     points = local.select("turn", "kind", "pt", *(a.alias(c) for a, c in zip(g.to_local(g.vec()), "xyz", strict=True)))
     start = world.select("turn").distinct().select("turn", *(F.lit(0.0).alias(c) for c in registration.POSE))
-    out = registration.map_match(points, world.drop("frame"), start, ["turn"], stop=(1e-4, 1e-4), iterations=8)
+    out = registration.map_match(points, world.drop("frame"), start, ["turn"], stop=(1e-4, 1e-4), iterations=8, eigen_floor=1.0)
     return rounded(out.drop("used"), " ".join(registration.POSE), 5)
 
 
