@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import views as V
 from ..functions import geometry as g
 from ..operators import aggs, dense_map, joins, mrf, poses, raster, registration
+from ..storage import written
 from .registry import Registry, rounded
 
 query = Registry()
@@ -173,18 +174,19 @@ CAMERA, SHIFT, WIDE, HIGH = np.array([[25.0, 0, 16], [0, 25, 12], [0, 0, 1]]), n
 
 
 def _scene(spark, sf_dir):
-    """Points in the image with their pixels, those of them in boxes (what has to go), and the masks of all frames."""
+    """Points in the image with their pixels, those of them in no box (what stays), and the masks of all frames."""
     seen = raster.project_points(V.points(spark, sf_dir), (CAMERA @ np.c_[np.eye(3), SHIFT]).ravel().tolist(), WIDE, HIGH)
-    boxes = V.boxes(spark, sf_dir).withColumnRenamed("frame", "_f")
-    boxed = seen.join(boxes, (F.col("frame") == F.col("_f")) & joins.contains(), "left_semi")
+    boxes = joins.box_cells(V.boxes(spark, sf_dir))
+    boxed, left = (joins.by_boxes(seen, boxes, inside=inside) for inside in (True, False))
     masks = raster.dilate(boxed.select("frame", "u", "v"), 1, 1, ["frame"]).where(f"u between 0 and {WIDE - 1} and v between 0 and {HIGH - 1}")
-    return seen, boxed, masks
+    return seen, left, written(masks, "masks")
 
 
 def _dense_fill(spark, sf_dir, order):
-    seen, boxed, masks = _scene(spark, sf_dir)
-    left = seen.join(boxed.select("frame", "pt"), ["frame", "pt"], "left_anti")
-    depth = raster.local_depth(left.select("frame", "u", "v", "z_cam", F.col("pt").alias("key")), masks, ["frame"], 10)
+    seen, left, masks = _scene(spark, sf_dir)
+    # one row a pixel is written, so that no round of the searches goes back to the points
+    known = written(aggs.zbuffer(left, ["frame", "u", "v"], "z_cam", "pt").withColumnRenamed("pt", "key"), "known")
+    depth = raster.local_depth(known, masks, ["frame"], 10)
     at = g.back_project(F.col("u"), F.col("v"), F.col("depth"), np.linalg.inv(CAMERA), np.eye(3), SHIFT.tolist())
     wanted = depth.select("frame", "u", "v", "depth", *(c.alias(n) for c, n in zip(at, "xyz", strict=True)))
     image = aggs.zbuffer(seen.withColumn("key", F.struct("pt", "ring")), ["frame", "u", "v"], "z_cam", "key")
